@@ -29,15 +29,15 @@ def text_digest(text: Column) -> Column:
 
 
 class RepeatFilter:
-    """A Bloom filter of the digests that may occur more than once in keys[digest_col]."""
+    """A Bloom filter of the digests that may occur `least` times or more in keys[digest_col]."""
 
-    def __init__(self, keys: DataFrame, digest_col: str, rows: int, max_bits: int = 1 << 26):
+    def __init__(self, keys: DataFrame, digest_col: str, rows: int, max_bits: int = 1 << 26, least: int = 2):
         bits = 1 << 16
         while bits < min(max_bits, 16 * rows):
             bits *= 2
         self.blocks = bits // BLOCK_BITS
         marks = keys.select(self._block(F.col(digest_col)).alias("_block"), F.explode(F.array_distinct(F.array(*self._bits(F.col(digest_col))))).alias("_bit"))
-        twice = marks.groupBy("_block", "_bit").count().filter("count >= 2")
+        twice = marks.groupBy("_block", "_bit").count().filter(F.col("count") >= least)
         words = twice.groupBy("_block", (F.shiftright("_bit", 6)).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, _bit & 63))").alias("_set"))
         self.table = words.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_set"))).alias("_words"))
 

@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, packing, warc
+from . import exact_dedup, jaccard, media, mixing, packing, toxicity, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
+TOXIC_AT = 0.7
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def fitted_lexicon(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Lexicon:
+    """Learned from the labels of training rows alone."""
+    labels = table(spark, sf_dir, "labels").filter(toxicity.training_mask()).select("doc_id", "toxic")
+    return toxicity.learn(docs, labels)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, fitted_lexicon(spark, sf_dir, docs))
+    return scored.select("doc_id", (~toxicity.training_mask()).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
@@ -36,6 +49,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("feature", F.lower(F.hex("phash"))).drop("phash")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
         WITH k AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
