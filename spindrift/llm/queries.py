@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, media, mixing, packing, toxicity, warc
+from . import bwt, chaining, exact_dedup, jaccard, media, mixing, packing, pii, toxicity, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -14,11 +14,31 @@ CAPACITY = 2048
 TOXIC_AT = 0.7
 
 
+def op1_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chaining.fuzzy_passages(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("other_id", "other_doc_id")
+
+
+def _of(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.resolve_revisits(table(spark, sf_dir, "pages"))
     return warc.read_bundles(warc.write_bundles(records)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bwt.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
