@@ -111,3 +111,21 @@ def nearest(points: DataFrame, x: Column, y: Column, at: tuple[float, float], id
 def running_share(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """Cumulative sum within keys."""
     return df.withColumn("running", F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def overlaps(centres: DataFrame, label: str, reach: int, value: str = "median") -> DataFrame:
+    """For each cluster the pair of others, and their shift, whose sum is closest to it (J07): label, first, second, shift, distance.
+
+    A triple theta join of cluster-size tables with a sequence of shifts.
+    """
+    v = centres.select(label, "offset", "channel", F.col(value).alias("_v"))
+    names = v.select(label).distinct()
+    a, b, c = names.select(F.col(label).alias("first")), names.select(F.col(label).alias("second")), names.select(F.col(label).alias("whole"))
+    triples = a.join(b, F.col("first") <= F.col("second")).crossJoin(c).filter("whole <> first and whole <> second").withColumn("shift", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    cells = triples.join(v.select(F.col(label).alias("whole"), "offset", "channel", F.col("_v").alias("_w")), "whole")
+    cells = cells.join(v.select(F.col(label).alias("first"), "offset", "channel", F.col("_v").alias("_x")), ["first", "offset", "channel"])
+    cells = cells.withColumn("_o", F.col("offset") - F.col("shift")).join(v.select(F.col(label).alias("second"), F.col("offset").alias("_o"), "channel", F.col("_v").alias("_y")), ["second", "_o", "channel"], "left")
+    gap = F.abs(F.col("_w") - F.col("_x") - F.coalesce("_y", F.lit(0.0)))
+    dist = cells.groupBy("whole", "first", "second", "shift").agg(F.max(gap).alias("distance"))
+    best = dist.groupBy("whole").agg(F.min(F.struct(F.round("distance", 9).alias("distance"), "first", "second", "shift")).alias("b"))
+    return best.select(F.col("whole").alias(label), "b.first", "b.second", "b.shift", "b.distance")

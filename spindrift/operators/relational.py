@@ -35,7 +35,7 @@ def dense_bins(counts: DataFrame, keys: DataFrame, bin_col: str, first: int, las
 
 def id_order(id_col: str, seed: int = 0) -> Column:
     """A pseudo-random order that depends on the id alone, in arithmetic that every SQL engine shares."""
-    return F.pmod((F.pmod(F.col(id_col), F.lit(4294967296)) + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))
+    return F.pmod((F.pmod(F.col(id_col), F.lit(2147483648)) + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))
 
 
 def sample_per_key(df: DataFrame, keys: list[str], id_col: str, n: int, seed: int = 0) -> DataFrame:

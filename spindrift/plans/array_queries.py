@@ -76,7 +76,7 @@ def p14(spark, d):
     return v.waves(spark, d).select("vec_id", F.round(arrays.project(F.slice("wf", 1, 2), [0.6, 0.8]), 6).alias("p"))
 
 
-_COSMAX = "list_sum(list_transform(list_zip(a.x, b.x), z -> z[1] * z[2])) / list_sum(list_transform(list_zip(a.x, b.x), z -> greatest(abs(z[1]), abs(z[2])) ** 2))"
+_COSMAX = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) / list_sum(list_transform(list_zip(a.x, b.x), lambda z: greatest(abs(z[1]), abs(z[2])) ** 2))"
 
 
 @query("A07_cosine_with_max", _VECS + f" SELECT a.label AS label_i, b.label AS label_j, round(CASE WHEN a.label = b.label THEN 1.0 ELSE {_COSMAX} END, 6) AS similarity FROM vec a, vec b")
@@ -99,8 +99,8 @@ _KERNELS = {
     "linear": "list_dot_product(a.x, b.x)",
     "polynomial": "(list_dot_product(a.x, b.x) / 64 + 1) ** 3",
     "sigmoid": "tanh(list_dot_product(a.x, b.x) / 64 + 1)",
-    "rbf": "exp(-list_distance(a.x, b.x) ** 2 / 64)",
-    "laplacian": "exp(-list_sum(list_transform(list_zip(a.x, b.x), z -> abs(z[1] - z[2]))) / 64)",
+    "rbf": "exp(-(list_distance(a.x, b.x) ** 2) / 64)",
+    "laplacian": "exp(-list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))) / 64)",
 }
 
 
@@ -142,18 +142,18 @@ def a13(spark, d):
     return v.round_all(_centres(spark, d).agg(F.min("median").alias("low"), F.max("median").alias("high")), "low", "high")
 
 
-@query("J06_cluster_pairs", _VECS + " SELECT a.label AS label_i, b.label AS label_j, round(list_sum(list_transform(list_zip(a.x, b.x), z -> abs(z[1] - z[2]))), 6) AS similarity FROM vec a JOIN vec b ON a.label < b.label")
+@query("J06_cluster_pairs", _VECS + " SELECT a.label AS label_i, b.label AS label_j, round(list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))), 6) AS similarity FROM vec a JOIN vec b ON a.label < b.label")
 def j06(spark, d):
     gap = metrics.pairwise(_vectors(spark, d), "label", lambda a, b: arrays.total(F.zip_with(a, b, lambda x, y: F.abs(x - y))), all_pairs=False)
     return v.round_all(gap, "similarity")
 
 
-@query("P05_waveform_aliens", "SELECT vec_id, CASE WHEN len(list_filter(embedding, x -> abs(x::DOUBLE) > 2.5)) > 0 THEN -9 ELSE label END AS label FROM embeddings")
+@query("P05_waveform_aliens", "SELECT vec_id, CASE WHEN len(list_filter(embedding, lambda x: abs(x::DOUBLE) > 2.5)) > 0 THEN -9 ELSE label END AS label FROM embeddings")
 def p05w(spark, d):
     return trains.mark_aliens_by_waveform(v.waves(spark, d), "wf", "label", 2.5).select("vec_id", "label")
 
 
-@query("K16_alignment", _CENTRES + ', t AS (SELECT label, arg_min("offset", med) AS at FROM m GROUP BY 1) SELECT vec_id, CASE WHEN abs(6 - at) > 2 THEN -1 ELSE label END AS label FROM embeddings JOIN t USING (label)')
+@query("K16_alignment", _CENTRES + ', t AS (SELECT label, arg_min("offset", med) AS place FROM m GROUP BY 1) SELECT vec_id, CASE WHEN abs(6 - place) > 2 THEN -1 ELSE label END AS label FROM embeddings JOIN t USING (label)')
 def k16(spark, d):
     from ..operators.curation import trash_misaligned
 
@@ -169,3 +169,56 @@ def k16(spark, d):
 def a12(spark, d):
     mads = spark.range(16).select(F.col("id").alias("channel"), (F.col("id") + 1.0).alias("mad"))
     return metrics.cluster_report(v.clusters(spark, d), v.probe(spark), mads, v.train(spark, d), 0.5)
+
+
+@query(
+    "J07_overlap_triples",
+    _CENTRES
+    + """, l AS (SELECT DISTINCT label FROM m WHERE label < 5), g AS (SELECT w.label, f.label AS first, s.label AS second, sh AS shift, max(abs(mw.med - mf.med - coalesce(ms.med, 0))) AS distance
+    FROM l w JOIN l f ON f.label <> w.label JOIN l s ON f.label <= s.label AND s.label <> w.label CROSS JOIN range(-2, 3) r(sh) JOIN m mw ON mw.label = w.label JOIN m mf ON mf.label = f.label AND mf."offset" = mw."offset" AND mf.channel = mw.channel
+    LEFT JOIN m ms ON ms.label = s.label AND ms.channel = mw.channel AND ms."offset" = mw."offset" - sh GROUP BY ALL)
+    SELECT label, arg_min(first, (round(distance, 9), first, second, shift)) AS first, arg_min(second, (round(distance, 9), first, second, shift)) AS second, arg_min(shift, (round(distance, 9), first, second, shift))::INT AS shift, round(min(distance), 6) AS distance FROM g GROUP BY 1""",
+)
+def j07(spark, d):
+    long = waveforms.long_form(v.waves(spark, d).filter("label < 5"), "vec_id", "wf", v.CHANNELS, "label")
+    m = long.groupBy("label", "offset", "channel").agg(F.median("value").alias("median"))
+    return v.round_all(metrics.overlaps(m, "label", 2), "distance")
+
+
+@query("G04_similar_pairs", _VECS + f" SELECT a.label AS label_i, b.label AS label_j, row_number() OVER (ORDER BY round({_COSMAX}, 9) DESC, a.label, b.label) AS position FROM vec a JOIN vec b ON a.label < b.label")
+def g04(spark, d):
+    from pyspark.sql import Window
+
+    s = metrics.cluster_similarity(_vectors(spark, d), "label").filter("label_i < label_j")
+    order = Window.orderBy(F.desc(F.round("similarity", 9)), "label_i", "label_j")
+    return s.select("label_i", "label_j", F.row_number().over(order).cast("long").alias("position"))
+
+
+@query(
+    "G09_components_near_channels",
+    _CENTRES + """, e AS (SELECT label, arg_max(channel, abs(med)) AS c FROM m GROUP BY 1) SELECT label, i AS component FROM e, range(64) r(i) WHERE abs(i // 16 - c) <= 1""",
+)
+def g09(spark, d):
+    e = _centres(spark, d).groupBy("label").agg(F.max_by("channel", F.abs(F.col("median"))).alias("_c"))
+    parts = spark.range(64).select(F.col("id").alias("component"), F.floor(F.col("id") / 16).alias("_p"))
+    near = e.select("label", F.explode(F.sequence(F.col("_c") - 1, F.col("_c") + 1)).cast("long").alias("_p"))
+    return parts.join(F.broadcast(near), "_p").select("label", "component")
+
+
+@query("G10_similarity_in_label_order", _VECS + f" SELECT a.label AS label_i, list(round(CASE WHEN a.label = b.label THEN 1.0 ELSE {_COSMAX} END, 6) ORDER BY b.label) AS row_values FROM vec a, vec b GROUP BY 1")
+def g10(spark, d):
+    s = metrics.cluster_similarity(_vectors(spark, d), "label")
+    cells = F.array_sort(F.collect_list(F.struct("label_j", F.round("similarity", 6).alias("s"))))
+    return s.groupBy("label_i").agg(F.transform(cells, lambda c: c["s"]).alias("row_values"))
+
+
+@query(
+    "G15_centroid_view",
+    _CENTRES
+    + """, k AS (SELECT channel FROM m WHERE label IN (2, 5) GROUP BY channel HAVING max(abs(med)) > 0.35), x AS (SELECT label, "offset", channel, any_value(med) AS med, median(abs(value - med)) * 1.4826 AS mad FROM long JOIN m USING (label, "offset", channel) GROUP BY ALL)
+    SELECT label, channel, "offset", round(med - mad, 6) AS low, round(med + mad, 6) AS high FROM x JOIN k USING (channel) WHERE label IN (2, 5)""",
+)
+def g15(spark, d):
+    c = _centres(spark, d).filter("label in (2, 5)")
+    kept = waveforms.sparse_mask(c, "label", threshold=0.35).filter("kept").select("channel").distinct()
+    return v.round_all(c.join(F.broadcast(kept), "channel").select("label", "channel", "offset", (F.col("median") - F.col("mad")).alias("low"), (F.col("median") + F.col("mad")).alias("high")), "low", "high")

@@ -99,7 +99,7 @@ def c08(spark, d):
     return v.train(spark, d).orderBy(F.desc(F.abs("extremum_amplitude")), "peak_id").limit(100).select("peak_id", "extremum_amplitude")
 
 
-_HASH = "((peak_id % 4294967296 + 0) * 2654435761) % 4294967296"
+_HASH = "((peak_id % 2147483648 + 0) * 2654435761) % 4294967296"
 
 
 @query("C09_top_n_per_channel", f"WITH {v.TRAIN}, r AS (SELECT peak_id, channel, row_number() OVER (PARTITION BY channel ORDER BY {_HASH}, peak_id) AS r FROM train) SELECT peak_id, channel FROM r WHERE r <= 20")
@@ -123,7 +123,7 @@ def c11(spark, d):
 @query(
     "C12_channel_set_operations",
     f"""WITH {v.TRAIN}, s AS (SELECT segment, list_sort(list(DISTINCT channel)) AS c FROM train WHERE cluster_label < 3 GROUP BY 1), u AS (SELECT segment, list_sort(list(DISTINCT channel)) AS c FROM train WHERE cluster_label > 1 GROUP BY 1)
-    SELECT s.segment, len(list_intersect(s.c, u.c))::INT AS both, len(list_distinct(list_concat(s.c, u.c)))::INT AS either, len(list_filter(s.c, x -> NOT list_contains(u.c, x)))::INT AS only_first FROM s JOIN u USING (segment)""",
+    SELECT s.segment, len(list_intersect(s.c, u.c))::INT AS both, len(list_distinct(list_concat(s.c, u.c)))::INT AS either, len(list_filter(s.c, lambda x: NOT list_contains(u.c, x)))::INT AS only_first FROM s JOIN u USING (segment)""",
 )
 def c12(spark, d):
     t = v.train(spark, d)
@@ -361,7 +361,7 @@ def g03(spark, d):
     return c.select("cluster_label", F.row_number().over(order).cast("long").alias("position"))
 
 
-@query("G06_feature_vs_time", f'WITH {v.TRAIN} SELECT peak_id, round("index" / 15000.0, 6) AS "time", channel * 50.0 AS y FROM train WHERE channel < 8')
+@query("G06_feature_vs_time", f'WITH {v.TRAIN} SELECT peak_id, round("index" / 15000.0, 6) AS "time", (channel * 50.0)::DOUBLE AS y FROM train WHERE channel < 8')
 def g06(spark, d):
     out = v.train(spark, d).join(F.broadcast(v.probe(spark).select("channel", "y")), "channel").select("peak_id", (F.col("index") / 15000.0).alias("time"), "y")
     return v.round_all(out, "time")
@@ -375,3 +375,46 @@ def r04(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("ts", (F.col("user_id") % 16).cast("int").alias("channel"))
     out = trains.rates(e, "ts", "4 hours", "1 hour", "channel")
     return out.select(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(window.start as timestamp_ntz))").alias("window_start"), "channel", "n")
+
+
+@query("P17_colours")
+def p17(spark, d):
+    c = v.clusters(spark, d)
+    n = c.count()
+    return c.select("cluster_label", scalar.hue_colour(F.col("cluster_label"), F.lit(n)).alias("color"))
+
+
+@query("J10_probe_coordinates", f"WITH {v.TRAIN} SELECT peak_id, (channel * 50.0)::DOUBLE AS y FROM train WHERE channel < 8")
+def j10(spark, d):
+    return v.train(spark, d).join(F.broadcast(v.probe(spark).select("channel", "y")), "channel").select("peak_id", "y")
+
+
+@query("J12_static_stream_join", f"WITH {v.TRAIN}, {v.CLUSTERS} SELECT cell_label, count(*) AS n FROM train JOIN clusters USING (cluster_label) GROUP BY 1")
+def j12(spark, d):
+    return v.train(spark, d).join(F.broadcast(v.clusters(spark, d).select("cluster_label", "cell_label")), "cluster_label").groupBy("cell_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "C05_chosen_labels",
+    f"""WITH {v.TRAIN}, t AS (SELECT * FROM train WHERE cluster_label IN (0, 2)) SELECT a.cluster_label AS label_i, b.cluster_label AS label_j, (b."index" - a."index") // 300 AS bin, count(*) AS "count" FROM t a JOIN t b ON a.segment = b.segment
+    AND b."index" BETWEEN a."index" AND a."index" + 2099 AND (b."index" > a."index" OR b.peak_id > a.peak_id) WHERE (b."index" - a."index") // 300 <> 0 OR a.cluster_label <> b.cluster_label GROUP BY ALL""",
+)
+def c05l(spark, d):
+    chosen = spark.createDataFrame([(0,), (2,)], "cluster_label long")
+    return trains.cross_correlograms(v.train(spark, d), "index", "cluster_label", "segment", "peak_id", 1.0, 3600.0, 300.0, labels=chosen, dense=False)
+
+
+@query("S12_segments_done", f'WITH {v.TRAIN} SELECT segment, max("index") + 1 AS processed_length FROM train GROUP BY 1')
+def s12t(spark, d):
+    from ..sources.store import processed_length
+
+    return processed_length(v.train(spark, d).withColumnRenamed("index", "sample"))
+
+
+@query("S24_imported_units")
+def s24(spark, d):
+    from ..sources import importers
+
+    t = v.train(spark, d).filter("peak_id % 10 = 0").select((F.col("peak_id") * 37 % 4096).alias("t"), (F.col("cluster_label") % 3).alias("unit"))
+    spikes = importers.from_spike_table(t.withColumn("t", F.floor(F.col("t") / 9)), "unit", "t")
+    return importers.align_units(spikes, v.signal(spark, d).filter("segment = 0"), -3, 4).select("segment", "index", "channel", F.round("extremum_amplitude", 6).alias("extremum_amplitude"), "cluster_label")

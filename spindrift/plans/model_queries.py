@@ -1 +1,252 @@
-"""Queries over filters, features, clustering, catalogues and peeling; these have no SQL equivalent but for parts."""
+"""Queries over filters, features, clustering, catalogues and matching. SQL oracles stand where SQL can express them."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import catalogue, clustering, features, filters, metrics, peeling, waveforms
+from ..sources.raw import to_frames, to_long
+from . import views as v
+from .registry import query
+
+
+def _frames(spark, d) -> DataFrame:
+    return to_frames(v.signal(spark, d))
+
+
+def _rounded_frames(df: DataFrame) -> DataFrame:
+    return to_long(df).select("segment", "sample", "channel", F.round("value", 3).alias("value"))
+
+
+@query("W01_zero_phase_segments")
+def w01(spark, d):
+    p = filters.Preprocessing(10000.0, 500.0, 4000.0, common_reference=True)
+    return _rounded_frames(filters.preprocess_blocks(_frames(spark, d), p, 1 << 20, 0))
+
+
+@query("W02_halo_filter")
+def w02(spark, d):
+    p = filters.Preprocessing(10000.0, 500.0, 4000.0, smooth=1)
+    return _rounded_frames(filters.preprocess_blocks(_frames(spark, d), p, 128, 100))
+
+
+@query("W08_array_noise", f"WITH {v.SIGNAL}, s AS (SELECT channel, value::FLOAT::DOUBLE AS value FROM signal WHERE sample < 256), m AS (SELECT channel, median(value) AS med FROM s GROUP BY 1) SELECT channel, round(any_value(med), 3) AS median, round(median(abs(value - med)) * 1.4826, 3) AS mad FROM s JOIN m USING (channel) GROUP BY 1")
+def w08(spark, d):
+    s = to_long(_frames(spark, d).filter("sample < 256"))
+    from ..functions.robust import median_mad
+
+    return v.round_all(median_mad(s, ["channel"], "value"), "median", "mad", digits=3)
+
+
+@query("F05_global_svd")
+def f05(spark, d):
+    f, _ = features.global_svd(v.waves(spark, d), "vec_id", "wf", 5)
+    return f.select("vec_id", F.transform("features", lambda x: F.round(x, 5)).alias("features"))
+
+
+@query("F07_svd_by_channel")
+def f07(spark, d):
+    w = v.waves(spark, d).withColumn("peak_channel", (F.col("vec_id") % v.CHANNELS).cast("int"))
+    return v.round_all(features.svd_by_channel(w, "vec_id", "wf", v.CHANNELS, "peak_channel"), "value", digits=5)
+
+
+@query("F08_discriminants")
+def f08(spark, d):
+    w = v.waves(spark, d)
+    return features.transform(w, "vec_id", "wf", features.discriminants(w, "wf", "label", 3)).select("vec_id", F.transform("features", lambda x: F.round(x, 4)).alias("features"))
+
+
+def _clustered(method: str, **options):
+    def run(spark, d):
+        f, _ = features.global_svd(v.waves(spark, d), "vec_id", "wf", 5)
+        return clustering.find_clusters(f, "vec_id", method, **options)
+
+    return run
+
+
+for _name, _method, _options in (
+    ("K02_kmeans", "kmeans", {"n_clusters": 5}),
+    ("K03_onecluster", "onecluster", {}),
+    ("K04_gmm", "gmm", {"n_clusters": 3}),
+    ("K05_agglomerative", "agglomerative", {"n_clusters": 5}),
+    ("K06_dbscan", "dbscan", {"eps": 1.0}),
+    ("K07_hdbscan", "hdbscan", {"min_cluster_size": 10}),
+    ("K09_optics", "optics", {}),
+    ("K10_meanshift", "meanshift", {}),
+):
+    query(_name, "SELECT vec_id, 0::BIGINT AS cluster_label FROM embeddings" if _method == "onecluster" else None)(_clustered(_method, **_options))
+
+
+@query("K08_hdbscan_with_noise")
+def k08(spark, d):
+    f, _ = features.global_svd(v.waves(spark, d), "vec_id", "wf", 3)
+    noise = f.filter("vec_id % 5 = 0").select(F.transform("features", lambda x: x * 0.1).alias("features"))
+    return clustering.find_clusters(f, "vec_id", "dbscan_with_noise", noise=noise, min_cluster_size=10)
+
+
+def _one_sample(df: DataFrame, kernel, schema: str) -> DataFrame:
+    """A kernel over one bounded sample."""
+    return df.groupBy().applyInPandas(kernel, schema)
+
+
+@query("K12_saw_chain_cut")
+def k12(spark, d):
+    import pandas as pd
+
+    def run(pdf):
+        pdf = pdf.sort_values("vec_id")
+        x = np.abs(np.stack(pdf["wf"].to_numpy()).reshape(len(pdf), v.WIDTH, v.CHANNELS)).max(1) * 10
+        return pd.DataFrame({"vec_id": pdf["vec_id"], "cluster_label": clustering.saw_chain_cut(x, 2.0)})
+
+    return _one_sample(v.waves(spark, d).select("vec_id", "wf"), run, "vec_id long, cluster_label long")
+
+
+@query("K13_pruning_shears")
+def k13(spark, d):
+    import pandas as pd
+
+    def run(pdf):
+        pdf = pdf.sort_values("vec_id")
+        x = np.stack(pdf["wf"].to_numpy()).reshape(len(pdf), v.WIDTH, v.CHANNELS)
+        peak = np.abs(x).max(1).argmax(1)
+        flat = x.transpose(0, 2, 1).reshape(len(x), -1)
+        channel_of = np.repeat(np.arange(v.CHANNELS), v.WIDTH)
+        near = np.abs(np.subtract.outer(np.arange(v.CHANNELS), np.arange(v.CHANNELS))) <= 1
+        labels = clustering.pruning_shears(flat, channel_of, peak, np.abs(x).max((1, 2)), near, 10)
+        return pd.DataFrame({"vec_id": pdf["vec_id"], "cluster_label": labels})
+
+    return _one_sample(v.waves(spark, d).select("vec_id", "wf"), run, "vec_id long, cluster_label long")
+
+
+@query("K14_dip_test")
+def k14(spark, d):
+    return v.round_all(clustering.dip_by_group(v.train(spark, d).select("cluster_label", "extremum_amplitude"), ["cluster_label"], "extremum_amplitude", 50, 500), "dip", "p", digits=6)
+
+
+@query("K15_auto_split")
+def k15(spark, d):
+    f, _ = features.global_svd(v.waves(spark, d), "vec_id", "wf", 3)
+    return clustering.auto_split(f.join(v.waves(spark, d).select("vec_id", "label"), "vec_id"), "vec_id", "label", min_cluster_size=10)
+
+
+@query(
+    "K17_close_templates",
+    f"""WITH {v.LONG}, m AS (SELECT label, "offset", channel, median(value) AS med FROM long GROUP BY ALL), t AS (SELECT label, max(abs(med)) AS top FROM m GROUP BY 1),
+    g AS (SELECT a.label AS i, b.label AS j, s, max(abs(a.med - b.med)) AS gap FROM m a JOIN m b ON a.label < b.label AND a.channel = b.channel, range(-2, 3) r(s) WHERE a."offset" BETWEEN 2 AND 13 AND b."offset" = a."offset" + s GROUP BY ALL)
+    SELECT i AS label_i, j AS label_j, min(gap) < greatest(0.3 * greatest(any_value(x.top), any_value(y.top)), 0.2) AS close FROM g JOIN t x ON x.label = i JOIN t y ON y.label = j GROUP BY i, j""",
+)
+def k17(spark, d):
+    long = waveforms.long_form(v.waves(spark, d), "vec_id", "wf", v.CHANNELS, "label")
+    m = long.groupBy("label", "offset", "channel").agg(F.median("value").alias("med"))
+    a = m.filter(F.col("offset").between(2, v.WIDTH - 3)).select(F.col("label").alias("label_i"), F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("s"), "offset", "channel", F.col("med").alias("_a"))
+    b = m.select(F.col("label").alias("label_j"), F.col("offset").alias("_o"), "channel", F.col("med").alias("_b"))
+    gaps = a.withColumn("_o", F.col("offset") + F.col("s")).join(b, ["_o", "channel"]).filter("label_i < label_j").groupBy("label_i", "label_j", "s").agg(F.max(F.abs(F.col("_a") - F.col("_b"))).alias("gap"))
+    best = gaps.groupBy("label_i", "label_j").agg(F.min("gap").alias("gap"))
+    top = m.groupBy("label").agg(F.max(F.abs("med")).alias("top"))
+    out = best.join(top.select(F.col("label").alias("label_i"), F.col("top").alias("_ti")), "label_i").join(top.select(F.col("label").alias("label_j"), F.col("top").alias("_tj")), "label_j")
+    return out.select("label_i", "label_j", (F.col("gap") < F.greatest(0.3 * F.greatest("_ti", "_tj"), F.lit(0.2))).alias("close"))
+
+
+def _catalogue(width: int = 16, channels: int = 8) -> catalogue.Catalogue:
+    """Three templates on a line of channels: pulses of different places and sizes."""
+    t = np.arange(2 * width) - width
+    pulse = -np.exp(-0.5 * (t / 2.0) ** 2)
+    centers = np.zeros((3, 2 * width, channels))
+    for k, (ch, size) in enumerate(((1, 300.0), (4, 250.0), (6, 400.0))):
+        for c in range(channels):
+            centers[k, :, c] = size * pulse * np.exp(-abs(c - ch))
+    near = [[c for c in range(channels) if abs(c - a) <= 1] for a in range(channels)]
+    return catalogue.make_catalogue([0, 1, 2], centers, -width // 2, width // 2, -width, 10000.0, 120.0, 3, neighbours=near)
+
+
+@query("T05_catalogue_row")
+def t05(spark, d):
+    return catalogue.to_row(spark, _catalogue()).select("chan_grp", "name", F.map_keys("arrays").alias("arrays"))
+
+
+@query("T06_empty_catalogue")
+def t06(spark, d):
+    return catalogue.to_row(spark, catalogue.empty_catalogue(8), "empty").select("chan_grp", "name", "meta")
+
+
+@query("X01_peel_segments")
+def x01(spark, d):
+    return peeling.peel_segments(_frames(spark, d), _catalogue(), keep_bad=True).select("segment", "index", "cluster_label")
+
+
+@query("X01_peel_in_chunks")
+def x01c(spark, d):
+    return peeling.peel_segments(_frames(spark, d), _catalogue(), chunk=200).select("segment", "index", "cluster_label")
+
+
+@query("X06_template_scores", f"WITH {v.LONG} SELECT vec_id, l.k AS label, round(sum(value * CASE WHEN channel = l.k THEN 0.1 * (\"offset\" - 7) ELSE 0 END), 5) AS score FROM long, (SELECT unnest([0, 1, 2]::BIGINT[]) AS k) l GROUP BY ALL")
+def x06(spark, d):
+    p = np.zeros((3, v.WIDTH, v.CHANNELS))
+    for k in range(3):
+        p[k, :, k] = 0.1 * (np.arange(v.WIDTH) - 7)
+    c = catalogue.make_catalogue([0, 1, 2], np.zeros((3, v.WIDTH, v.CHANNELS)), -8, 8, -8, 1.0, 1.0, 1)
+    c.projections, c.masks[0] = p, np.ones((3, v.CHANNELS), bool)
+    return v.round_all(peeling.score_peaks(v.waves(spark, d), c, "vec_id", "wf"), "score", digits=5)
+
+
+_TEMPLATES = "t AS (SELECT (i // 32)::BIGINT AS cluster_label, (i // 8 % 4 - 1)::INT AS \"offset\", (i % 8)::INT AS channel, (i % 7 - 3)::DOUBLE AS value FROM range(96) r(i))"
+
+
+def _templates(spark):
+    i = F.col("id")
+    return spark.range(96).select(F.floor(i / 32).alias("cluster_label"), (F.floor(i / 8) % 4 - 1).cast("int").alias("offset"), (i % 8).cast("int").alias("channel"), (i % 7 - 3).cast("double").alias("value"))
+
+
+def _spikes(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 37 = 0")
+    return e.select(F.floor(F.col("event_id") / 4096).cast("int").alias("segment"), F.floor((F.col("event_id") % 4096) / 8).alias("index"), (F.col("user_id") % 5 - 1).alias("cluster_label"))
+
+
+_SPIKES = 's AS (SELECT CAST(event_id // 4096 AS INT) AS segment, (event_id % 4096) // 8 AS "index", user_id % 5 - 1 AS cluster_label FROM events WHERE event_id % 37 = 0)'
+
+
+@query("X13_prediction", f'WITH {_SPIKES}, {_TEMPLATES} SELECT segment, "index" + "offset" AS sample, channel, sum(value) AS value FROM s JOIN t USING (cluster_label) WHERE cluster_label >= 0 GROUP BY ALL')
+def x13(spark, d):
+    return waveforms.reconstruct(_spikes(spark, d), _templates(spark))
+
+
+@query(
+    "X13_residual",
+    f'WITH {v.SIGNAL}, {_SPIKES}, {_TEMPLATES}, p AS (SELECT segment, "index" + "offset" AS sample, channel, sum(value) AS p FROM s JOIN t USING (cluster_label) WHERE cluster_label >= 0 GROUP BY ALL) SELECT segment, sample, channel, round(value - coalesce(p, 0), 6) AS value FROM signal LEFT JOIN p USING (segment, sample, channel)',
+)
+def x13r(spark, d):
+    return v.round_all(waveforms.residual(v.signal(spark, d), waveforms.reconstruct(_spikes(spark, d), _templates(spark))), "value")
+
+
+@query(
+    "J01_waveform_cut",
+    f"""WITH {v.SIGNAL}, p AS (SELECT event_id AS peak_id, CAST(event_id // 4096 AS INT) AS segment, (event_id % 4096) // 8 AS "index" FROM events WHERE event_id % 53 = 0), l AS (SELECT segment, max(sample) + 1 AS length FROM signal GROUP BY 1)
+    SELECT peak_id, CAST(sample - "index" + 5 AS INT) AS "offset", channel, round(value, 6) AS value FROM p JOIN l USING (segment) JOIN signal USING (segment) WHERE sample >= "index" - 5 AND sample < "index" + 7 AND "index" - 5 >= 0 AND "index" - 5 < length - 12""",
+)
+def j01(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 53 = 0")
+    peaks = e.select(F.col("event_id").alias("peak_id"), F.floor(F.col("event_id") / 4096).cast("int").alias("segment"), F.floor((F.col("event_id") % 4096) / 8).alias("index"))
+    s = v.signal(spark, d)
+    lengths = s.groupBy("segment").agg((F.max("sample") + 1).alias("length"))
+    return v.round_all(waveforms.cut_windows(peaks, s, -5, 7, lengths, block=64), "value")
+
+
+@query("F02_noise_snippets")
+def f02(spark, d):
+    s = v.signal(spark, d)
+    lengths = s.groupBy("segment").agg((F.max("sample") + 1).alias("length")).filter("length > 100")
+    return waveforms.noise_positions(lengths, _spikes(spark, d), -8, 12, 30)
+
+
+@query("X12_jitter", "SELECT vec_id, round((embedding[1]::DOUBLE - embedding[3]::DOUBLE) / (2 * (embedding[1]::DOUBLE - 2 * embedding[2]::DOUBLE + embedding[3]::DOUBLE)), 3) AS jitter FROM embeddings WHERE abs(embedding[1] - 2 * embedding[2] + embedding[3]) > 0.05")
+def x12(spark, d):
+    w = v.waves(spark, d).filter(F.abs(F.col("wf")[0].cast("float") - 2 * F.col("wf")[1].cast("float") + F.col("wf")[2].cast("float")) > 0.05)
+    return w.select("vec_id", F.round(waveforms.jitter(F.col("wf")[0], F.col("wf")[1], F.col("wf")[2]), 3).alias("jitter"))
+
+
+@query("G05_silhouette_by_label")
+def g05(spark, d):
+    s = metrics.silhouette(v.waves(spark, d), "vec_id", "label", "wf")
+    return metrics.silhouette_by_label(s, "label").select("label", F.round("mean", 5).alias("mean"), F.size("silhouettes").alias("n"))
