@@ -6,7 +6,7 @@ Documents are sets of word shingles; two link when intersection / union reaches
    set size and signature. Documents with equal sets are represented by the smallest id.
 2. Shingles are ordered, rare ones first. Linked documents share a shingle within their prefixes, the first
    n - ceil(t n) + 1 in that order. A shingle in the prefix of several documents is a cell.
-3. Similar documents are partitioned into groups: each document is compared with the documents that lead most of its cells;
+3. Similar documents are partitioned into groups: each document is compared with the documents that lead many of its cells;
    the components of these links are the groups.
 4. The token-group matrix has a row for each cell and group, the union of the prefixes of the group. Its product with itself bounds
    the overlap of two groups: if the cells they share, plus what may lie behind a prefix, cannot reach the
@@ -184,9 +184,62 @@ def prefixes(docs: DataFrame, k: int, t: tuple[int, int], frequent: list[tuple[i
     return docs.mapInArrow(run, "_id long, _n long, _prefix array<long>")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, t: tuple[int, int], salts: int) -> DataFrame:
-    """(a, b) of pairs that link. texts: _id, _text. b may be in many pairs: its text is sent once for each salt in use."""
+def sketches(texts: DataFrame, k: int) -> DataFrame:
+    """_id, _n and _bits, the shingles of each text hashed to a power of two of bits, four for each shingle or more."""
+
+    def run(batches):
+        shingler = Shingler(k)
+        for batch in batches:
+            ns, bits = [], []
+            for _, _, part in _texts(batch, 1):
+                for s in shingler.shingles(part):
+                    size = max(512, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 512
+                    flags = np.zeros(size, np.uint8)
+                    flags[(s & np.uint64(size - 1)).astype(np.int64)] = 1
+                    ns.append(len(s))
+                    bits.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(bits, pa.binary())], ["_id", "_n", "_bits"])
+
+    return materialise(texts.mapInArrow(run, "_id long, _n long, _bits binary"), "jaccard-sketches")
+
+
+def may_link(n1: int, bits1: bytes, n2: int, bits2: bytes, t: tuple[int, int]) -> bool:
+    """False only if sets of these sizes and sketches cannot link: bits that differ are shingles that only one of the two has."""
+    a, b = int.from_bytes(bits1, "little"), int.from_bytes(bits2, "little")
+    size = 8 * min(len(bits1), len(bits2))
+    if len(bits1) != len(bits2):  # sketches of different sizes are folded to the smaller
+        a, b = _folded(a, size), _folded(b, size)
+    overlap = (n1 + n2 - (a ^ b).bit_count()) // 2
+    return overlap * t[1] >= t[0] * (n1 + n2 - overlap)
+
+
+def _folded(x: int, size: int) -> int:
+    out, mask = 0, (1 << size) - 1
+    while x:
+        out |= x & mask
+        x >>= size
+    return out
+
+
+def _sifted(pairs: DataFrame, bits: DataFrame, t: tuple[int, int], salts: int) -> DataFrame:
+    """pairs (a, b) without those that their sketches rule out."""
     salted = pairs.select("a", "b").distinct().withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
+    left = salted.join(bits.select(F.col("_id").alias("a"), F.col("_n").alias("_na"), F.col("_bits").alias("_ba")), "a")
+    right = salted.select("b", "_salt").distinct().join(bits.select(F.col("_id").alias("b"), F.col("_n").alias("_nb"), F.col("_bits").alias("_bb")), "b")
+    both = left.join(right, ["b", "_salt"]).select("a", "b", "_na", "_ba", "_nb", "_bb")
+
+    def run(batches):
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            keep = [may_link(*x, t) for x in zip(*cols[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialise(both.mapInArrow(run, "a long, b long"), "jaccard-sifted")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, bits: DataFrame, k: int, t: tuple[int, int], salts: int) -> DataFrame:
+    """(a, b) of pairs that link. texts: _id, _text. b may be in many pairs: its text is sent once for each salt in use."""
+    salted = _sifted(pairs, bits, t, salts).withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
     left = salted.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a")
     right = salted.select("b", "_salt").distinct().join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_tb")), "b")
     both = left.join(right, ["b", "_salt"]).select("a", "b", "_ta", "_tb")
@@ -255,18 +308,21 @@ def _links(docs: DataFrame, k: int, t: tuple[int, int], frequent: list, rows: in
     salts = max(16, rows // 20_000)
     cells = prefixes(docs, k, t, frequent).filter("_n > 0").select(F.explode("_prefix").alias("_token"), "_id", "_n")
     cell = Window.partitionBy("_token")
-    lead = F.min(F.struct("_n", "_id")).over(cell)
+    lead = F.min(F.struct(F.xxhash64("_id").alias("_h"), "_id", "_n")).over(cell)
     cells = cells.withColumn("_lead", lead).withColumn("_min", F.min("_id").over(cell)).withColumn("_max", F.max("_id").over(cell)).filter("_min <> _max")
     cells = materialise(cells.select("_token", "_id", "_n", F.col("_lead._id").alias("_lead"), F.col("_lead._n").alias("_lead_n")), "jaccard-cells")
     ids = cells.select("_id").distinct()
     texts = _member(ids, rows).mark(docs, "_id").filter("_suspect").select("_id", "_text")
     texts = materialise(texts, "jaccard-texts")
+    bits = sketches(texts, k)
 
-    # groups: each document against the documents that lead most of its cells
-    led = cells.filter("_id <> _lead").filter(F.col("_lead_n") * t[1] >= F.col("_n") * t[0]).groupBy("_id", "_lead").count()
+    # groups: each document against the documents that lead many of its cells
+    fits = (F.col("_lead_n") * t[1] >= F.col("_n") * t[0]) & (F.col("_n") * t[1] >= F.col("_lead_n") * t[0])
+    led = cells.filter("_id <> _lead").filter(fits).groupBy("_id", "_lead", "_n").count()
+    led = led.filter(F.col("count") * 16 * t[1] >= F.col("_n") * (t[1] - t[0]))  # a sixteenth of its prefix
     best = Window.partitionBy("_id").orderBy(F.desc("count"), "_lead")
     pairs = led.withColumn("_r", F.row_number().over(best)).filter("_r <= 3").select(F.col("_id").alias("a"), F.col("_lead").alias("b"))
-    links = _verify(pairs, texts, k, t, salts)
+    links = _verify(pairs, texts, bits, k, t, salts)
 
     slim = cells.select("_token", "_id", "_n")
     width, first = WIDTH, True
@@ -283,13 +339,13 @@ def _links(docs: DataFrame, k: int, t: tuple[int, int], frequent: list, rows: in
         # most likely pairs first: what they link need not be compared again
         likely = Window.partitionBy("_g1", "_g2").orderBy(F.desc("count"), "a", "b")
         candidates = materialise(candidates.withColumn("_r", F.row_number().over(likely)), "jaccard-candidates")
-        links = links.unionByName(_verify(candidates.filter("_r <= 4"), texts, k, t, salts))
+        links = links.unionByName(_verify(candidates.filter("_r <= 4"), texts, bits, k, t, salts))
         rest = candidates.filter("_r > 4")
         if not rest.isEmpty():
             now = components(links)
             a, b = now.select(F.col("node").alias("a"), F.col("component").alias("_ca")), now.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
             rest = rest.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b"))
-            links = links.unionByName(_verify(rest, texts, k, t, salts))
+            links = links.unionByName(_verify(rest, texts, bits, k, t, salts))
         links = materialise(links, "jaccard-links")
         # cells wider than width go on without the groups that have met all others
         left = matrix.filter((F.col("_size") > width) & (F.col("_r") > width)).select("_token", "_group")
