@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +31,79 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, small_arrow_batches
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 SLICE_BYTES = 2 << 20
 
 
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that never joins what ASCII white space parts; each distinct word is encoded once."""
+    """Ids of whole texts from a tokenizer that never joins what ASCII white space parts, nor letters with the marks behind them.
+
+    Each distinct word is encoded once, without regard to case where it is ASCII. Words of letters alone are encoded together: each
+    ends with an id that ends a word. Marks behind such words are encoded apart; all other words, as they are.
+    """
+
+    MARKS = ".,;:!?%*&$#|\"()[]{}<>=+/~^`_-"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.known: dict[str, np.ndarray] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, vocabulary = tokenizer.encode_batch_fast, tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def _store(self, words: list[str], ids: list[int], ends) -> None:
+        base, first = len(self.ids), len(self.ends) - 1
+        self.ids.extend(ids)
+        self.ends.extend(base + e for e in ends)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def _encode(self, plain: list[str], other: list[str]) -> None:
+        parts = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for part, e in zip(parts, self.encode([" ".join(p) for p in parts], add_special_tokens=False) if parts else [], strict=True):
+            ids = e.ids
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                self._store(part, ids, ends)
+            else:
+                other = other + part
+        for w, e in zip(other, self.encode(other, add_special_tokens=False) if other else [], strict=True):
+            self._store([w], e.ids, [len(e.ids)])
+
+    def learn(self, words: list[str]) -> None:
+        known, plain, other, split, same = self.known, {}, {}, [], []
+        for w in words:
+            low = w.lower() if w.isascii() else w
+            core = low.rstrip(self.MARKS)
+            if not core.isalpha() or len(core) != len(core.lower()):
+                if low not in known:
+                    other[low] = None
+                same.append((w, low))
+                continue
+            if core not in known:
+                plain[core] = None
+            if len(core) == len(low):
+                same.append((w, low))
+            else:
+                marks = low[len(core) :]
+                if marks not in known:
+                    other[marks] = None
+                split.append((w, core, marks))
+        self._encode(list(plain), list(other))
+        for w, low in same:
+            known[w] = known[low]
+        ids, ends = self.ids, self.ends
+        for w, core, marks in split:
+            for k in (known[core], known[marks]):
+                ids.extend(ids[ends[k] : ends[k + 1]])
+            known[w] = len(ends) - 1
+            ends.append(len(ids))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the bounds of each text in it."""
@@ -49,20 +111,24 @@ class WordTokenizer:
         words = parts.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        if new := [w for w in distinct if w not in self.known]:
-            self.known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(new, self.encode(new, add_special_tokens=False), strict=True))
-        ids = [self.known[w] for w in distinct]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool, starts = np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum(sizes) - sizes
-        codes = words.indices.to_numpy()
-        lengths = sizes[codes]
+            self.forget()
+        known = self.known
+        if new := [w for w in distinct if w not in known]:
+            self.learn(new)
+        place = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))
+        edges, pool = np.array(self.ends), np.array(self.ids)
+        codes = place[words.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
+        lengths = edges[codes + 1] - edges[codes]
         ends = np.cumsum(lengths)
-        within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-        flat = pool[np.repeat(starts[codes], lengths) + within]
-        edges = np.r_[0, ends]
+        within = np.arange(ends[-1] if len(ends) else 0) + np.repeat(edges[codes] - ends + lengths, lengths)
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        return flat, edges[offsets]
+        return pool[within] if len(pool) else np.zeros(0, np.uint32), np.r_[0, ends][offsets]
+
+
+@cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each worker process, so words stay known from task to task."""
+    return WordTokenizer(path)
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
@@ -70,7 +136,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str
     small_arrow_batches(docs.sparkSession)
 
     def run(batches):
-        tokens = WordTokenizer(tokenizer)
+        tokens = tokenizer_of(tokenizer)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
