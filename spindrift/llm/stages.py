@@ -5,20 +5,33 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing
-from .queries import CAPACITY, TOKENIZER
+from . import exact_dedup, jaccard, mixing, packing, toxicity
+from .queries import CAPACITY, TOKENIZER, TOXIC_AT, fitted_lexicon
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold."""
+    return toxicity.drop_toxic(docs, fitted_lexicon(spark, sf_dir, docs), TOXIC_AT)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts."""
+    return jaccard.first_of_each(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their place in a sequence."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), CAPACITY)
 
 
-STAGES = [("exact_dedup", drop_copies), ("mixing", mix), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("mixing", mix), ("packing", pack)]
