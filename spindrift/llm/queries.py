@@ -74,12 +74,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+        g AS (SELECT h, max(page_id) AS last FROM p GROUP BY 1)
+        SELECT page_id, octet_length(raw) AS payload_bytes,
+            array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (m // 4 * 5 + 1)::INT, 5))::INT >> (15 - 5 * (m % 4))::INT) & 31) + 1)::INT, 1) FOR m IN range(0, 32)], '') AS payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM p JOIN g USING (h)""",
     "op5_exact_dedup": r"""
         WITH k AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, count(*) AS group_size, max(n) AS best FROM k GROUP BY 1),
         w AS (SELECT k.text_sha256, min(k.doc_id) AS keep_id FROM k JOIN g ON k.text_sha256 = g.text_sha256 AND k.n = g.best GROUP BY 1)
         SELECT k.doc_id, w.keep_id, g.group_size, k.doc_id = w.keep_id AS kept, k.text_sha256
         FROM k JOIN g USING (text_sha256) JOIN w USING (text_sha256)""",
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+        u AS (SELECT doc_id, x, unnest(range(1, greatest(len(x) - 3, 2))) AS i FROM w WHERE len(x) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(x[i:i + 4], ' ') AS g FROM u),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT i, j FROM p JOIN c x ON x.doc_id = i JOIN c y ON y.doc_id = j WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        e AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+        r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.j FROM r JOIN e ON r.y = e.i)
+        SELECT r.x AS doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(r.y) AS component_id FROM r LEFT JOIN c ON c.doc_id = r.x GROUP BY r.x""",
 }
 
 
