@@ -248,13 +248,14 @@ def _halved(cut: DataFrame, length: int, hot_contexts: int, rows: int) -> tuple[
         if hot.isEmpty():
             small.append(cut)
             break
-        # fewer than rows / hot_contexts keys
-        marked = cut.join(F.broadcast(hot), "_key", "left") if hot.count() <= 100_000 else cut.join(hot, "_key", "left")
+        # fewer than rows / hot_contexts keys; broadcast while that is a small number, else joined with splitting of skewed parts
+        bounded = F.broadcast if hot.count() <= 100_000 else (lambda df: df)
+        marked = cut.join(bounded(hot), "_key", "left")
         small.append(marked.filter("_n is null").drop("_n"))
         # a window's distance from the anchor is _place - (its number); halves are split at the same distance in all contexts
         half = marked.filter("_n is not null").drop("_n")
         bounds = half.groupBy("_key").agg(F.min(F.col("_place") - F.col("_count") + 1).alias("_low"), F.max("_place").alias("_top"))
-        half = half.join(F.broadcast(bounds), "_key").withColumn("_mid", F.floor((F.col("_low") + F.col("_top")) / 2).cast("int"))
+        half = half.join(bounded(bounds), "_key").withColumn("_mid", F.floor((F.col("_low") + F.col("_top")) / 2).cast("int"))
         # far windows: distance above _mid, the first ones; near windows: the others
         far = F.greatest(F.lit(0), F.least(F.col("_count"), F.col("_place") - F.col("_mid")))
         first = half.withColumn("_c", far).withColumn("_f", F.lit(0)).withColumn("_lo", F.col("_mid") + 1).withColumn("_hi", F.col("_top"))
