@@ -23,7 +23,7 @@ J02_cell_labels J08_noise_anti_join J11_suppressed_peaks K19_trash_small K23_ord
 def signal_workloads(spark, seconds: int = 120, rate: float = 15000.0) -> dict[str, float]:
     from spindrift.operators import catalogue, filters, peeling
     from spindrift.sources.raw import from_arrays
-    from tests.fixtures import recording, templates
+    from spindrift.sources.synthetic import recording, templates
 
     n = int(seconds * rate)
     x, truth = recording(n // 8, gap=600)

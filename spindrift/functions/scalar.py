@@ -78,3 +78,16 @@ def random_projection(size: int, seed: int) -> list[float]:
 
     v = np.random.default_rng(seed).normal(size=size)
     return (v / math.sqrt(float(v @ v))).tolist()
+
+
+def tour(start: list[float], end: list[float], steps: int) -> list[list[float]]:
+    """Unit vectors on the way between two directions, both ends included."""
+    import numpy as np
+
+    a, b = np.asarray(start, float), np.asarray(end, float)
+    out = []
+    for w in np.linspace(0, 1, max(2, steps)):
+        v = (1 - w) * a + w * b
+        size = math.sqrt(float(v @ v))
+        out.append((v / size if size else a).tolist())
+    return out

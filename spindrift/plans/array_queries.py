@@ -222,3 +222,9 @@ def g15(spark, d):
     c = _centres(spark, d).filter("label in (2, 5)")
     kept = waveforms.sparse_mask(c, "label", threshold=0.35).filter("kept").select("channel").distinct()
     return v.round_all(c.join(F.broadcast(kept), "channel").select("label", "channel", "offset", (F.col("median") - F.col("mad")).alias("low"), (F.col("median") + F.col("mad")).alias("high")), "low", "high")
+
+
+@query("A12_noise_report", "SELECT 0.5::DOUBLE AS min_uv, 8::DOUBLE AS max_uv, 4.25::DOUBLE AS mean_uv, 21.25::DOUBLE AS threshold_uv")
+def a12n(spark, d):
+    mads = spark.range(16).select(F.col("id").alias("channel"), (F.col("id") + 1.0).cast("double").alias("mad"))
+    return metrics.noise_report(mads, 5.0, 0.5)
