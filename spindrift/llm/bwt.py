@@ -140,7 +140,7 @@ def shared_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
     repeated = np.zeros(len(symbols), bool)
     repeated[order] = found[:-1] | found[1:]
     repeated &= rest >= length
-    return [repeated[a : a + n - length + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return [repeated[a : a + max(0, n - length + 1)] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def boundaries(bwt: np.ndarray, length: int) -> np.ndarray:
