@@ -4,6 +4,7 @@ from io import BytesIO
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.cli import main
 from spindrift.sources import export, raw
@@ -56,7 +57,7 @@ def test_store_life_cycle(spark, tmp_path):
     store.append("a", spark.range(8))
     assert store.get("a").count() == 16 and store.annotations("a") == {"note": "x"}
     store.savepoint("before")
-    store.overwrite_where("a", spark.range(100, 103), store.get("a").id < 4)
+    store.overwrite_where("a", spark.range(100, 103), F.col("id") < 4)
     store.annotate("a", more=1)
     assert store.get("a").count() == 11 and store.annotations("a") == {"note": "x", "more": 1}
     store.restore("before")

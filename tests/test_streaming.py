@@ -30,7 +30,7 @@ def test_peeling_stream_equals_batch(spark, tmp_path, shuffled):
     order = [2, 0, 1, 5, 3, 4, 7, 6] if shuffled else None
     got = run(spark, tmp_path, [x], s.PeelProcessor(made(), length=4000), order=order)
     batch = peeling.peel_segments(from_arrays(spark, [x.astype(np.float32)]), made()).collect()
-    assert sorted((r.index, r.cluster_label) for r in got) == truth == sorted((r.index, r.cluster_label) for r in batch)
+    assert sorted((r["index"], r.cluster_label) for r in got) == truth == sorted((r["index"], r.cluster_label) for r in batch)
 
 
 def test_filter_stream_equals_kernel(spark, tmp_path):
@@ -46,7 +46,7 @@ def test_detection_and_noise_streams(spark, tmp_path):
     x, _ = recording(3000)
     got = run(spark, tmp_path, [x], s.DetectProcessor(made()), chunk=300)
     mask = np.argwhere(peeling.Peeler(made()).detect(x))
-    assert sorted((r.index, r.channel) for r in got) == [(int(i), int(c)) for i, c in mask]
+    assert sorted((r["index"], r.channel) for r in got) == [(int(i), int(c)) for i, c in mask]
     (tmp_path / "b").mkdir()
     rows = run(spark, tmp_path / "b", [x, x + 5], s.NoiseProcessor(1000, 4), chunk=300)
     assert len(rows) == 8 and all(abs(r.mad - np.median(np.abs(x[:1000, r.channel] - np.median(x[:1000, r.channel]))) * 1.4826) < 1e-9 for r in rows if r.segment == 0)
