@@ -1,6 +1,6 @@
 """Structured Streaming versions of the stateful operators; their kernels are those of the batch operators.
 
-Input rows are chunks of a segment: segment, i_start (first sample), v (array of frames). Chunks may arrive out of order: a chunk
+Input rows are chunks of a segment: segment, i_start (first sample), channels, v (the frames of the chunk, one behind the other). Chunks may arrive out of order: a chunk
 that leaves a gap waits in the state until the gap is filled; one already seen is dropped.
 """
 
@@ -19,7 +19,7 @@ from ..operators.catalogue import Catalogue
 from ..operators.filters import FilterState, Preprocessing, StreamFilter
 from ..operators.peeling import Peeler, PeelState
 
-CHUNKS = "segment int, i_start long, v array<array<float>>"
+CHUNKS = "segment int, i_start long, channels int, v array<double>"
 STATE = "meta string, data binary"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -55,7 +55,7 @@ class ChunkProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         meta, arrays = _unpack(self.state.get()) if self.state.exists() else self.fresh()
-        incoming = {int(s): np.array([np.asarray(f, float) for f in v]) for pdf in rows for s, v in zip(pdf["i_start"], pdf["v"], strict=True)}
+        incoming = {int(s): np.asarray(v, float).reshape(-1, int(n)) for pdf in rows for s, n, v in zip(pdf["i_start"], pdf["channels"], pdf["v"], strict=True)}
         held = {int(k[0]): k for k in list(self.waiting.keys())} if self.waiting.exists() else {}
         due, out = meta["next"], []
         while due in incoming or due in held:
@@ -153,7 +153,8 @@ def to_chunks(frames: DataFrame, size: int) -> DataFrame:
     """Frames (segment, sample, v) gathered to chunk rows, as a recorder would send them."""
     cells = F.array_sort(F.collect_list(F.struct("sample", "v")))
     out = frames.groupBy("segment", F.floor(F.col("sample") / size).alias("_k")).agg(cells.alias("_c"))
-    return out.select("segment", F.get("_c", 0)["sample"].alias("i_start"), F.transform("_c", lambda c: c["v"]).alias("v"))
+    first = F.get("_c", 0)
+    return out.select("segment", first["sample"].alias("i_start"), F.size(first["v"]).alias("channels"), F.flatten(F.transform("_c", lambda c: c["v"])).cast("array<double>").alias("v"))
 
 
 def event_rates(events: DataFrame, time: str, interval: str, refresh: str, late: str, *keys: str) -> DataFrame:

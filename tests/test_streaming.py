@@ -13,7 +13,7 @@ from .test_models import made
 def run(spark, tmp_path, arrays, processor, chunk=500, order=None):
     """Chunks written as files, one to a micro-batch, in the order given."""
     s.use_rocksdb(spark)
-    rows = [(seg, a, x[a : a + chunk].tolist()) for seg, x in enumerate(arrays) for a in range(0, len(x), chunk)]
+    rows = [(seg, a, x.shape[1], x[a : a + chunk].ravel().tolist()) for seg, x in enumerate(arrays) for a in range(0, len(x), chunk)]
     rows = [rows[i] for i in (order or range(len(rows)))]
     for i, row in enumerate(rows):
         spark.createDataFrame([row], s.CHUNKS).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part={i:04d}"))
@@ -64,4 +64,4 @@ def test_rates_stream(spark, tmp_path):
 def test_to_chunks(spark):
     x = np.arange(20.0).reshape(10, 2)
     rows = sorted(s.to_chunks(from_arrays(spark, [x]), 4).collect(), key=lambda r: r.i_start)
-    assert [r.i_start for r in rows] == [0, 4, 8] and np.array_equal(np.concatenate([np.array(r.v) for r in rows]), x)
+    assert [r.i_start for r in rows] == [0, 4, 8] and np.array_equal(np.concatenate([np.array(r.v).reshape(-1, r.channels) for r in rows]), x)
