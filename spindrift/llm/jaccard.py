@@ -8,10 +8,12 @@ Documents are sets of word shingles; two link when intersection / union reaches
    n - ceil(t n) + 1 in that order. A shingle in the prefix of several documents is a cell.
 3. Similar documents are partitioned into groups: each document is compared with the documents that lead many of its cells;
    the components of these links are the groups.
-4. The token-group matrix has a row for each cell and group, the union of the prefixes of the group. Its product with itself bounds
-   the overlap of two groups: if the cells they share, plus what may lie behind a prefix, cannot reach the
-   overlap that the threshold asks of any two of their sizes, the pair stays closed. Only pairs of groups that qualify are
-   opened, and their documents compared. Groups that link are one group from then on; within a group nothing is compared.
+4. The token-group matrix has a row for each cell and group, the union of the prefixes of the group. A document's cells are ordered, those
+   of few documents first. Documents that share c cells first meet in one from which both have c cells left: this bounds the overlap of two
+   groups. If in no common cell the bound, plus what may lie behind a prefix, reaches what the threshold asks of any two of
+   their sizes, the pair stays closed. Of pairs that qualify, one document of each group is compared with the other's first; those not linked by it
+   are opened, their documents sifted by bit sketches and compared.
+   Groups that link are one group from then on; within a group nothing is compared.
 
 Cells of more groups than WIDTH are worked off by leaders, WIDTH groups at a time and four times as many in each later
 round, until all groups of the cell have met; no cell is dropped, and no cell gives all its pairs at once. Comparisons read the texts
@@ -310,7 +312,8 @@ def _links(docs: DataFrame, k: int, t: tuple[int, int], frequent: list, rows: in
     cell = Window.partitionBy("_token")
     lead = F.min(F.struct(F.xxhash64("_id").alias("_h"), "_id", "_n")).over(cell)
     cells = cells.withColumn("_lead", lead).withColumn("_min", F.min("_id").over(cell)).withColumn("_max", F.max("_id").over(cell)).filter("_min <> _max")
-    cells = materialise(cells.select("_token", "_id", "_n", F.col("_lead._id").alias("_lead"), F.col("_lead._n").alias("_lead_n")), "jaccard-cells")
+    cells = cells.withColumn("_docs", F.count(F.lit(1)).over(cell))
+    cells = materialise(cells.select("_token", "_id", "_n", "_docs", F.col("_lead._id").alias("_lead"), F.col("_lead._n").alias("_lead_n")), "jaccard-cells")
     ids = cells.select("_id").distinct()
     texts = _member(ids, rows).mark(docs, "_id").filter("_suspect").select("_id", "_text")
     texts = materialise(texts, "jaccard-texts")
@@ -324,72 +327,79 @@ def _links(docs: DataFrame, k: int, t: tuple[int, int], frequent: list, rows: in
     pairs = led.withColumn("_r", F.row_number().over(best)).filter("_r <= 3").select(F.col("_id").alias("a"), F.col("_lead").alias("b"))
     links = _verify(pairs, texts, bits, k, t, salts)
 
-    slim = cells.select("_token", "_id", "_n")
-    width, first = WIDTH, True
+    # how many cells a document has from each one on, those of few documents first
+    behind = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("_docs"), F.desc("_token"))).cast("long")
+    slim, width = cells.select("_token", "_id", "_n", behind.alias("_rest")), WIDTH
     while True:
-        grouped = _multi(slim, components(links))
+        grouped = _matrix(slim, components(links), t)
         if grouped.isEmpty():
             return links
-        order = Window.partitionBy("_token").orderBy("_group")
-        matrix = grouped.groupBy("_token", "_group").agg(F.min("_n").alias("_low"), F.max("_n").alias("_high"))
-        matrix = matrix.withColumn("_r", F.row_number().over(order)).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("_token")))
-        matrix = materialise(matrix, "jaccard-matrix")
-        opened = materialise(_qualifying(matrix, t, width, first), "jaccard-opened")
-        candidates = _candidates(grouped, matrix, opened, t, width)
-        # most likely pairs first: what they link need not be compared again
-        likely = Window.partitionBy("_g1", "_g2").orderBy(F.desc("count"), "a", "b")
-        candidates = materialise(candidates.withColumn("_r", F.row_number().over(likely)), "jaccard-candidates")
-        links = links.unionByName(_verify(candidates.filter("_r <= 4"), texts, bits, k, t, salts))
-        rest = candidates.filter("_r > 4")
-        if not rest.isEmpty():
-            now = components(links)
-            a, b = now.select(F.col("node").alias("a"), F.col("component").alias("_ca")), now.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
-            rest = rest.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b"))
-            links = links.unionByName(_verify(rest, texts, bits, k, t, salts))
-        links = materialise(links, "jaccard-links")
+        opened = materialise(_qualifying(grouped, t, width), "jaccard-opened")
+        # documents that stand for their groups first: groups that these link need not be opened
+        links = links.unionByName(_verify(opened.select("a", "b"), texts, bits, k, t, salts))
+        now = components(links)
+        g1, g2 = now.select(F.col("node").alias("_g1"), F.col("component").alias("_c1")), now.select(F.col("node").alias("_g2"), F.col("component").alias("_c2"))
+        apart = opened.select("_g1", "_g2").distinct().join(g1, "_g1", "left").join(g2, "_g2", "left").filter(F.coalesce("_c1", "_g1") != F.coalesce("_c2", "_g2"))
+        candidates = _candidates(grouped, materialise(apart.select("_g1", "_g2"), "jaccard-apart"), t, width)
+        links = materialise(links.unionByName(_verify(candidates, texts, bits, k, t, salts)), "jaccard-links")
         # cells wider than width go on without the groups that have met all others
-        left = matrix.filter((F.col("_size") > width) & (F.col("_r") > width)).select("_token", "_group")
-        slim = grouped.join(left, ["_token", "_group"]).select("_token", "_id", "_n")
-        if left.isEmpty():
+        slim = grouped.filter((F.col("_size") > width) & (F.col("_r") > width)).select("_token", "_id", "_n", "_rest")
+        if slim.isEmpty():
             return links
-        slim, width, first = materialise(slim, "jaccard-rest"), width * 4, False
+        width *= 4
 
 
-def _multi(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Cells that documents of several groups share: _token, _id, _n, _group."""
-    grouped = cells.join(labels.select(F.col("node").alias("_id"), "component"), "_id", "left").withColumn("_group", F.coalesce("component", "_id"))
+def _matrix(cells: DataFrame, labels: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The token-group matrix: rows (_token, _id, _n, _rest, _group) of cells that documents of several groups share.
+
+    Each has its group's number in the cell (_r), the number of groups there (_size), and of its group in the cell the range of sizes (_low,
+    _high) and the most cells left (_most); _first marks the document that has these, which stands for the group.
+    Documents that share c cells first meet in one from which both have c left, so _rest bounds their overlap; cells of two
+    documents that this bound parts are left out.
+    """
+    grouped = cells.join(labels.select(F.col("node").alias("_id"), "component"), "_id", "left").select("_token", "_id", "_n", "_rest", F.coalesce("component", "_id").alias("_group"))
     cell = Window.partitionBy("_token")
-    grouped = grouped.withColumn("_min", F.min("_group").over(cell)).withColumn("_max", F.max("_group").over(cell)).filter("_min <> _max")
-    return materialise(grouped.select("_token", "_id", "_n", "_group"), "jaccard-groups")
+    own = Window.partitionBy("_token", "_group")
+    ranked = grouped.withColumn("_r", F.dense_rank().over(cell.orderBy("_group"))).withColumn("_size", F.max("_r").over(cell)).filter("_size > 1")
+    bound = [F.count(F.lit(1)).over(cell), F.min("_n").over(cell), F.max("_n").over(cell), F.min("_rest").over(cell)]
+    ranked = ranked.withColumns(dict(zip(("_docs", "_least", "_top", "_left"), bound, strict=True)))
+    apart = (F.col("_docs") == 2) & ((F.col("_least") * t[1] < F.col("_top") * t[0]) | (F.col("_left") < _lack(F.col("_least"), F.col("_top"), t)))
+    ranked = ranked.filter(~apart).drop("_docs", "_least", "_top", "_left")
+    first = F.row_number().over(own.orderBy(F.desc("_rest"), "_id")) == 1
+    ranked = ranked.withColumns({"_low": F.min("_n").over(own), "_high": F.max("_n").over(own), "_most": F.max("_rest").over(own), "_first": first})
+    return materialise(ranked, "jaccard-matrix")
+
+
+def _least_lack(la, ha, lb, hb, t: tuple[int, int]):
+    """The least that sizes of two ranges ask for: as far apart as they may be; one less for rounding where they are ranges."""
+
+    def apart(low, high):
+        return _lack(low, F.greatest(low, F.least(high, F.floor(low * t[1] / t[0]))), t)
 
+    exact = (la == ha) & (lb == hb)
+    return F.when(exact, _lack(la, lb, t)).otherwise(F.least(apart(la, hb), apart(lb, ha)) - 1)
 
-def _qualifying(matrix: DataFrame, t: tuple[int, int], width: int, bound: bool) -> DataFrame:
-    """Pairs of groups (_g1, _g2) whose overlap bound reaches what the threshold asks. _wide is what cells still to come may add."""
-    left = matrix.filter(F.col("_r") <= width).select("_token", F.col("_group").alias("_ga"), F.col("_r").alias("_ra"), F.col("_low").alias("_la"), F.col("_high").alias("_ha"))
-    right = matrix.select("_token", F.col("_group").alias("_gb"), F.col("_r").alias("_rb"), F.col("_low").alias("_lb"), F.col("_high").alias("_hb"))
+
+def _qualifying(matrix: DataFrame, t: tuple[int, int], width: int) -> DataFrame:
+    """Pairs of groups (_g1, _g2) with a cell from which both have as many left as the threshold asks for, and in it a document of each (a, b)."""
+    rows = matrix.filter("_first")
+    sides = [rows.select("_token", F.col("_group").alias(f"_g{x}"), F.col("_r").alias(f"_r{x}"), F.col("_low").alias(f"_l{x}"), F.col("_high").alias(f"_h{x}"), F.col("_most").alias(f"_s{x}"), F.col("_id").alias(x)) for x in "ab"]
     fits = (F.col("_la") * t[0] <= F.col("_hb") * t[1]) & (F.col("_lb") * t[0] <= F.col("_ha") * t[1])
-    both = left.join(right, "_token").filter((F.col("_ra") < F.col("_rb")) & fits)
-    pairs = both.groupBy(F.least("_ga", "_gb").alias("_g1"), F.greatest("_ga", "_gb").alias("_g2")).agg(F.count(F.lit(1)).alias("_cells"), F.min(F.least("_la", "_lb")).alias("_low"), F.max(F.greatest("_ha", "_hb")).alias("_high"))
-    if not bound:
-        return pairs.select("_g1", "_g2", F.lit(1 << 40).alias("_wide"))
-    wide = matrix.filter(F.col("_size") > width).groupBy("_group").agg(F.count(F.lit(1)).alias("_w"))
-    w1, w2 = wide.select(F.col("_group").alias("_g1"), F.col("_w").alias("_w1")), wide.select(F.col("_group").alias("_g2"), F.col("_w").alias("_w2"))
-    pairs = pairs.join(w1, "_g1", "left").join(w2, "_g2", "left").withColumn("_wide", F.least(F.coalesce("_w1", F.lit(0)), F.coalesce("_w2", F.lit(0))))
-    # the least that any sizes between _low and _high ask for, sizes as far apart as they may be; one less for rounding
-    far = F.least(F.col("_high"), F.floor(F.col("_low") * t[1] / t[0]))
-    return pairs.filter(F.col("_cells") + F.col("_wide") >= F.when(F.col("_high") * t[0] >= F.col("_low") * t[1], F.lit(1)).otherwise(_lack(F.col("_low"), far, t) - 1)).select("_g1", "_g2", "_wide")
-
-
-def _candidates(grouped: DataFrame, matrix: DataFrame, opened: DataFrame, t: tuple[int, int], width: int) -> DataFrame:
-    """Pairs of documents (a, b) of opened groups that share enough cells, and the number of these."""
-    ranked = grouped.join(matrix.select("_token", "_group", "_r"), ["_token", "_group"])
-    left = ranked.filter(F.col("_r") <= width).select("_token", F.col("_id").alias("a"), F.col("_n").alias("_na"), F.col("_group").alias("_ga"), F.col("_r").alias("_ra"))
-    right = ranked.select("_token", F.col("_id").alias("b"), F.col("_n").alias("_nb"), F.col("_group").alias("_gb"), F.col("_r").alias("_rb"))
+    enough = F.least("_sa", "_sb") >= _least_lack(F.col("_la"), F.col("_ha"), F.col("_lb"), F.col("_hb"), t)
+    both = sides[0].filter(F.col("_ra") <= width).join(sides[1], "_token").filter((F.col("_ra") < F.col("_rb")) & fits & enough)
+    return both.select(F.least("_ga", "_gb").alias("_g1"), F.greatest("_ga", "_gb").alias("_g2"), "a", "b").distinct()
+
+
+def _candidates(grouped: DataFrame, opened: DataFrame, t: tuple[int, int], width: int) -> DataFrame:
+    """Pairs of documents (a, b) of opened groups that qualify in a cell."""
+    concerned = opened.select(F.col("_g1").alias("_group")).union(opened.select("_g2")).distinct()
+    ranked = grouped.join(concerned, "_group", "left_semi")
+    a, b = (ranked.select("_token", F.col("_id").alias(x), F.col("_n").alias(f"_n{x}"), F.col("_group").alias(f"_g{x}"), F.col("_r").alias(f"_r{x}"), F.col("_rest").alias(f"_s{x}")) for x in "ab")
     fits = (F.col("_na") * t[0] <= F.col("_nb") * t[1]) & (F.col("_nb") * t[0] <= F.col("_na") * t[1])
-    pairs = left.join(right, "_token").filter((F.col("_ra") < F.col("_rb")) & fits)
-    pairs = pairs.withColumn("_g1", F.least("_ga", "_gb")).withColumn("_g2", F.greatest("_ga", "_gb"))
-    counted = pairs.join(opened, ["_g1", "_g2"]).groupBy("a", "b", "_g1", "_g2", "_na", "_nb", "_wide").count()
-    return counted.filter(F.col("count") + F.col("_wide") >= _lack(F.col("_na"), F.col("_nb"), t)).select("a", "b", "_g1", "_g2", "count")
+    enough = F.least("_sa", "_sb") >= _lack(F.col("_na"), F.col("_nb"), t)
+    pairs = a.filter(F.col("_ra") <= width).join(b, "_token").filter((F.col("_ra") < F.col("_rb")) & fits & enough)
+    pairs = pairs.select("a", "b", F.least("_ga", "_gb").alias("_g1"), F.greatest("_ga", "_gb").alias("_g2"))
+    return pairs.distinct().join(opened, ["_g1", "_g2"], "left_semi").select("a", "b")
 
 
 def first_of_each(docs: DataFrame, k: int = 5, t: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
