@@ -22,6 +22,7 @@ from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -113,9 +114,11 @@ class WordTokenizer:
         if len(self.known) > CACHED_WORDS:
             self.forget()
         known = self.known
-        if new := [w for w in distinct if w not in known]:
+        place = np.fromiter(map(known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(missing := np.flatnonzero(place < 0)):
+            new = [distinct[i] for i in missing.tolist()]
             self.learn(new)
-        place = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))
+            place[missing] = [known[w] for w in new]
         edges, pool = np.array(self.ends), np.array(self.ids)
         codes = place[words.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
         lengths = edges[codes + 1] - edges[codes]
