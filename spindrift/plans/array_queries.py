@@ -201,7 +201,7 @@ def g04(spark, d):
 def g09(spark, d):
     e = _centres(spark, d).groupBy("label").agg(F.max_by("channel", F.abs(F.col("median"))).alias("_c"))
     parts = spark.range(64).select(F.col("id").alias("component"), F.floor(F.col("id") / 16).alias("_p"))
-    near = e.select("label", F.explode(F.sequence(F.col("_c") - 1, F.col("_c") + 1)).cast("long").alias("_p"))
+    near = e.select("label", F.explode(F.sequence(F.col("_c").cast("long") - 1, F.col("_c").cast("long") + 1)).alias("_p"))
     return parts.join(F.broadcast(near), "_p").select("label", "component")
 
 
