@@ -225,7 +225,9 @@ def _folded(x: int, size: int) -> int:
 
 def _sifted(pairs: DataFrame, bits: DataFrame, t: tuple[int, int], salts: int) -> DataFrame:
     """pairs (a, b) without those that their sketches rule out."""
-    salted = pairs.select("a", "b").distinct().withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
+    pairs = materialise(pairs.select("a", "b").distinct(), "jaccard-pairs")
+    bits = _only(bits, pairs, pairs.count())
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
     left = salted.join(bits.select(F.col("_id").alias("a"), F.col("_n").alias("_na"), F.col("_bits").alias("_ba")), "a")
     right = salted.select("b", "_salt").distinct().join(bits.select(F.col("_id").alias("b"), F.col("_n").alias("_nb"), F.col("_bits").alias("_bb")), "b")
     both = left.join(right, ["b", "_salt"]).select("a", "b", "_na", "_ba", "_nb", "_bb")
@@ -241,7 +243,9 @@ def _sifted(pairs: DataFrame, bits: DataFrame, t: tuple[int, int], salts: int) -
 
 def _verify(pairs: DataFrame, texts: DataFrame, bits: DataFrame, k: int, t: tuple[int, int], salts: int) -> DataFrame:
     """(a, b) of pairs that link. texts: _id, _text. b may be in many pairs: its text is sent once for each salt in use."""
-    salted = _sifted(pairs, bits, t, salts).withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
+    sifted = _sifted(pairs, bits, t, salts)
+    texts = _only(texts, sifted, sifted.count())
+    salted = sifted.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
     left = salted.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a")
     right = salted.select("b", "_salt").distinct().join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_tb")), "b")
     both = left.join(right, ["b", "_salt"]).select("a", "b", "_ta", "_tb")
@@ -340,7 +344,7 @@ def _links(docs: DataFrame, k: int, t: tuple[int, int], frequent: list, rows: in
         now = components(links)
         g1, g2 = now.select(F.col("node").alias("_g1"), F.col("component").alias("_c1")), now.select(F.col("node").alias("_g2"), F.col("component").alias("_c2"))
         apart = opened.select("_g1", "_g2").distinct().join(g1, "_g1", "left").join(g2, "_g2", "left").filter(F.coalesce("_c1", "_g1") != F.coalesce("_c2", "_g2"))
-        candidates = _candidates(grouped, materialise(apart.select("_g1", "_g2"), "jaccard-apart"), t, width)
+        candidates = _candidates(grouped, materialise(apart.select("_g1", "_g2"), "jaccard-apart"), t)
         links = materialise(links.unionByName(_verify(candidates, texts, bits, k, t, salts)), "jaccard-links")
         # cells wider than width go on without the groups that have met all others
         slim = grouped.filter((F.col("_size") > width) & (F.col("_r") > width)).select("_token", "_id", "_n", "_rest")
@@ -390,16 +394,23 @@ def _qualifying(matrix: DataFrame, t: tuple[int, int], width: int) -> DataFrame:
     return both.select(F.least("_ga", "_gb").alias("_g1"), F.greatest("_ga", "_gb").alias("_g2"), "a", "b").distinct()
 
 
-def _candidates(grouped: DataFrame, opened: DataFrame, t: tuple[int, int], width: int) -> DataFrame:
-    """Pairs of documents (a, b) of opened groups that qualify in a cell."""
-    concerned = opened.select(F.col("_g1").alias("_group")).union(opened.select("_g2")).distinct()
-    ranked = grouped.join(concerned, "_group", "left_semi")
-    a, b = (ranked.select("_token", F.col("_id").alias(x), F.col("_n").alias(f"_n{x}"), F.col("_group").alias(f"_g{x}"), F.col("_r").alias(f"_r{x}"), F.col("_rest").alias(f"_s{x}")) for x in "ab")
+def _candidates(grouped: DataFrame, opened: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Pairs of documents (a, b) of opened groups that qualify in a cell. The rows of the smaller group lead to those of the larger one."""
+    sizes = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
+    s1, s2 = (sizes.select(F.col("_group").alias(g), F.col("_rows").alias(r)) for g, r in (("_g1", "_m1"), ("_g2", "_m2")))
+    both = opened.join(s1, "_g1").join(s2, "_g2")
+    swap = F.col("_m1") > F.col("_m2")
+    both = both.select(F.when(swap, F.col("_g2")).otherwise(F.col("_g1")).alias("_ga"), F.when(swap, F.col("_g1")).otherwise(F.col("_g2")).alias("_gb"))
+    a, b = (grouped.select("_token", F.col("_id").alias(x), F.col("_n").alias(f"_n{x}"), F.col("_group").alias(f"_g{x}"), F.col("_rest").alias(f"_s{x}")) for x in "ab")
     fits = (F.col("_na") * t[0] <= F.col("_nb") * t[1]) & (F.col("_nb") * t[0] <= F.col("_na") * t[1])
     enough = F.least("_sa", "_sb") >= _lack(F.col("_na"), F.col("_nb"), t)
-    pairs = a.filter(F.col("_ra") <= width).join(b, "_token").filter((F.col("_ra") < F.col("_rb")) & fits & enough)
-    pairs = pairs.select("a", "b", F.least("_ga", "_gb").alias("_g1"), F.greatest("_ga", "_gb").alias("_g2"))
-    return pairs.distinct().join(opened, ["_g1", "_g2"], "left_semi").select("a", "b")
+    return both.join(a, "_ga").join(b, ["_token", "_gb"]).filter(fits & enough).select("a", "b").distinct()
+
+
+def _only(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """rows of documents that a pair names, and few others: the rest stays where it is."""
+    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b"))
+    return _member(ids, n).mark(rows, "_id").filter("_suspect").drop("_suspect")
 
 
 def first_of_each(docs: DataFrame, k: int = 5, t: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
