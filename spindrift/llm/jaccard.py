@@ -40,7 +40,7 @@ from .components import components
 from .exact_dedup import RepeatFilter
 
 SLICE_BYTES = 2 << 20
-FREQUENT = 100_000
+FREQUENT = 500_000
 WIDTH = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -108,16 +108,26 @@ def needed(n: np.ndarray | int, t: tuple[int, int]) -> np.ndarray | int:
 
 
 class LossyCounter:
-    """Counts of frequent items, of bounded size: rare ones fall out when there are too many."""
+    """Counts of frequent items, of bounded size: items are merged in large batches, and rare ones fall out when there are too many."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 1_000_000):
         self.items, self.counts, self.limit, self.floor = np.zeros(0, np.uint64), np.zeros(0, np.int64), limit, 1
+        self.new, self.pending = [], 0
 
     def add(self, items: np.ndarray) -> None:
-        both = np.concatenate([self.items, items])
-        weight = np.concatenate([self.counts, np.ones(len(items), np.int64)])
-        self.items, at = np.unique(both, return_inverse=True)
-        self.counts = np.bincount(at, weight, len(self.items)).astype(np.int64)
+        self.new.append(items)
+        self.pending += len(items)
+        if self.pending >= 2 * self.limit:
+            self.merge()
+
+    def merge(self) -> None:
+        both = np.concatenate([self.items, *self.new])
+        order = np.argsort(both)
+        both = both[order]
+        weight = np.concatenate([self.counts, np.ones(self.pending, np.int64)])[order]
+        starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+        self.items, self.counts = both[starts], np.add.reduceat(weight, starts) if len(starts) else weight
+        self.new, self.pending = [], 0
         while len(self.items) > self.limit:
             keep = self.counts > self.floor
             self.items, self.counts = self.items[keep], self.counts[keep]
@@ -131,7 +141,7 @@ def _texts(batch: pa.RecordBatch, at: int):
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: _id, _n, _sig of each document; _token, _count of shingles that a task saw at least 4 times."""
+    """Rows of two kinds: _id, _n, _sig of each document; _token, _count of shingles that a task saw more than once."""
 
     def run(batches):
         shingler, counter = Shingler(k), LossyCounter()
@@ -145,7 +155,8 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
                 counter.add(np.concatenate(sets))
             none = pa.nulls(len(ns), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), none, none], names)
-        keep = counter.counts >= 4
+        counter.merge()
+        keep = counter.counts >= 2
         tokens = pa.array(counter.items[keep].view(np.int64))
         none = pa.nulls(len(tokens), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(tokens), pa.binary()), tokens, pa.array(counter.counts[keep])], names)
@@ -153,12 +164,11 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
     return materialise(docs.mapInArrow(run, "_id long, _n long, _sig binary, _token long, _count long"), "jaccard-profile")
 
 
-def prefixes(docs: DataFrame, k: int, t: tuple[int, int], frequent: list[tuple[int, int]]) -> DataFrame:
-    """_id, _n and _prefix, the hashes of the first n - ceil(t n) + 1 shingles, rare ones first."""
-    order = sorted(frequent)
-    tokens = np.array([x for x, _ in order], np.int64).view(np.uint64)
+def prefixes(docs: DataFrame, k: int, t: tuple[int, int], frequent: pa.Table) -> DataFrame:
+    """_id, _n and _prefix, the hashes of the first n - ceil(t n) + 1 shingles, rare ones first. frequent: _token, _count."""
+    tokens = frequent.column("_token").to_numpy().astype(np.int64).view(np.uint64)
     by = np.argsort(tokens)
-    tokens, classes = tokens[by], np.log2([max(1, c) for _, c in order]).astype(np.uint64)[by]
+    tokens, classes = tokens[by], np.log2(np.maximum(1, frequent.column("_count").to_numpy().astype(np.int64))).astype(np.uint64)[by]
 
     def run(batches):
         shingler = Shingler(k)
@@ -176,7 +186,8 @@ def prefixes(docs: DataFrame, k: int, t: tuple[int, int], frequent: list[tuple[i
                     n = len(s)
                     p = n - needed(n, t) + 1 if n else 0
                     own = rank[begin : begin + n]
-                    found.append(s[np.lexsort((s, own))[:p]] if p else s)
+                    # without a frequent one the order is that of the hashes, in which s is already
+                    found.append(s[:p] if not n or own.max() >> np.uint64(58) == 0 else s[np.argsort(own, kind="stable")[:p]])
                     ns.append(n)
                     begin += n
             lengths = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
@@ -281,7 +292,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: tuple[int, int] = (75, 10
     sizes = found.filter(F.col("_n").isNotNull()).select("_id", "_n", "_sig")
     rows = sizes.count()
     totals = found.filter(F.col("_token").isNotNull()).groupBy("_token").agg(F.sum("_count").alias("_count")).filter("_count >= 8")
-    frequent = [tuple(r) for r in totals.orderBy(F.desc("_count"), "_token").limit(FREQUENT).collect()]
+    frequent = totals.orderBy(F.desc("_count"), "_token").limit(FREQUENT).toArrow()
 
     usable = sizes.filter("_n > 0 and _id is not null")
     groups = usable.groupBy("_n", "_sig").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_rows"))
@@ -309,7 +320,7 @@ def _without(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
     return marked.filter(~F.col("_suspect")).drop("_suspect").unionByName(marked.filter("_suspect").drop("_suspect").join(ids, "_id", "left_anti"))
 
 
-def _links(docs: DataFrame, k: int, t: tuple[int, int], frequent: list, rows: int) -> DataFrame:
+def _links(docs: DataFrame, k: int, t: tuple[int, int], frequent: pa.Table, rows: int) -> DataFrame:
     """Links (a, b) that connect just what all links connect. docs: _id, _text, one row per set."""
     salts = max(16, rows // 20_000)
     cells = prefixes(docs, k, t, frequent).filter("_n > 0").select(F.explode("_prefix").alias("_token"), "_id", "_n")
