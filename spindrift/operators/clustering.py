@@ -438,18 +438,16 @@ def dip_test(values: np.ndarray, draws: int = 1000, seed: int = 0) -> tuple[floa
     return own, float(((own < null).sum() + 1) / (draws + 1))
 
 
-def dip_by_group(df: DataFrame, keys: list[str], value: str, draws: int = 200, sample: int = 2000, seed: int = 0) -> DataFrame:
-    """keys, dip, p: one test per group on at most `sample` of its values, in hash order."""
-    from .relational import sample_per_key
-
-    picked = sample_per_key(df.withColumn("_h", F.xxhash64(*df.columns)), keys, "_h", sample, seed)
+def dip_by_group(df: DataFrame, keys: list[str], value: str, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """keys, dip, p: one test per group on all its values; a group comes to its task as distinct values with counts. Null values are left out."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, p = dip_test(pdf[value].to_numpy(), draws, seed)
+        d, p = dip_test(np.repeat(pdf[value].to_numpy(float), pdf["_n"].to_numpy()), draws, seed)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "dip": [d], "p": [p]})
 
     kinds = dict(df.dtypes)
-    return picked.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "dip double", "p double"]))
+    return counted.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "dip double", "p double"]))
 
 
 def auto_split(features: DataFrame, id_col: str, label: str = "cluster_label", vec: str = "features", p_value: float = 0.1, min_cluster_size: int = 20, seed: int = 0) -> DataFrame:

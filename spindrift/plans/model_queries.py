@@ -122,7 +122,7 @@ def k13(spark, d):
 
 @query("K14_dip_test")
 def k14(spark, d):
-    return v.round_all(clustering.dip_by_group(v.train(spark, d).select("cluster_label", "extremum_amplitude"), ["cluster_label"], "extremum_amplitude", 50, 500), "dip", "p", digits=6)
+    return v.round_all(clustering.dip_by_group(v.train(spark, d).select("cluster_label", "extremum_amplitude"), ["cluster_label"], "extremum_amplitude"), "dip", "p", digits=6)
 
 
 @query("K15_auto_split")

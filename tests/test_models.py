@@ -210,3 +210,20 @@ def test_whole_pipeline_recovers_events(spark):
     assert len(named) > 0.9 * len(truth)
     pure = sum(max(sum(1 for t, m in named if m == label and t == k) for k in range(3)) for label in c.labels)
     assert pure > 0.95 * len(named)
+
+
+def test_dip_by_group_takes_every_value(spark):
+    r = np.random.default_rng(5)
+    sets = {0: np.r_[r.normal(0, 1, 2900), r.normal(9, 0.2, 100)], 1: np.round(r.normal(0, 1, 700), 1)}
+    df = spark.createDataFrame([(k, float(x)) for k, values in sets.items() for x in values], "cluster_label long, x double")
+    got = {row.cluster_label: (row.dip, row.p) for row in clustering.dip_by_group(df, ["cluster_label"], "x", draws=5).collect()}
+    assert got == {k: clustering.dip_test(values, 5) for k, values in sets.items()}
+
+
+def test_k14_uses_all_values_and_1000_draws(spark, sf_dir, monkeypatch):
+    from spindrift.plans import model_queries
+
+    seen = []
+    monkeypatch.setattr(clustering, "dip_by_group", lambda df, keys, value, draws=1000, **options: seen.append((draws, options)) or df.limit(0).selectExpr("cluster_label", "0D AS dip", "0D AS p"))
+    model_queries.k14(spark, sf_dir)
+    assert seen == [(1000, {})]
