@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..operators import metrics, trains, waveforms
 from . import views as v
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 _CENTRES = f"""WITH {v.LONG}, m AS (SELECT label, "offset", channel, median(value) AS med, avg(value) AS mean, stddev_pop(value) AS std FROM long GROUP BY ALL)"""
 _VECS = _CENTRES + """, vec AS (SELECT label, list(med ORDER BY channel, "offset") AS x FROM m GROUP BY 1)"""
@@ -180,8 +180,16 @@ def a12(spark, d):
     SELECT label, arg_min(first, (round(distance, 9), first, second, shift)) AS first, arg_min(second, (round(distance, 9), first, second, shift)) AS second, arg_min(shift, (round(distance, 9), first, second, shift))::INT AS shift, round(min(distance), 6) AS distance FROM g GROUP BY 1""",
 )
 def j07(spark, d):
-    long = waveforms.long_form(v.waves(spark, d).filter("label < 5"), "vec_id", "wf", v.CHANNELS, "label")
-    m = long.groupBy("label", "offset", "channel").agg(F.median("value").alias("median"))
+    return _overlaps(v.waves(spark, d).filter("label < 5"))
+
+
+@query("J07_overlap_triples_whole", ORACLE_SQL["J07_overlap_triples"].replace(" WHERE label < 5", ""))
+def j07_whole(spark, d):
+    return _overlaps(v.waves(spark, d))
+
+
+def _overlaps(waves):
+    m = waveforms.long_form(waves, "vec_id", "wf", v.CHANNELS, "label").groupBy("label", "offset", "channel").agg(F.median("value").alias("median"))
     return v.round_all(metrics.overlaps(m, "label", 2), "distance")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import robust, scalar
 from ..operators import curation, relational, trains
 from . import views as v
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 
 @query(
@@ -96,7 +96,12 @@ def c07(spark, d):
 
 @query("C08_sorted_peaks", f"WITH {v.TRAIN} SELECT peak_id, extremum_amplitude FROM train ORDER BY abs(extremum_amplitude) DESC, peak_id LIMIT 100")
 def c08(spark, d):
-    return v.train(spark, d).orderBy(F.desc(F.abs("extremum_amplitude")), "peak_id").limit(100).select("peak_id", "extremum_amplitude")
+    return c08_whole(spark, d).limit(100)
+
+
+@query("C08_sorted_peaks_whole", ORACLE_SQL["C08_sorted_peaks"].replace(" LIMIT 100", ""))
+def c08_whole(spark, d):
+    return v.train(spark, d).orderBy(F.desc(F.abs("extremum_amplitude")), "peak_id").select("peak_id", "extremum_amplitude")
 
 
 _HASH = "((peak_id % 2147483648 + 0) * 2654435761) % 4294967296"
@@ -330,8 +335,17 @@ def p16(spark, d):
 
 @query("S10_point_lookup", f"WITH {v.SIGNAL}, p AS (SELECT event_id AS peak_id, CAST(event_id // 4096 AS INT) AS segment, (event_id % 512) AS sample, CAST(user_id % 8 AS INT) AS channel FROM events WHERE event_id % 10 = 0) SELECT peak_id, round(value, 6) AS value FROM p JOIN signal USING (segment, sample, channel)")
 def s10(spark, d):
+    return _looked_up(spark, d, 10)
+
+
+@query("S10_point_lookup_whole", ORACLE_SQL["S10_point_lookup"].replace(" WHERE event_id % 10 = 0", ""))
+def s10_whole(spark, d):
+    return _looked_up(spark, d)
+
+
+def _looked_up(spark, d, every: int = 1):
     i = F.col("event_id")
-    p = spark.read.parquet(f"{d}/events.parquet").filter(i % 10 == 0).select(i.alias("peak_id"), F.floor(i / 4096).cast("int").alias("segment"), (i % 512).alias("sample"), (F.col("user_id") % 8).cast("int").alias("channel"))
+    p = spark.read.parquet(f"{d}/events.parquet").filter(i % every == 0).select(i.alias("peak_id"), F.floor(i / 4096).cast("int").alias("segment"), (i % 512).alias("sample"), (F.col("user_id") % 8).cast("int").alias("channel"))
     return v.round_all(p.join(v.signal(spark, d), ["segment", "sample", "channel"]).select("peak_id", "value"), "value")
 
 
@@ -415,6 +429,6 @@ def s12t(spark, d):
 def s24(spark, d):
     from ..sources import importers
 
-    t = v.train(spark, d).filter("peak_id % 10 = 0").select((F.col("peak_id") * 37 % 4096).alias("t"), (F.col("cluster_label") % 3).alias("unit"))
-    spikes = importers.from_spike_table(t.withColumn("t", F.floor(F.col("t") / 9)), "unit", "t")
-    return importers.align_units(spikes, v.signal(spark, d).filter("segment = 0"), -3, 4).select("segment", "index", "channel", F.round("extremum_amplitude", 6).alias("extremum_amplitude"), "cluster_label")
+    t = v.train(spark, d).select((F.col("peak_id") * 37 % 4096).alias("t"), (F.col("cluster_label") % 3).alias("unit"), F.floor(F.col("peak_id") / 4096).alias("s"))
+    spikes = importers.from_spike_table(t.withColumn("t", F.floor(F.col("t") / 9)), "unit", "t", segment="s")
+    return importers.align_units(spikes, v.signal(spark, d), -3, 4).select("segment", "index", "channel", F.round("extremum_amplitude", 6).alias("extremum_amplitude"), "cluster_label")

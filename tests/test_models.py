@@ -227,3 +227,49 @@ def test_k14_uses_all_values_and_1000_draws(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(clustering, "dip_by_group", lambda df, keys, value, draws=1000, **options: seen.append((draws, options)) or df.limit(0).selectExpr("cluster_label", "0D AS dip", "0D AS p"))
     model_queries.k14(spark, sf_dir)
     assert seen == [(1000, {})]
+
+
+MIDDLE = "/root/testdata/sf0.01"
+
+
+def test_s24_takes_every_spike_of_every_segment(spark):
+    from spindrift.plans import event_queries
+
+    events = spark.read.parquet(f"{MIDDLE}/events.parquet").select("event_id", "user_id", "value").collect()
+    signal = {(e.event_id // 4096, e.event_id % 4096 // 8, e.event_id % 8): e.value - 245 for e in events}
+    spikes = [(e.event_id // 4096, e.event_id * 37 % 4096 // 9, e.user_id % 6 % 3) for e in events]
+    sums = {}
+    for segment, index, unit in spikes:
+        for shift in range(-3, 4):
+            for channel in range(8):
+                x = signal.get((segment, index + shift, channel))
+                if x is not None:
+                    total, n = sums.get((unit, shift, channel), (0.0, 0))
+                    sums[unit, shift, channel] = total + x, n + 1
+    place = {u: min((t / n, shift, c) for (v, shift, c), (t, n) in sums.items() if v == u)[1:] for u in range(3)}
+    want = []
+    for segment, index, unit in spikes:
+        shift, channel = place[unit]
+        x = signal.get((segment, index + shift, channel))
+        if x is not None:
+            want.append((segment, index + shift, channel, round(x, 4), unit))
+    got = event_queries.s24(spark, MIDDLE).collect()
+    assert sorted((r.segment, r["index"], r.channel, round(r.extremum_amplitude, 4), r.cluster_label) for r in got) == sorted(want)
+    assert len({r.segment for r in got}) > 1
+
+
+def test_f02_keeps_clear_of_every_spike(spark, sf_dir, monkeypatch):
+    from spindrift.plans import model_queries
+
+    seen = []
+    monkeypatch.setattr(waveforms, "noise_positions", lambda lengths, peaks, *more: seen.append(peaks.count()))
+    model_queries.f02(spark, sf_dir)
+    assert seen == [spark.read.parquet(f"{sf_dir}/events.parquet").count()]
+
+
+def test_whole_forms_have_the_sql_of_the_others_without_its_filter():
+    from spindrift.plans.registry import ORACLE_SQL, QUERIES
+
+    for name in ("X13_prediction", "X13_residual", "J01_waveform_cut", "S10_point_lookup", "J07_overlap_triples", "C08_sorted_peaks"):
+        sql = ORACLE_SQL[f"{name}_whole"]
+        assert f"{name}_whole" in QUERIES and not any(cut in sql for cut in ("% 37", "% 53", "% 10 ", "label < 5", "LIMIT"))
