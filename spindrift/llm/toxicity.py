@@ -127,7 +127,7 @@ def training_mask(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000, min_rows: int = 5, precision: float = 0.95, max_terms: int = 2000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000, min_rows: int = 5, precision: float = 0.95) -> Lexicon:
     """A Lexicon from docs joined with labels. All that comes to the driver is bounded by the sample."""
     small_arrow_batches(docs.sparkSession)
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("_toxic"))
@@ -148,10 +148,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         stems = [F.when(F.length("_word") >= n, F.concat(F.lit(" "), F.substring("_word", 1, n))) for n in STEM_SIZES]
         terms = bags.select("_id", "_toxic", F.explode("_words").alias("_word")).select("_id", "_toxic", F.explode(F.array(F.concat(F.lit(" "), "_word", F.lit(" ")), *stems)).alias("_term")).filter("_term is not null and length(_term) >= 5").distinct()
         share = totals[0] / max(1, min(totals[0], max_clean)), totals[1] / max(1, min(totals[1], max_toxic))
-        counts = terms.groupBy("_term").agg(F.sum("_toxic").alias("_t"), F.sum(1 - F.col("_toxic")).alias("_c"))
+        marks = [F.bit_xor(F.when(F.col("_toxic") == 1, F.xxhash64("_id", F.lit(n)))).alias(f"_set{n}") for n in (0, 1)]
+        counts = terms.groupBy("_term").agg(F.sum("_toxic").alias("_t"), F.sum(1 - F.col("_toxic")).alias("_c"), *marks)
         good = counts.filter((F.col("_t") >= min_rows) & (F.col("_t") * share[1] >= precision * (F.col("_t") * share[1] + F.col("_c") * share[0])))
-        good = good.orderBy(F.desc("_t"), F.length("_term"), "_term").limit(max_terms)
-        explained = terms.filter("_toxic = 1").join(F.broadcast(good), "_term").select("_term", "_id", "_t", "_c").collect()  # max_terms times max_toxic at most
+        # of terms of the same toxic rows the cover takes the first of the shortest: the others, as of copied texts, need not come
+        good = good.groupBy("_set0", "_set1", "_t").agg(F.min(F.struct(F.length("_term").alias("_n"), "_term", "_c")).alias("_best")).select("_best._term", "_t", "_best._c")
+        explained = terms.filter("_toxic = 1").join(good, "_term").select("_term", "_id", "_t", "_c").collect()  # words of the sample's toxic rows at most
         lexicon = Lexicon(terms=_cover(explained, min_rows, totals, share))
         lexicon.exceptions = _exceptions(rows, lexicon)
         return _calibrated(rows, lexicon, share)
@@ -202,7 +204,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 3) -> list[str]:
 
     pairs = rows.select(F.col("_text").cast("string"), "_toxic").mapInArrow(run, "_pair string, _toxic int")
     kept = pairs.groupBy("_pair").agg(F.sum("_toxic").alias("_t"), F.sum(1 - F.col("_toxic")).alias("_c")).filter((F.col("_t") == 0) & (F.col("_c") >= least))
-    return sorted({*Lexicon().exceptions, *(r[0] for r in kept.orderBy(F.desc("_c"), "_pair").limit(1000).collect())})
+    return sorted({*Lexicon().exceptions, *(r[0] for r in kept.select("_pair").collect())})
 
 
 def _calibrated(rows: DataFrame, lexicon: Lexicon, share: tuple[float, float]) -> Lexicon:

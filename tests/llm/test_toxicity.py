@@ -61,3 +61,14 @@ def test_odd_rows_without_labels(spark, odd, empty):
     kept = t.drop_toxic(odd, lexicon)
     assert kept.columns == odd.columns and kept.count() == sum(r.score < 0.7 for r in got)
     assert t.score(empty, lexicon).count() == 0 and t.drop_toxic(empty, lexicon).count() == 0
+
+
+def test_copies_of_a_text_of_many_words_do_not_crowd_out_rarer_terms(spark):
+    import itertools
+
+    words = ["".join(w) for w in itertools.islice(itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rstvz"), 0, None, 4)]
+    copied = " ".join(f"{w}{w[::-1]}" for w in words)
+    rows = [(i, copied, 1) for i in range(30)] + [(100 + i, f"some plain lines with zorgblat in row {i}", 1) for i in range(8)] + [(1000 + i, f"some plain lines with nothing in row {i}", 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = t.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert any(" zorgblat ".startswith(x) for x in lexicon.terms), lexicon.terms
