@@ -31,51 +31,30 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, small_arrow_batches
 from .components import components
 from .exact_dedup import RepeatFilter
+from .words import WordHasher, hashed_words, mix64
 
 SLICE_BYTES = 2 << 20
 FREQUENT = 500_000
 WIDTH = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
 
 
 class Shingler:
-    """Hashes of the k-word shingles of texts; remembers the hashes of words."""
+    """Hashes of the k-word shingles of texts."""
 
     def __init__(self, k: int = 5, lower: bool = True):
-        self.k, self.lower, self.known = k, lower, {}
+        self.k, self.hasher = k, WordHasher(lower=lower)
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """A hash for each word of all texts, and the bounds of each text in it."""
-        texts = pc.fill_null(texts, "")
-        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lower else texts)
-        flat = parts.flatten()
-        offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)
-        words = flat.dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if len(self.known) > 300_000:
-            self.known.clear()
-        for w in distinct:
-            if w not in self.known:
-                self.known[w] = xxhash.xxh64_intdigest(w)
-        hashes = np.fromiter((self.known[w] for w in distinct), np.uint64, len(distinct))[words.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
-        kept = np.r_[0, np.cumsum(~empty)]
-        return hashes[~empty], kept[offsets]
+        (hashes,), bounds = hashed_words(texts, self.hasher)
+        return hashes, bounds
 
     def shingles(self, texts: pa.Array) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""
@@ -99,9 +78,6 @@ class Shingler:
         return out
 
 
-np.seterr(over="ignore")
-
-
 def needed(n: np.ndarray | int, t: tuple[int, int]) -> np.ndarray | int:
     """ceil(t n)."""
     return -(-n * t[0] // t[1])
