@@ -65,10 +65,17 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, rows: int, size_col:
     return near.unionByName(far)
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 512, size: str = "8388608") -> None:
-    """Bound what one Arrow batch holds, for columns of whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def small_arrow_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Bound what one Arrow batch holds, for columns of whole texts.
+
+    These options are the session's and plans are lazy, so all operators ask for the same bounds, which are only ever lowered; they
+    change costs, not results.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, "").upper()
+        if not now.isdigit() or int(now) == 0 or int(now) > most:
+            spark.conf.set(key, str(most))
 
 
 def slices(sizes, limit: int) -> Iterator[tuple[int, int]]:

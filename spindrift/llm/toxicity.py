@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches, unit_hash
+from .common import materialise, small_arrow_batches, unit_hash
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(
@@ -136,48 +135,62 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Lexicon()
     order = unit_hash(F.col("_id").cast("string"), seed=6)
     picked = known.filter("_toxic = 1").orderBy(order).limit(max_toxic).unionByName(known.filter("_toxic = 0").orderBy(order).limit(max_clean))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(picked), "_id")
+    # one text of each id, so the sample is as bounded as the ids
+    rows = materialise(found.groupBy(F.col("_id").cast("long").alias("_id"), "_toxic").agg(F.min("_text").alias("_text")).select("_id", "_text", "_toxic"), "toxic-sample")
 
     def words(batches):
         for batch in batches:
             found = [sorted(set(fold(t).split())) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2)], ["_id", "_words", "_toxic"])
 
-    bags = rows.select(F.col("_id").cast("long"), F.col("_text").cast("string"), "_toxic").mapInArrow(words, "_id long, _words array<string>, _toxic int").persist()
-    try:
-        stems = [F.when(F.length("_word") >= n, F.concat(F.lit(" "), F.substring("_word", 1, n))) for n in STEM_SIZES]
-        terms = bags.select("_id", "_toxic", F.explode("_words").alias("_word")).select("_id", "_toxic", F.explode(F.array(F.concat(F.lit(" "), "_word", F.lit(" ")), *stems)).alias("_term")).filter("_term is not null and length(_term) >= 5").distinct()
-        share = totals[0] / max(1, min(totals[0], max_clean)), totals[1] / max(1, min(totals[1], max_toxic))
-        marks = [F.bit_xor(F.when(F.col("_toxic") == 1, F.xxhash64("_id", F.lit(n)))).alias(f"_set{n}") for n in (0, 1)]
-        counts = terms.groupBy("_term").agg(F.sum("_toxic").alias("_t"), F.sum(1 - F.col("_toxic")).alias("_c"), *marks)
-        good = counts.filter((F.col("_t") >= min_rows) & (F.col("_t") * share[1] >= precision * (F.col("_t") * share[1] + F.col("_c") * share[0])))
-        # of terms of the same toxic rows the cover takes the first of the shortest: the others, as of copied texts, need not come
-        good = good.groupBy("_set0", "_set1", "_t").agg(F.min(F.struct(F.length("_term").alias("_n"), "_term", "_c")).alias("_best")).select("_best._term", "_t", "_best._c")
-        explained = terms.filter("_toxic = 1").join(good, "_term").select("_term", "_id", "_t", "_c").collect()  # words of the sample's toxic rows at most
-        lexicon = Lexicon(terms=_cover(explained, min_rows, totals, share))
-        lexicon.exceptions = _exceptions(rows, lexicon)
-        return _calibrated(rows, lexicon, share)
-    finally:
-        bags.unpersist()
-
-
-def _cover(explained, min_rows: int, totals: dict, share: tuple[float, float]) -> dict[str, float]:
-    """Terms chosen greedily by the rows that they alone explain; the shorter one of equals, so a stem before its words."""
-    rows, stats = defaultdict(set), {}
-    for term, doc, t, c in explained:
-        rows[term].add(doc)
-        stats[term] = (t, c)
-    chosen, covered = {}, set()
-    heap = sorted(rows, key=lambda t: (-len(rows[t]), len(t), t))
+    bags = materialise(rows.mapInArrow(words, "_id long, _words array<string>, _toxic int"), "toxic-words")
+
+    def stems(word):
+        return F.array(F.concat(F.lit(" "), word, F.lit(" ")), *[F.when(F.length(word) >= n, F.concat(F.lit(" "), F.substring(word, 1, n))) for n in STEM_SIZES])
+
+    each = F.array_distinct(F.flatten(F.transform("_words", stems)))
+    terms = bags.select("_id", "_toxic", F.explode(each).alias("_term")).filter("_term is not null and length(_term) >= 5")
+    share = totals[0] / max(1, min(totals[0], max_clean)), totals[1] / max(1, min(totals[1], max_toxic))
+    marks = [F.bit_xor(F.xxhash64("_id", F.lit(n))).alias(f"_set{n}") for n in (0, 1)]
+    often = terms.filter("_toxic = 1").groupBy("_term").agg(F.count(F.lit(1)).alias("_t"), *marks).filter(F.col("_t") >= min_rows)
+    often = materialise(often, "toxic-often")  # terms of the toxic sample at most; only they are counted in clean rows
+    clean = terms.filter("_toxic = 0").join(F.broadcast(often.select("_term")), "_term").groupBy("_term").agg(F.count(F.lit(1)).alias("_c"))
+    counts = often.join(F.broadcast(clean), "_term", "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
+    good = counts.filter(F.col("_t") * share[1] >= precision * (F.col("_t") * share[1] + F.col("_c") * share[0]))
+    # of terms of the same toxic rows the cover takes the first of the shortest: the others, as of copied texts, need not come
+    good = good.groupBy("_set0", "_set1", "_t").agg(F.min(F.struct(F.length("_term").alias("_n"), "_term", "_c")).alias("_best")).select("_best._term", "_t", "_best._c")
+    explained = terms.filter("_toxic = 1").join(F.broadcast(good), "_term").groupBy("_term", "_t", "_c").agg(F.collect_list("_id").alias("_ids")).toArrow()
+    lexicon = Lexicon(terms=_cover(explained, min_rows, totals, share))
+    lexicon.exceptions = _exceptions(rows, lexicon)
+    return _calibrated(rows, lexicon, share)
+
+
+def _cover(explained: pa.Table, min_rows: int, totals: dict, share: tuple[float, float]) -> dict[str, float]:
+    """Terms chosen greedily by the rows that they alone explain; the shorter one of equals, so a stem before its words.
+
+    explained: term, toxic rows, clean rows, ids of its toxic rows; sets of rows are bits of one number, max_toxic at most.
+    """
+    number: dict[int, int] = {}
+    rows, stats = {}, {}
+    for term, t, c, ids in zip(*[explained.column(i) for i in range(4)], strict=True):
+        bits = 0
+        for i in ids.as_py():
+            bits |= 1 << number.setdefault(i, len(number))
+        rows[term.as_py()], stats[term.as_py()] = bits, (t.as_py(), c.as_py())
+    chosen, covered = {}, 0
+    heap = sorted(rows, key=lambda t: (-rows[t].bit_count(), len(t), t))
     while heap:
-        term = max(heap, key=lambda t: (len(rows[t] - covered), -len(t)))
-        if len(rows[term] - covered) < min_rows:
+        own = [(rows[t] & ~covered).bit_count() for t in heap]
+        best = max(range(len(heap)), key=lambda i: (own[i], -len(heap[i])))
+        term = heap[best]
+        if own[best] < min_rows:
             break
         t, c = stats[term]
         odds = (t * share[1] + 0.5) / (totals[1] + 1) / ((c * share[0] + 0.5) / (totals[0] + 1))
         chosen[term] = round(max(1.0, math.log(odds)), 4)
         covered |= rows[term]
-        heap = [x for x in heap if x != term and len(rows[x] - covered) >= min_rows]
+        heap = [x for x, n in zip(heap, own, strict=True) if x != term and n >= min_rows]
     for term in Lexicon().terms:
         if not any(term.startswith(x.rstrip()) and not x.endswith(" ") for x in chosen) and f"{term} " not in chosen:
             chosen.setdefault(term, DEFAULT_WEIGHT)

@@ -52,3 +52,31 @@ def test_reruns_agree_and_rows_repeat(documents):
 
 def test_empty(empty):
     assert mix(empty).count() == 0 and mixed(empty).count() == 0
+
+
+def test_inclusion_follows_each_documents_own_probability(spark):
+    """Of many documents of one size, the share taken is near the expected copies; larger ones are taken more often; some words are certain."""
+    rows = [(i, " ".join(["w"] * (1, 3, 20)[i % 3]), "ab"[i % 2]) for i in range(6000)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(5, 2), budget=0.8).collect()
+    share = defaultdict(list)
+    for r in got:
+        share[r.source_size, r.target, r.size].append(r.copies)
+    for source in {k[:2] for k in share}:
+        weight = {s: (1 + (s.bit_length() - 1) / 4) ** 0.5 for s in (1, 3, 20)}
+        each = {s: len(share[(*source, s)]) for s in weight}
+        factor = source[1] / sum(each[s] * s * weight[s] for s in weight)
+        for s in weight:
+            want = min(2, factor * weight[s])
+            error = 5 * (max(0.01, want % 1 * (1 - want % 1)) / each[s]) ** 0.5
+            assert abs(sum(share[(*source, s)]) / each[s] - want) < error + 0.01, (source, s, want)
+
+
+def test_mixed_agrees_with_mix_on_odd_rows(odd):
+    want = defaultdict(int)
+    for r in mix(odd).collect():
+        want[r.doc_id, r.size] += r.copies
+    got = defaultdict(int)
+    out = mixed(odd)
+    for r in out.collect():
+        got[r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))] += 1
+    assert out.columns == odd.columns and dict(got) == {k: int(n) for k, n in want.items() if n}
