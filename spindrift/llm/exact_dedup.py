@@ -4,12 +4,13 @@ Pass one sets, for each text hash, three bits of a blocked Bloom filter and keep
 the bits that were set twice. A row whose three bits are not all in the second filter is certainly
 unique: it passes straight through. Only the other rows, the possibly repeated ones, shuffle.
 
-The filter has a fixed upper size (max_bits), hence what is broadcast is bounded: 4096 bits a row,
-at most about 1.1 KB each, 18 MB for the default 2**26 bits. Beyond some 4 million documents the filter
-fills up, more rows become suspects, and results stay the same: suspects are decided by SHA-256.
+The filter grows with the keys, 16 bits for each. Up to max_bits it is broadcast: 4096 bits a row,
+at most about 1.1 KB each, 18 MB for the default 2**26 bits. Beyond, at some 4 million keys, it is joined with the rows by block,
+so no task holds more than its blocks; then the rows that it tests shuffle once. Suspects are decided by SHA-256.
 
 Defined cases: null text counts as empty; empty texts are equal to each other; null doc_id sorts
-last; of repeated rows (same doc_id, same text) exactly one is kept; an empty table gives an empty result.
+last; of repeated rows (same doc_id, same text) exactly one is kept; texts are compared whole; extra columns stay as they are whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ class RepeatFilter:
 
     def __init__(self, keys: DataFrame, digest_col: str, rows: int, max_bits: int = 1 << 26, least: int = 2):
         bits = 1 << 16
-        while bits < min(max_bits, 16 * rows):
+        while bits < 16 * rows:
             bits *= 2
+        self.small = bits <= max_bits
         self.blocks = bits // BLOCK_BITS
         marks = keys.select(self._block(F.col(digest_col)).alias("_block"), F.explode(F.array_distinct(F.array(*self._bits(F.col(digest_col))))).alias("_bit"))
         twice = marks.groupBy("_block", "_bit").count().filter(F.col("count") >= least)
@@ -49,10 +51,10 @@ class RepeatFilter:
         return [F.shiftright(h, s).bitwiseAND(BLOCK_BITS - 1).cast("int") for s in (0, 12, 24)]
 
     def mark(self, df: DataFrame, digest_col: str) -> DataFrame:
-        """df with _suspect: false only where the digest is surely unique. No shuffle."""
+        """df with _suspect: false only where the digest is surely unique. No shuffle while the filter is small enough to broadcast."""
         digest = F.col(digest_col)
         hits = [F.coalesce(F.getbit(F.element_at("_words", F.shiftright(b, 6)), b.bitwiseAND(63)), F.lit(0).cast("tinyint")) == 1 for b in self._bits(digest)]
-        joined = df.withColumn("_block", self._block(digest)).join(F.broadcast(self.table), "_block", "left")
+        joined = df.withColumn("_block", self._block(digest)).join(F.broadcast(self.table) if self.small else self.table, "_block", "left")
         return joined.withColumn("_suspect", hits[0] & hits[1] & hits[2]).drop("_block", "_words")
 
 
@@ -87,12 +89,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     slim = materialise(_slim(docs, id_col, text_col), "exact-keys")
     rows = slim.count()
     seen = RepeatFilter(slim, "_sha", rows, max_bits)
-    keys = _slim(docs, id_col, text_col).columns
-    full = docs.select("*", *[c.alias(k) for c, k in zip((F.col(id_col).cast("long"), text_digest(F.col(text_col)), F.coalesce(F.length(text_col), F.lit(0))), keys, strict=True)])
+    text = F.col(text_col)
+    full = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), text_digest(text).alias("_sha"), F.coalesce(F.length(text), F.lit(0)).alias("_n"))
     marked = seen.mark(full, "_sha")
     winners = _keepers(seen.mark(slim, "_sha").filter("_suspect"))
     # joined on all three columns, so the copies of one text spread over all tasks
     w = winners.select(F.col("_sha").alias("_w_sha"), F.coalesce("_keep", F.lit(NO_ID)).alias("_w_id"), F.col("_keep_n").alias("_w_n"))
     on = (F.col("_sha") == F.col("_w_sha")) & (F.coalesce("_id", F.lit(NO_ID)) == F.col("_w_id")) & (F.col("_n") == F.col("_w_n"))
     kept = marked.filter("_suspect").join(w, on, "left_semi").dropDuplicates(["_sha"])
-    return marked.filter(~F.col("_suspect")).unionByName(kept).select(*docs.columns)
+    return marked.filter(~F.col("_suspect")).unionByName(kept).select("_row.*")

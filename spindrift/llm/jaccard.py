@@ -21,7 +21,8 @@ of the two documents; a leader's text is salted over tasks.
 
 Defined cases: null, empty or blank texts have no shingle and link with nothing; a text of fewer than k words is one shingle, its whole
 sequence; A-Z are lower-cased; rows without id link with nothing and have a null component; rows that repeat an id are one
-document. Shingles are compared by 64-bit hashes.
+document; whole texts are compared; ties between groups go to the smaller id; extra columns stay as they are whatever their names; an
+empty table gives no rows. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ from .words import WordHasher, hashed_words, mix64
 SLICE_BYTES = 2 << 20
 FREQUENT = 500_000
 WIDTH = 64
+FEW_PAIRS = 20_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -213,7 +215,9 @@ def _folded(x: int, size: int) -> int:
 def _sifted(pairs: DataFrame, bits: DataFrame, t: tuple[int, int], salts: int) -> DataFrame:
     """pairs (a, b) without those that their sketches rule out."""
     pairs = materialise(pairs.select("a", "b").distinct(), "jaccard-pairs")
-    bits = _only(bits, pairs, pairs.count())
+    if not (n := pairs.count()):
+        return pairs
+    bits = _only(bits, pairs, n)
     salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
     left = salted.join(bits.select(F.col("_id").alias("a"), F.col("_n").alias("_na"), F.col("_bits").alias("_ba")), "a")
     right = salted.select("b", "_salt").distinct().join(bits.select(F.col("_id").alias("b"), F.col("_n").alias("_nb"), F.col("_bits").alias("_bb")), "b")
@@ -231,7 +235,9 @@ def _sifted(pairs: DataFrame, bits: DataFrame, t: tuple[int, int], salts: int) -
 def _verify(pairs: DataFrame, texts: DataFrame, bits: DataFrame, k: int, t: tuple[int, int], salts: int) -> DataFrame:
     """(a, b) of pairs that link. texts: _id, _text. b may be in many pairs: its text is sent once for each salt in use."""
     sifted = _sifted(pairs, bits, t, salts)
-    texts = _only(texts, sifted, sifted.count())
+    if not (n := sifted.count()):
+        return sifted
+    texts = _only(texts, sifted, n)
     salted = sifted.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
     left = salted.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a")
     right = salted.select("b", "_salt").distinct().join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_tb")), "b")
@@ -321,25 +327,30 @@ def _links(docs: DataFrame, k: int, t: tuple[int, int], frequent: pa.Table, rows
     # how many cells a document has from each one on, those of few documents first
     behind = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("_docs"), F.desc("_token"))).cast("long")
     slim, width = cells.select("_token", "_id", "_n", behind.alias("_rest")), WIDTH
+    labels = components(links)
     while True:
-        grouped = _matrix(slim, components(links), t)
+        grouped = _matrix(slim, labels, t)
         if grouped.isEmpty():
-            return links
+            return _stars(labels)
         opened = materialise(_qualifying(grouped, t, width), "jaccard-opened")
         # documents that stand for their groups first: groups that these link need not be opened
-        links = links.unionByName(_verify(opened.select("a", "b"), texts, bits, k, t, salts))
-        now = components(links)
+        labels = now = components(_stars(labels).unionByName(_verify(opened.select("a", "b"), texts, bits, k, t, salts)))
         g1, g2 = now.select(F.col("node").alias("_g1"), F.col("component").alias("_c1")), now.select(F.col("node").alias("_g2"), F.col("component").alias("_c2"))
         apart = opened.select("_g1", "_g2").distinct().join(g1, "_g1", "left").join(g2, "_g2", "left").filter(F.coalesce("_c1", "_g1") != F.coalesce("_c2", "_g2"))
         candidates = _candidates(grouped, materialise(apart.select("_g1", "_g2"), "jaccard-apart"), t)
-        links = materialise(links.unionByName(_verify(candidates, texts, bits, k, t, salts)), "jaccard-links")
+        labels = components(_stars(labels).unionByName(_verify(candidates, texts, bits, k, t, salts)))
         # cells wider than width go on without the groups that have met all others
         slim = grouped.filter((F.col("_size") > width) & (F.col("_r") > width)).select("_token", "_id", "_n", "_rest")
         if slim.isEmpty():
-            return links
+            return _stars(labels)
         width *= 4
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    """Links (a, b) of each document with its component: they stand for all links so far."""
+    return labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _matrix(cells: DataFrame, labels: DataFrame, t: tuple[int, int]) -> DataFrame:
     """The token-group matrix: rows (_token, _id, _n, _rest, _group) of cells that documents of several groups share.
 
@@ -395,8 +406,10 @@ def _candidates(grouped: DataFrame, opened: DataFrame, t: tuple[int, int]) -> Da
 
 
 def _only(rows: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """rows of documents that a pair names, and few others: the rest stays where it is."""
+    """rows of documents that one of n pairs names, and perhaps few others: the rest stays where it is."""
     ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b"))
+    if n <= FEW_PAIRS:
+        return rows.join(F.broadcast(ids.distinct()), "_id", "left_semi")
     return _member(ids, n).mark(rows, "_id").filter("_suspect").drop("_suspect")
 
 
@@ -405,7 +418,7 @@ def first_of_each(docs: DataFrame, k: int = 5, t: tuple[int, int] = (75, 100), i
     small_arrow_batches(docs.sparkSession)
     found = jaccard_components(docs, k, t, id_col, text_col)
     dropped = materialise(found.filter(f"component_id <> `{id_col}`").select(F.col(id_col).alias("_id")).distinct(), "jaccard-dropped")
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long"))
-    marked = _member(dropped, docs.count()).mark(keyed, "_id")
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    marked = _member(dropped, dropped.count()).mark(keyed, "_id")
     kept = marked.filter("_suspect").join(dropped, "_id", "left_anti")
-    return marked.filter(~F.col("_suspect")).select(*docs.columns).unionByName(kept.select(*docs.columns))
+    return marked.filter(~F.col("_suspect")).select("_row.*").unionByName(kept.select("_row.*"))

@@ -248,7 +248,7 @@ def _sweep(docs: DataFrame, gaps: DataFrame, each: int, top: int, capacity: int,
     bands = bands.withColumn("_before", F.coalesce(F.sum("_all").over(above), none))
     bands = bands.select("_band", "_before", F.least(F.coalesce(F.min(F.col("_before") + F.col("_least")).over(above), none), none).alias("_floor"))
     level = F.col("_before") + F.col("_sum") - F.least(F.col("_floor"), F.col("_before") + F.col("_low"))
-    spans = scanned.join(F.broadcast(bands), "_band").withColumn("_level", level).withColumn("_taken", F.least("_level", "n"))
+    spans = scanned.join(bands.hint("merge"), "_band").withColumn("_level", level).withColumn("_taken", F.least("_level", "n"))
     low = F.when(F.col("pop") == 0, F.col("_level")).otherwise(F.col("_level") - F.col("_taken"))
     high = F.when(F.col("pop") == 0, F.col("_level") + F.col("n")).otherwise(F.col("_level"))
     spans = materialise(spans.select("pop", "size", "length", "rank", "unit", "n", "_taken", low.alias("_low"), high.alias("_high")), "pack-levels")
@@ -258,8 +258,8 @@ def _sweep(docs: DataFrame, gaps: DataFrame, each: int, top: int, capacity: int,
     order = Window.orderBy("_at")
     cuts = cuts.select("_at", F.row_number().over(order).alias("_cut"), (F.lead("_at").over(order) - F.col("_at")).alias("_width"))
     lows, highs = cuts.select(F.col("_at").alias("_low"), F.col("_cut").alias("_from")), cuts.select(F.col("_at").alias("_high"), F.col("_cut").alias("_to"))
-    pieces = _few(spans, n).filter("_low < _high").join(F.broadcast(lows), "_low").join(F.broadcast(highs), "_high").withColumn("_cut", F.explode(F.expr("sequence(_from, _to - 1)")))
-    pieces = pieces.join(F.broadcast(cuts), "_cut")
+    pieces = _few(spans, n).filter("_low < _high").join(lows.hint("merge"), "_low").join(highs.hint("merge"), "_high").withColumn("_cut", F.explode(F.expr("sequence(_from, _to - 1)")))
+    pieces = pieces.join(cuts.hint("merge"), "_cut")
     turn = Window.partitionBy("_cut").orderBy(*place)
     gap = F.lag(F.struct("size", "rank", "_low")).over(turn)
     pieces = pieces.withColumn("_gap", gap).withColumn("_met", F.lead("pop").over(turn)).withColumn("_step", F.col("_at") - F.col("_low"))
@@ -316,27 +316,32 @@ def plan_rounds(counts: DataFrame, capacity: int) -> DataFrame:
     plan = "length", "rank", "unit", "n", "first", "offset"
     docs = counts.select("length", F.lit(0).cast("long").alias("rank"), "n")
     gaps = docs.select(F.col("length").alias("size"), "rank", "n").limit(0)
-    plans, opened, top, rows = [], 0, 0, 0
-    sums = F.coalesce(F.sum(F.col("length") * F.col("n")), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), F.min("length").alias("least"), F.count(F.lit(1)).alias("rows")
-    now = docs.agg(*sums).first()
-    while now["docs"]:
-        if top < now["least"]:
-            new = -(-now["tokens"] // capacity)
+    plans, opened, state = [], 0, docs.select(F.lit("docs").alias("what"), F.col("length").alias("size"), "length", F.lit(0).alias("offset"), "n")
+    while True:
+        # sums of each band of sizes, capacity / BAND of them
+        room = F.when(F.col("what") == "docs", F.col("length")).when(F.col("what") == "gaps", F.col("size")).otherwise(capacity - F.col("offset") - F.col("size"))
+        sums = state.select((F.col("what") == "docs").alias("waits"), room.alias("room"), "n").filter("room > 0").groupBy("waits", F.floor(F.col("room") / BAND).alias("band"))
+        sums = sums.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("room")).alias("tokens"), F.min("room").alias("least"), F.max("room").alias("top"), F.count(F.lit(1)).alias("rows")).collect()
+        waiting, free = [r for r in sums if r["waits"]], [r for r in sums if not r["waits"]]
+        if not waiting:
+            break
+        least, top, rows = min(r["least"] for r in waiting), max([0, *(r["top"] for r in free)]), sum(r["rows"] for r in sums)
+        holding = sum(r["n"] for r in free if r["top"] >= least)
+        if top < least:
+            new = -(-sum(r["tokens"] for r in waiting) // capacity)
             gaps = gaps.unionByName(counts.sparkSession.range(1).select(F.lit(capacity).cast("long").alias("size"), F.lit(opened).cast("long").alias("rank"), F.lit(new).cast("long").alias("n")))
-            opened, top, rows = opened + new, capacity, rows + 1
-        if now["docs"] <= capacity:
+            opened, top, rows, holding = opened + new, capacity, rows + 1, new
+        waits = sum(r["n"] for r in waiting)
+        if waits <= capacity:
             plans.append(materialise(_finish(docs, gaps, capacity, opened), "pack-round").select(*plan))
             break
-        holding = gaps.filter(F.col("size") >= now["least"]).agg(F.sum("n")).first()[0]
-        moves = materialise(_sweep(docs, gaps, now["docs"] // (2 * holding), top, capacity, now["rows"] + rows), "pack-round")
-        placed = moves.filter("what = 'placed'")
+        state = materialise(_sweep(docs, gaps, waits // (2 * holding), top, capacity, rows), "pack-round")
+        placed = state.filter("what = 'placed'")
         plans.append(placed.select(*plan))
         shrunk = placed.filter(F.col("offset") + F.col("size") < capacity).select((capacity - F.col("offset") - F.col("size")).alias("size"), F.col("first").alias("rank"), "n")
-        gaps = moves.filter("what = 'gaps'").select("size", "rank", "n").unionByName(shrunk)
-        docs = moves.filter("what = 'docs'").select("length", "rank", "n")
-        room = F.when(F.col("what") == "gaps", F.col("size")).when(F.col("what") == "placed", capacity - F.col("offset") - F.col("size"))
-        after = moves.agg(F.max(room).alias("top"), F.count(F.when(room > 0, 1)).alias("gaps")).first()
-        top, rows, now = after["top"] or 0, after["gaps"], docs.agg(*sums).first()
+        gaps = state.filter("what = 'gaps'").select("size", "rank", "n").unionByName(shrunk)
+        docs = state.filter("what = 'docs'").select("length", "rank", "n")
+        state = _few(state, rows)
     if not plans:
         return docs.select("length", "rank", *[F.col("n").alias(c) for c in plan[2:]])
     return reduce(DataFrame.unionByName, plans)

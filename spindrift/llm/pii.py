@@ -47,23 +47,64 @@ KEY_SHAPE = r"^(?:AKIA[A-Z0-9]{16}|[0-9a-f]{16,}|[0-9A-F]{16,}|gh[pousr]_[A-Za-z
 OPENS, CLOSES = r"[=:\"'(<\[]\s?$", r"^[\"')>\]]"
 LABELERS = ["shape", "gazetteer", "context", "mixture", "prose"]
 CONTEXT = 40
+BLOCK = 128
+FAR = 2**31 - 1
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: inside of a lambda a plain expression would be evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, combine, zero: int) -> Column:
+    """For each of values what combine makes of zero and all values before it, and at last of all.
+
+    In blocks, since an array is copied when it grows: the blocks' own running values first, then those over the blocks.
+    """
+
+    def fold(items: Column, last) -> Column:
+        return F.aggregate(items, F.array(F.lit(zero)), lambda out, x: F.concat(out, F.array(combine(F.element_at(out, -1), last(x)))))
+
+    def over(own: Column, whole: Column) -> Column:
+        parts = F.transform(own, lambda block, b: F.transform(F.slice(block, 1, F.size(block) - 1), lambda x: combine(F.get(whole, b), x)))
+        return F.concat(F.flatten(parts), F.array(F.element_at(whole, -1)))
+
+    def walk(values: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+        own = F.transform(blocks, lambda block: fold(block, lambda x: x))
+        return _let(own, lambda own: _let(fold(own, lambda block: F.element_at(block, -1)), lambda whole: over(own, whole)))
+
+    return _let(values, walk)
 
 
 def _spans(text: Column, pattern: str, hint: str) -> Column:
-    """array<struct<start, end, match, before, after>> of the matches in a text; positions follow from the pieces between."""
-    parts = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>").alias("out"))
+    """array<struct<start, end, match, before, after>> of the matches in a text; positions follow from the lengths of the pieces between."""
+    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
+
+    def located(v: Column) -> Column:
+        parts, found = v["parts"], v["found"]
+        steps = F.transform(found, lambda m, i: F.length(F.get(parts, i)) + F.length(m))
+        return _let(steps, lambda steps: _let(_running(steps, lambda x, y: x + y, 0), lambda ends: F.transform(found, lambda m, i: F.struct((F.get(ends, i + 1) - F.length(m)).alias("start"), F.get(ends, i + 1).alias("end"), m.alias("match"), F.right(F.get(parts, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(parts, i + 1), F.lit(4)).alias("after")))))
+
+    pieces = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(hint) & text.rlike(pattern), _let(pieces, located)).otherwise(none)
+
+
+def _apart(loose: Column, base: Column) -> Column:
+    """loose spans that no base span overlaps. Both in order of start, an earlier base span overlaps if the largest end so far is beyond the start, a later one if the next start is before the end."""
+    marks = F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("at"), F.lit(0).alias("loose"), s["end"].alias("end"), F.lit(0).alias("i"))), F.transform(loose, lambda s, i: F.struct(s["start"].alias("at"), F.lit(1).alias("loose"), s["end"].alias("end"), i.alias("i"))))
+
+    def largest(x, y):
+        return F.greatest(x, y)
 
-    def step(acc: Column, i: Column) -> Column:
-        before, match, after = F.get(parts, i), F.get(found, i), F.get(parts, i + 1)
-        begin = acc["at"] + F.length(before)
-        end = begin + F.length(match)
-        item = F.struct(begin.alias("start"), end.alias("end"), match.alias("match"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(4)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def clear(marks: Column) -> Column:
+        before = _running(F.transform(marks, lambda m: F.when(m["loose"] == 0, m["end"]).otherwise(-1)), largest, -1)
+        after = F.reverse(_running(F.reverse(F.transform(marks, lambda m: F.when(m["loose"] == 0, -m["at"]).otherwise(-FAR))), largest, -FAR))
+        both = F.struct(before.alias("before"), after.alias("after"))
+        free = lambda v: F.filter(marks, lambda m, k: (m["loose"] == 1) & (F.get(v["before"], k) <= m["at"]) & (-F.get(v["after"], k + 1) >= m["end"]))
+        return _let(both, lambda v: F.transform(F.array_sort(F.transform(free(v), lambda m: m["i"])), lambda i: F.get(loose, i)))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
-    return F.when(text.rlike(hint) & text.rlike(pattern), walked).otherwise(start["out"])
+    return F.when((F.size(base) == 0) | (F.size(loose) == 0), loose).otherwise(_let(F.array_sort(marks), clear))
 
 
 def _digits(match: Column) -> Column:
@@ -105,7 +146,7 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = F.array_sort(F.concat(*[F.col(f"_{k}") for k in BASE]))
     loose = F.array_sort(F.concat(*[F.col(f"_loose_{k}") for k in LOOSE]))
     rows = rows.select(id_col, base.alias("base"), loose.alias("loose"))
-    apart = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    apart = _let(F.struct("loose", "base"), lambda v: _apart(v["loose"], v["base"]))
     slim = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match")))
     return materialise(rows.select(id_col, slim.alias("base"), apart.alias("loose")), "pii-spans")
 

@@ -166,7 +166,7 @@ def write_bundles(records: DataFrame, frame_bytes: int = 1 << 18, bundle_bytes:
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """A row per record of the bundles, found by the index and read through the seek table; payload digests of responses are tested."""
-    small_arrow_batches(bundles.sparkSession, rows=2)
+    small_arrow_batches(bundles.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+CLASHING = "kept size score length count copies piece start offset _id _id2 _sha _n _block _words _suspect _text _row _size _source _key _class _cell _z _copies _mix_n _mix_id _group _rest".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -35,7 +36,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(odd_rows(), SCHEMA)
-    return df.withColumns({c: F.lit("extra") for c in ("kept", "size", "score", "length", "count", "_id2")})
+    return df.withColumns({c: F.lit("extra") for c in CLASHING})
 
 
 @pytest.fixture(scope="session")

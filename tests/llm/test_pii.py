@@ -50,6 +50,31 @@ def test_documents_and_added_spans(spark, documents):
         assert hashlib.sha256(base.encode()).hexdigest() and set(base.split(",")) <= set(spans.split(",")) | {""}
 
 
+def test_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    rows = [(0, "".join(f"user{i}a@mail{i % 7}.example.org key x9{i:06d}abcdef12 10.0.0.{i % 256} " for i in range(20_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    begin = time.time()
+    base, spans = digest(df)[0]
+    assert time.time() - begin < 100
+    assert base == brute(rows[0][1]) and base.count("email") == base.count("ip") == 20_000 and len(spans) >= len(base)
+
+
+def test_candidates_apart_from_base_spans(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    for size in (0, 3, 300):
+        spans = lambda n: sorted((s := r.randrange(2000), s + r.randrange(1, 9)) for _ in range(n))
+        base, loose = spans(size), spans(size)
+        df = spark.createDataFrame([(base, loose)], "base array<struct<start:int,end:int>>, loose array<struct<start:int,end:int>>")
+        got = df.select(pii._apart(F.col("loose"), F.col("base")).alias("x")).first().x
+        assert [tuple(s) for s in got] == [c for c in loose if not any(b[0] < c[1] and c[0] < b[1] for b in base)]
+
+
 def test_secrets_are_added_and_prose_is_not(spark):
     lines = [f"say password=da3fe1{i:04d}3e135f8 now" for i in range(20)] + [f'set token = "0641917ea4e9feb9cda83477b57ac2654884{i:04d}"' for i in range(20)] + [f"key AKIAMD62HKU6VBLC{i:04d} end" for i in range(10, 30)]
     prose = [f"the well-known-model-number{i} of version2release" for i in range(40)]
