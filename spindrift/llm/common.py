@@ -73,7 +73,7 @@ def small_arrow_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 2
     """
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, "").upper()
+        now = spark.conf.get(key).lower().removesuffix("b")
         if not now.isdigit() or int(now) == 0 or int(now) > most:
             spark.conf.set(key, str(most))
 
