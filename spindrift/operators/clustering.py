@@ -345,9 +345,30 @@ def pruning_shears(features: np.ndarray, channel_of: np.ndarray, peak_channel: n
 KERNELS: dict[str, Callable[..., np.ndarray]] = {"dbscan": dbscan, "hdbscan": hdbscan, "agglomerative": agglomerative, "optics": optics, "meanshift": meanshift, "onecluster": lambda x: np.zeros(len(x), int)}
 
 
-def find_clusters(features: DataFrame, id_col: str, method: str, vec: str = "features", keys: list[str] | None = None, noise: DataFrame | None = None, first: int = 0, seed: int = 0, **options) -> DataFrame:
+#: A kernel's distance matrix of this many rows takes 3.2 GB.
+MAX_SAMPLE = 20_000
+
+
+def check_sample(rows: DataFrame, keys: list[str], most: int | None) -> None:
+    """Refuse samples that one task could not hold."""
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0 if most else 0
+    if most and largest > most:
+        raise ValueError(f"a sample of {largest} rows is too large for one task, at most {most}: sample the rows first")
+
+
+def find_on_selection(peaks: DataFrame, features: DataFrame, method: str, id_col: str = "peak_id", label: str = "cluster_label", **options) -> DataFrame:
+    """peaks with the rows that features names clustered anew: their labels follow the largest in use (K01 on a selection)."""
+    top = peaks.agg(F.max(label)).first()[0]
+    found = find_clusters(features, id_col, method, first=max(-1 if top is None else top, -1) + 1, **options)
+    new = found.select(id_col, F.col("cluster_label").alias("_new"))
+    return peaks.join(new, id_col, "left").withColumn(label, F.coalesce("_new", label)).drop("_new")
+
+
+def find_clusters(features: DataFrame, id_col: str, method: str, vec: str = "features", keys: list[str] | None = None, noise: DataFrame | None = None, first: int = 0, seed: int = 0, max_rows: int = MAX_SAMPLE, **options) -> DataFrame:
     """(id, cluster_label) by method name (K01). keys part the rows into independent samples; first is added to valid labels.
 
+    Kernels compare all rows of a sample, so a sample of more than max_rows is refused: take one with relational.sample_total first.
+
     dbscan_with_noise (K08) clusters features and noise rows together by hdbscan, then leaves the noise rows out.
     """
     if method in ("kmeans", "gmm"):
@@ -365,6 +386,8 @@ def find_clusters(features: DataFrame, id_col: str, method: str, vec: str = "fea
     if extra is not None:
         rows = rows.unionByName(extra.select(F.lit(None).cast(dict(rows.dtypes)[id_col]).alias(id_col), F.col(vec).cast("array<double>").alias("_x"), F.lit(False).alias("_real")))
 
+    check_sample(rows, keys or [], max_rows if method != "onecluster" else None)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_real", id_col], ascending=[False, True])
         labels = kernel(np.stack(pdf["_x"].to_numpy()), **options)
@@ -490,3 +513,57 @@ def overlapping(x: np.ndarray, y: np.ndarray, quantile: float = 0.9) -> bool:
         return True
     px, py = (x - mx) @ line / size, (y - mx) @ line / size
     return bool(np.quantile(px, quantile) >= np.quantile(py, 1 - quantile))
+
+
+def split_labels(parts: DataFrame, label: str = "cluster_label") -> DataFrame:
+    """parts of auto_split with one label a piece: the first keeps its cluster's, the others get new ones, trash becomes -1.
+
+    The numbering runs over one row per piece.
+    """
+    from pyspark.sql import Window
+
+    top = parts.agg(F.max(label)).first()[0] or 0
+    pieces = parts.filter("part > 0").select(label, "part").distinct()
+    named = pieces.withColumn("_new", (F.row_number().over(Window.orderBy(label, "part")) + top).cast("long"))
+    out = parts.join(F.broadcast(named), [label, "part"], "left")
+    return out.withColumn(label, F.when(F.col("part") < 0, -1).otherwise(F.coalesce("_new", label)).cast("long")).drop("part", "_new")
+
+
+def merge_pairs_in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(old, new) of pairs i < j taken in order: j becomes i; a label that has gone is no partner any more."""
+    gone: dict[int, int] = {}
+    for i, j in sorted(pairs):
+        if i not in gone and j not in gone:
+            gone[j] = i
+    return sorted(gone.items())
+
+
+def auto_merge(waves: DataFrame, centres: DataFrame, together: DataFrame, label: str = "cluster_label", wave: str = "wf", limit: float = 2.3, share: float = 0.3, shift: int = 2, quantile: float = 0.9) -> DataFrame:
+    """(old, new) of clusters that are one (K17): pairs that share channels, whose centroids differ little at some shift and whose waveforms overlap.
+
+    waves: a sample of each cluster's waveforms, of bounded size. centres: label, offset, channel, median. together: label_i, label_j, together
+    (waveforms.shared_channels). Centroids come to the driver, as many as a catalogue has; waveforms meet pair by pair in tasks.
+    """
+    spark = waves.sparkSession
+    found: dict[int, dict] = {}
+    for r in centres.select(label, "offset", "channel", "median").collect():  # a catalogue's centroids
+        found.setdefault(r[0], {})[r["offset"], r["channel"]] = r["median"]
+    shape = {k: (sorted({o for o, _ in c}), sorted({ch for _, ch in c})) for k, c in found.items()}
+    templates = {k: np.array([[c[o, ch] for ch in shape[k][1]] for o in shape[k][0]]) for k, c in found.items()}
+    shared = {(r["label_i"], r["label_j"]) for r in together.filter("together and label_i < label_j").collect()}
+    close = [(i, j) for i, j in sorted(shared) if i in templates and j in templates and templates[i].shape == templates[j].shape and close_templates(templates[i], templates[j], limit, share, shift)]
+    none = spark.createDataFrame([], "old long, new long")
+    if not close:
+        return none
+    pairs = F.broadcast(spark.createDataFrame([(i, j, k) for i, j in close for k in (i, j)], "label_i long, label_j long, _own long"))
+    rows = waves.select(F.col(label).cast("long").alias("_own"), F.col(wave).cast("array<double>").alias("_x")).join(pairs, "_own")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["label_i"].iloc[0]), int(pdf["label_j"].iloc[0])
+        a, b = (np.stack(pdf.loc[pdf["_own"] == k, "_x"].to_numpy()) for k in (i, j))
+        return pd.DataFrame({"label_i": [i], "label_j": [j], "same": [overlapping(a, b, quantile)]})
+
+    both = rows.groupBy("label_i", "label_j").agg(F.countDistinct("_own").alias("_n")).filter("_n = 2").select("label_i", "label_j")
+    judged = rows.join(both, ["label_i", "label_j"]).groupBy("label_i", "label_j").applyInPandas(run, "label_i long, label_j long, same boolean")
+    merges = merge_pairs_in_order([(r["label_i"], r["label_j"]) for r in judged.filter("same").collect()])
+    return spark.createDataFrame(merges, "old long, new long") if merges else none

@@ -49,17 +49,20 @@ def pair_list(labels: DataFrame, label: str) -> DataFrame:
     return a.join(b, F.col("label_i") < F.col("label_j"))
 
 
-def silhouette(points: DataFrame, id_col: str, label: str, vec: str, block: int = 512) -> DataFrame:
+def silhouette(points: DataFrame, id_col: str, label: str, vec: str, block: int = 512, max_points: int = 200_000) -> DataFrame:
     """Euclidean silhouette of each point (A11): (id, label, silhouette); empty where there are fewer than two labels.
 
     Points meet in blocks: each partition holds its points and reads all others as bounded blocks, summing distances per label, so
-    no pair is ever a row. The number of points is what a sampler left, as in every use of this metric.
+    no pair is ever a row. All points are compared, so more than max_points are refused: the metric is for what a sampler left.
     """
     import numpy as np
     import pandas as pd
 
+    if (n := points.count()) > max_points:
+        raise ValueError(f"a silhouette of {n} points compares each with all, at most {max_points}: sample them first")
+
     cols = points.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vec).alias("vec"))
-    pieces = cols.withColumn("_block", F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(max(1, (1 << 20) * block // max(1, points.count())))))
+    pieces = cols.withColumn("_block", F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(max(1, (1 << 20) * block // max(1, n)))))
     mine = pieces.groupBy("_block").agg(F.collect_list(F.struct("id", "label", "vec")).alias("_mine"))
     other = pieces.groupBy("_block").agg(F.collect_list(F.struct("label", "vec")).alias("_other"))
     met = mine.select(F.col("_block").alias("_b1"), "_mine").join(other.select(F.col("_block").alias("_b2"), "_other"), F.lit(True))

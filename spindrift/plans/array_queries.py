@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..operators import metrics, trains, waveforms
 from . import views as v
-from .registry import ORACLE_SQL, query
+from .registry import query
 
 _CENTRES = f"""WITH {v.LONG}, m AS (SELECT label, "offset", channel, median(value) AS med, avg(value) AS mean, stddev_pop(value) AS std FROM long GROUP BY ALL)"""
 _VECS = _CENTRES + """, vec AS (SELECT label, list(med ORDER BY channel, "offset") AS x FROM m GROUP BY 1)"""
@@ -174,17 +174,12 @@ def a12(spark, d):
 @query(
     "J07_overlap_triples",
     _CENTRES
-    + """, l AS (SELECT DISTINCT label FROM m WHERE label < 5), g AS (SELECT w.label, f.label AS first, s.label AS second, sh AS shift, max(abs(mw.med - mf.med - coalesce(ms.med, 0))) AS distance
+    + """, l AS (SELECT DISTINCT label FROM m), g AS (SELECT w.label, f.label AS first, s.label AS second, sh AS shift, max(abs(mw.med - mf.med - coalesce(ms.med, 0))) AS distance
     FROM l w JOIN l f ON f.label <> w.label JOIN l s ON f.label <= s.label AND s.label <> w.label CROSS JOIN range(-2, 3) r(sh) JOIN m mw ON mw.label = w.label JOIN m mf ON mf.label = f.label AND mf."offset" = mw."offset" AND mf.channel = mw.channel
     LEFT JOIN m ms ON ms.label = s.label AND ms.channel = mw.channel AND ms."offset" = mw."offset" - sh GROUP BY ALL)
     SELECT label, arg_min(first, (round(distance, 9), first, second, shift)) AS first, arg_min(second, (round(distance, 9), first, second, shift)) AS second, arg_min(shift, (round(distance, 9), first, second, shift))::INT AS shift, round(min(distance), 6) AS distance FROM g GROUP BY 1""",
 )
 def j07(spark, d):
-    return _overlaps(v.waves(spark, d).filter("label < 5"))
-
-
-@query("J07_overlap_triples_whole", ORACLE_SQL["J07_overlap_triples"].replace(" WHERE label < 5", ""))
-def j07_whole(spark, d):
     return _overlaps(v.waves(spark, d))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import robust, scalar
 from ..operators import curation, relational, trains
 from . import views as v
-from .registry import ORACLE_SQL, query
+from .registry import query
 
 
 @query(
@@ -94,13 +94,8 @@ def c07(spark, d):
     return robust.durations_per_segment(s, "channel", "length", 5000).withColumn("duration", F.col("duration").cast("long"))
 
 
-@query("C08_sorted_peaks", f"WITH {v.TRAIN} SELECT peak_id, extremum_amplitude FROM train ORDER BY abs(extremum_amplitude) DESC, peak_id LIMIT 100")
+@query("C08_sorted_peaks", f"WITH {v.TRAIN} SELECT peak_id, extremum_amplitude FROM train ORDER BY abs(extremum_amplitude) DESC, peak_id")
 def c08(spark, d):
-    return c08_whole(spark, d).limit(100)
-
-
-@query("C08_sorted_peaks_whole", ORACLE_SQL["C08_sorted_peaks"].replace(" LIMIT 100", ""))
-def c08_whole(spark, d):
     return v.train(spark, d).orderBy(F.desc(F.abs("extremum_amplitude")), "peak_id").select("peak_id", "extremum_amplitude")
 
 
@@ -333,19 +328,10 @@ def p16(spark, d):
     return v.round_all(out, "seconds", "uv")
 
 
-@query("S10_point_lookup", f"WITH {v.SIGNAL}, p AS (SELECT event_id AS peak_id, CAST(event_id // 4096 AS INT) AS segment, (event_id % 512) AS sample, CAST(user_id % 8 AS INT) AS channel FROM events WHERE event_id % 10 = 0) SELECT peak_id, round(value, 6) AS value FROM p JOIN signal USING (segment, sample, channel)")
+@query("S10_point_lookup", f"WITH {v.SIGNAL}, p AS (SELECT event_id AS peak_id, CAST(event_id // 4096 AS INT) AS segment, (event_id % 512) AS sample, CAST(user_id % 8 AS INT) AS channel FROM events) SELECT peak_id, round(value, 6) AS value FROM p JOIN signal USING (segment, sample, channel)")
 def s10(spark, d):
-    return _looked_up(spark, d, 10)
-
-
-@query("S10_point_lookup_whole", ORACLE_SQL["S10_point_lookup"].replace(" WHERE event_id % 10 = 0", ""))
-def s10_whole(spark, d):
-    return _looked_up(spark, d)
-
-
-def _looked_up(spark, d, every: int = 1):
     i = F.col("event_id")
-    p = spark.read.parquet(f"{d}/events.parquet").filter(i % every == 0).select(i.alias("peak_id"), F.floor(i / 4096).cast("int").alias("segment"), (i % 512).alias("sample"), (F.col("user_id") % 8).cast("int").alias("channel"))
+    p = spark.read.parquet(f"{d}/events.parquet").select(i.alias("peak_id"), F.floor(i / 4096).cast("int").alias("segment"), (i % 512).alias("sample"), (F.col("user_id") % 8).cast("int").alias("channel"))
     return v.round_all(p.join(v.signal(spark, d), ["segment", "sample", "channel"]).select("peak_id", "value"), "value")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import catalogue, clustering, features, filters, metrics, peeling, waveforms
 from ..sources.raw import to_frames, to_long
 from . import views as v
-from .registry import ORACLE_SQL, query
+from .registry import query
 
 
 def _frames(spark, d) -> DataFrame:
@@ -204,12 +204,12 @@ def _spikes(spark, d, every: int = 1):
     return e.select(F.floor(F.col("event_id") / 4096).cast("int").alias("segment"), F.floor((F.col("event_id") % 4096) / 8).alias("index"), (F.col("user_id") % 5 - 1).alias("cluster_label"))
 
 
-_SPIKES = 's AS (SELECT CAST(event_id // 4096 AS INT) AS segment, (event_id % 4096) // 8 AS "index", user_id % 5 - 1 AS cluster_label FROM events WHERE event_id % 37 = 0)'
+_SPIKES = 's AS (SELECT CAST(event_id // 4096 AS INT) AS segment, (event_id % 4096) // 8 AS "index", user_id % 5 - 1 AS cluster_label FROM events)'
 
 
 @query("X13_prediction", f'WITH {_SPIKES}, {_TEMPLATES} SELECT segment, "index" + "offset" AS sample, channel, sum(value) AS value FROM s JOIN t USING (cluster_label) WHERE cluster_label >= 0 GROUP BY ALL')
 def x13(spark, d):
-    return waveforms.reconstruct(_spikes(spark, d, 37), _templates(spark))
+    return waveforms.reconstruct(_spikes(spark, d), _templates(spark))
 
 
 @query(
@@ -217,35 +217,20 @@ def x13(spark, d):
     f'WITH {v.SIGNAL}, {_SPIKES}, {_TEMPLATES}, p AS (SELECT segment, "index" + "offset" AS sample, channel, sum(value) AS p FROM s JOIN t USING (cluster_label) WHERE cluster_label >= 0 GROUP BY ALL) SELECT segment, sample, channel, round(value - coalesce(p, 0), 6) AS value FROM signal LEFT JOIN p USING (segment, sample, channel)',
 )
 def x13r(spark, d):
-    return v.round_all(waveforms.residual(v.signal(spark, d), waveforms.reconstruct(_spikes(spark, d, 37), _templates(spark))), "value")
-
-
-@query("X13_prediction_whole", ORACLE_SQL["X13_prediction"].replace(" WHERE event_id % 37 = 0", ""))
-def x13_whole(spark, d):
-    return waveforms.reconstruct(_spikes(spark, d), _templates(spark))
-
-
-@query("X13_residual_whole", ORACLE_SQL["X13_residual"].replace(" WHERE event_id % 37 = 0", ""))
-def x13r_whole(spark, d):
     return v.round_all(waveforms.residual(v.signal(spark, d), waveforms.reconstruct(_spikes(spark, d), _templates(spark))), "value")
 
 
 @query(
     "J01_waveform_cut",
-    f"""WITH {v.SIGNAL}, p AS (SELECT event_id AS peak_id, CAST(event_id // 4096 AS INT) AS segment, (event_id % 4096) // 8 AS "index" FROM events WHERE event_id % 53 = 0), l AS (SELECT segment, max(sample) + 1 AS length FROM signal GROUP BY 1)
+    f"""WITH {v.SIGNAL}, p AS (SELECT event_id AS peak_id, CAST(event_id // 4096 AS INT) AS segment, (event_id % 4096) // 8 AS "index" FROM events), l AS (SELECT segment, max(sample) + 1 AS length FROM signal GROUP BY 1)
     SELECT peak_id, CAST(sample - "index" + 5 AS INT) AS "offset", channel, round(value, 6) AS value FROM p JOIN l USING (segment) JOIN signal USING (segment) WHERE sample >= "index" - 5 AND sample < "index" + 7 AND "index" - 5 >= 0 AND "index" - 5 < length - 12""",
 )
 def j01(spark, d):
-    return _cut(spark, d, 53)
-
-
-@query("J01_waveform_cut_whole", ORACLE_SQL["J01_waveform_cut"].replace(" WHERE event_id % 53 = 0", ""))
-def j01_whole(spark, d):
     return _cut(spark, d)
 
 
-def _cut(spark, d, every: int = 1) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet").filter(F.col("event_id") % every == 0)
+def _cut(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
     peaks = e.select(F.col("event_id").alias("peak_id"), F.floor(F.col("event_id") / 4096).cast("int").alias("segment"), F.floor((F.col("event_id") % 4096) / 8).alias("index"))
     s = v.signal(spark, d)
     lengths = s.groupBy("segment").agg((F.max("sample") + 1).alias("length"))

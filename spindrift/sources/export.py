@@ -108,3 +108,12 @@ def export(rows: DataFrame, path: str, formats: str | list[str] = "csv", **optio
         EXPORTERS[kind](rows, f"{path}/{kind}", **(options if kind == "csv" else {}))
         out.append(f"{path}/{kind}")
     return out
+
+
+def write_report(clusters: DataFrame, noise: DataFrame, path: str) -> list[str]:
+    """The report of a sorting as tables (S28): cluster rows (metrics.cluster_report) and noise (metrics.noise_report), one CSV folder each."""
+    out = []
+    for name, table in (("clusters", clusters.orderBy("cluster_label")), ("noise", noise)):
+        table.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")  # a row per cluster
+        out.append(f"{path}/{name}")
+    return out

@@ -35,10 +35,34 @@ def merge_imports(*spikes: DataFrame) -> DataFrame:
     return union_all(*spikes)
 
 
-def from_hdf5(path: str):
-    """Results in HDF5 need an optional library."""
-    try:
-        import h5py  # noqa: F401
-    except ImportError as e:
-        raise NotImplementedError("HDF5 results need the h5py library") from e
-    raise NotImplementedError("export the spike times of the file as a table and use from_spike_table")
+def read_parameters(path: str) -> dict[str, str]:
+    """The settings of an INI file, names in lower case without their sections; comments behind # or ; are dropped."""
+    from configparser import ConfigParser
+
+    parser = ConfigParser(inline_comment_prefixes=("#", ";"), strict=False, interpolation=None)
+    with open(path) as file:
+        parser.read_string(file.read())
+    return {k: x for section in parser.sections() for k, x in parser.items(section)}
+
+
+def from_files(spark, spikes: str, parameters: str, kind: str = "parquet", unit: str = "unit", time: str = "time", in_seconds: bool = False) -> DataFrame:
+    """Spikes that another tool has left as a table of files (kind: a format that Spark reads) beside its INI parameters.
+
+    The sampling rate comes from the parameters, where it is needed.
+    """
+    reader = spark.read.option("header", True).option("inferSchema", True) if kind == "csv" else spark.read
+    found = reader.format(kind).load(spikes)
+    rate = float(read_parameters(parameters)["sampling_rate"]) if in_seconds else None
+    return from_spike_table(found, unit, time, rate, "segment" if "segment" in found.columns else None)
+
+
+def from_hdf5(spark, path: str, parameters: str) -> DataFrame:
+    """Spikes of an HDF5 file with a data set of sample numbers for each unit, `spiketimes/temp_<unit>`, read with the optional h5py library."""
+    import h5py
+
+    rows = []
+    with h5py.File(path, "r") as file:
+        for name, times in file["spiketimes"].items():
+            rows += [(int(name.rsplit("_", 1)[-1]), int(t)) for t in times[()].ravel()]
+    read_parameters(parameters)
+    return from_spike_table(spark.createDataFrame(rows, "unit long, time long"), "unit", "time")

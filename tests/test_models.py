@@ -267,9 +267,61 @@ def test_f02_keeps_clear_of_every_spike(spark, sf_dir, monkeypatch):
     assert seen == [spark.read.parquet(f"{sf_dir}/events.parquet").count()]
 
 
-def test_whole_forms_have_the_sql_of_the_others_without_its_filter():
+def test_queries_read_whole_tables():
     from spindrift.plans.registry import ORACLE_SQL, QUERIES
 
     for name in ("X13_prediction", "X13_residual", "J01_waveform_cut", "S10_point_lookup", "J07_overlap_triples", "C08_sorted_peaks"):
-        sql = ORACLE_SQL[f"{name}_whole"]
-        assert f"{name}_whole" in QUERIES and not any(cut in sql for cut in ("% 37", "% 53", "% 10 ", "label < 5", "LIMIT"))
+        assert name in QUERIES and not any(cut in ORACLE_SQL[name] for cut in ("% 37", "% 53", "% 10 ", "label < 5", "LIMIT"))
+
+
+def test_auto_merge_joins_equal_clusters_alone(spark):
+    """Clusters 0 and 1 are one shape, 2 has another size, 3 the same shape on channels that it does not share."""
+    r = np.random.default_rng(4)
+    shape = -8 * np.exp(-0.5 * ((np.arange(16) - 7) / 1.5) ** 2)
+    rows = []
+    for k, (channel, size) in enumerate([(0, 1.0), (0, 1.0), (0, 2.5), (3, 1.0)]):
+        for i in range(60):
+            x = r.normal(0, 0.5, (16, 4))
+            x[:, channel] += size * shape
+            rows.append((k * 100 + i, k, x.ravel().tolist()))
+    waves = spark.createDataFrame(rows, "peak_id long, cluster_label long, wf array<double>")
+    centres = waveforms.centroids(waveforms.long_form(waves, "peak_id", "wf", 4, "cluster_label"), "cluster_label")
+    together = waveforms.shared_channels(waveforms.sparse_mask(centres, "cluster_label", 1.5), "cluster_label")
+    assert [tuple(x) for x in clustering.auto_merge(waves, centres, together).collect()] == [(1, 0)]
+    assert clustering.merge_pairs_in_order([(0, 2), (1, 2), (0, 1), (2, 3)]) == [(1, 0), (2, 0)]
+
+
+def test_split_labels_are_new_and_trash_is_trash(spark):
+    parts = spark.createDataFrame([(1, 4, 0), (2, 4, 1), (3, 4, -1), (4, 7, 0), (5, 7, 1), (6, 4, 2)], "peak_id long, cluster_label long, part long")
+    assert dict(clustering.split_labels(parts).select("peak_id", "cluster_label").collect()) == {1: 4, 2: 8, 3: -1, 4: 7, 5: 10, 6: 9}
+
+
+def test_clusters_of_a_selection_get_new_labels(spark):
+    peaks = spark.createDataFrame([(i, i % 2) for i in range(40)], "peak_id long, cluster_label long")
+    chosen = spark.createDataFrame([(i, [float(i % 4), 0.0]) for i in range(0, 40, 2)], "peak_id long, features array<double>")
+    got = clustering.find_on_selection(peaks, chosen, "agglomerative", n_clusters=2).collect()
+    assert {r.cluster_label for r in got if r.peak_id % 2} == {1} and {r.cluster_label for r in got if r.peak_id % 2 == 0} == {2, 3}
+
+
+def test_samples_too_large_for_one_task_are_refused(spark):
+    import pytest
+
+    from spindrift.operators import metrics
+
+    rows = spark.range(30).selectExpr("id", "array(cast(id as double)) AS features", "id % 2 AS label")
+    with pytest.raises(ValueError, match="sample"):
+        clustering.find_clusters(rows, "id", "dbscan", max_rows=20)
+    with pytest.raises(ValueError, match="sample"):
+        metrics.silhouette(rows, "id", "label", "features", max_points=20)
+
+
+def test_spikes_from_files_and_report(spark, tmp_path):
+    from spindrift.sources import export, importers
+
+    (tmp_path / "run.params").write_text("[data]\nsampling_rate = 1000 # Hz\n[other]\nname = x\n")
+    spark.createDataFrame([(3, 0.5), (4, 0.25)], "unit long, time double").write.csv(str(tmp_path / "spikes"), header=True)
+    got = importers.from_files(spark, str(tmp_path / "spikes"), str(tmp_path / "run.params"), "csv", in_seconds=True)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 250, 4), (0, 500, 3)]
+    clusters = spark.createDataFrame([(1, 5), (0, 7)], "cluster_label long, nb_spike long")
+    paths = export.write_report(clusters, clusters.limit(1), str(tmp_path / "report"))
+    assert [r.nb_spike for r in spark.read.csv(paths[0], header=True).collect()] == ["7", "5"]
