@@ -41,19 +41,21 @@ def record_id(page_id) -> str:
 
 
 def make_record(page_id, url: str, payload: bytes, size: int, digest: str, refers_to) -> bytes:
-    """A WARC/1.1 record; a revisit where refers_to is not null."""
+    """A WARC/1.1 record: a response, whose block is an HTTP message with the payload, or a revisit without block where refers_to is not null."""
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: {record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
-        payload = b""
+        block = b""
+    else:
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     if page_id is not None:
         lines.append(f"X-Page: {page_id}")
-    lines += ["Content-Type: text/html", f"Content-Length: {len(payload)}"]
-    return CRLF.join(x.encode() for x in lines) + CRLF * 2 + payload + CRLF * 2
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return CRLF.join(x.encode() for x in lines) + CRLF * 2 + block + CRLF * 2
 
 
 def parse_record(frame: bytes, at: int) -> tuple[dict[str, str], bytes]:
-    """Header fields and block of the record that starts at a frame-relative offset."""
+    """Header fields and payload of the record that starts at a frame-relative offset: the block without its HTTP head."""
     split = frame.index(CRLF * 2, at)
     first, *fields = frame[at:split].decode().split("\r\n")
     if first != "WARC/1.1":
@@ -63,7 +65,7 @@ def parse_record(frame: bytes, at: int) -> tuple[dict[str, str], bytes]:
     block = frame[split + 4 : split + 4 + n]
     if len(block) != n or frame[split + 4 + n : split + 8 + n] != CRLF * 2:
         raise ValueError("cut off within a record")
-    return header, block
+    return header, block[block.index(CRLF * 2) + 4 :] if n else block
 
 
 class BundleWriter:

@@ -58,3 +58,16 @@ def test_hash_is_stable_under_small_changes():
 
 def test_empty(empty):
     assert media_features(encode_media(empty)).count() == 0
+
+
+def test_hash_equals_a_direct_cosine_transform():
+    """The sums of the definition, written out: 32 by 32 means, 8 by 8 low frequencies, bits above their median."""
+    r = np.random.default_rng(3)
+    for height in (1, 5, 40):
+        image = r.integers(0, 256, (height, 64), dtype=np.uint8).astype(float)
+        rows = [image[min(height * i // 32, height - 1) : max(height * (i + 1) // 32, min(height * i // 32, height - 1) + 1)].mean(0) for i in range(32)]
+        small = [[(row[2 * j] + row[2 * j + 1]) / 2 for j in range(32)] for row in rows]
+        low = [round(sum(small[y][x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * w / 64) for y in range(32) for x in range(32)), 6) for u in range(8) for w in range(8)]
+        middle = sorted(low[1:])[31]
+        want = np.packbits([x > middle for x in low]).tobytes()
+        assert sum(bin(a ^ b).count("1") for a, b in zip(want, cosine_hash(image.astype(np.uint8)), strict=True)) == 0
