@@ -254,3 +254,22 @@ def x12(spark, d):
 def g05(spark, d):
     s = metrics.silhouette(v.waves(spark, d), "vec_id", "label", "wf")
     return metrics.silhouette_by_label(s, "label").select("label", F.round("mean", 5).alias("mean"), F.size("silhouettes").alias("n"))
+
+
+@query("T07_planted_events", "SELECT k AS template, true AS found, true AS pure FROM range(3) t(k)")
+def t07(spark, d):
+    """The whole pipeline on a synthetic recording: each planted template's events are found, and nearly all under one label."""
+    from ..operators import detect
+    from ..sources.raw import from_arrays
+    from ..sources.synthetic import recording
+    from . import pipeline
+
+    x, truth = recording(24_000, seed=8, gap=110)
+    p = pipeline.automatic(4, 15000.0, highpass=300.0, threshold=8.0, left_ms=-1.0, right_ms=1.3, min_cluster_size=15, block=6000)
+    _, spikes = pipeline.sort_recording(from_arrays(spark, [x]), detect.default_geometry(spark, 0, [0, 1, 2, 3]), p)
+    planted = spark.createDataFrame([(int(at), int(k)) for at, k in truth], "at long, template long")
+    found = spikes.filter("cluster_label >= 0").select("index", "cluster_label")
+    met = planted.join(found, F.abs(F.col("index") - F.col("at")) <= 3, "left").groupBy("template", "cluster_label").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.sum(F.when(F.col("cluster_label").isNotNull(), F.col("n")))
+    most = F.max(F.when(F.col("cluster_label").isNotNull(), F.col("n")))
+    return met.groupBy("template").agg((hit > 0.85 * F.sum("n")).alias("found"), (most > 0.9 * hit).alias("pure"))
