@@ -16,7 +16,8 @@ A key with more than hot_contexts different contexts is not gathered: its contex
 windows share, equal halves are merged, and so on until groups are small; at the end a half is one window and merging decides.
 
 Defined cases: null text is empty; texts shorter than length keep all bytes; null or repeated ids are told apart by text; repeated rows are
-occurrences of one another, so both lose all they can; an empty table gives an empty result.
+occurrences of one another, so both lose all they can; whole texts are read, whatever their length; columns other than id and text are not
+read; an empty table gives an empty result. A document is known by 64 bits of its id and text.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ The reader tests signature and checksums, inflates and undoes all five row filte
 where the filter allows it. The hash is the sign of the 8 x 8 lowest cosine-transform coefficients against their median.
 
 Defined cases: null text is an empty text; an empty payload is padded to 64 zero bytes; null ids stay null;
-a damaged image raises ValueError.
+whole texts are stored, whatever their length; repeated rows and equal texts give equal results; columns other than id and text are not read;
+an empty table gives an empty result; a damaged image raises ValueError.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ Positions are code points, found by splitting a text at its matches. The pattern
 repeats so that they find just what the plain base patterns find, in linear time on any text.
 
 Defined cases: null text is empty; an empty text has no spans; null ids stay null; repeated rows give repeated results; without candidates
-nothing is trained and base spans alone are returned; candidates that touch a base span are left to it.
+nothing is trained and base spans alone are returned; candidates that overlap a base span are left to it;
+spans of one start stand in the order of their kinds; whole texts are searched, in time linear in their length and matches; columns other
+than id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

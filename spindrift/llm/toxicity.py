@@ -11,7 +11,8 @@ explain and that no earlier term explains, so the words of a text that is copied
 with it. Without labels the seed lexicon has to do, with DEFAULT_WEIGHT.
 
 Defined cases: null or empty text has no match and gets the curve's lowest value; rows without an id are scored like any other;
-labels that are null or repeated for an id count once; texts are scored whole.
+labels that are null or repeated for an id count once; of repeated ids one text teaches; of terms that explain as many rows the shorter goes
+first; texts are scored whole, whatever their length; extra columns stay as they are whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

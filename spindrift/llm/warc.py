@@ -9,7 +9,9 @@ Of records with equal payloads, that with the largest id is a response and the o
 Which payloads may repeat is found by the two-pass Bloom filter of exact_dedup, so unique pages do not shuffle.
 
 Defined cases: null html is an empty payload; null url is an empty URI; a null id sorts below all others and refers_to is null
-where only null ids have a payload; repeated ids are separate records; payloads below min_payload bytes are always responses.
+where only null ids have a payload; repeated ids are separate records
+with one record id, and all rows of the largest id of a payload are responses; payloads below min_payload bytes are always responses; whole
+pages are stored, whatever their length; columns other than id, url and html are not read; an empty table gives no bundles.
 """
 
 from __future__ import annotations
