@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,10 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
+COLLECT_EVERY = 8
+
 _own_dirs: dict[str, str] = {}
+_writes = itertools.count(1)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,11 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut lineage: write df to the shared folder as Parquet and read it back.
 
-    A lost executor costs a re-read of those files, not a recomputation of what led to them.
+    A lost executor costs a re-read of those files, not a recomputation of what led to them. Spark drops the shuffle files and broadcast
+    blocks of plans that are gone only when the driver's garbage is collected, so that is asked for once in a while.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrift/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    if next(_writes) % COLLECT_EVERY == 0:
+        spark._jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
