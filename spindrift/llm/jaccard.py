@@ -372,6 +372,11 @@ def _matrix(cells: DataFrame, labels: DataFrame, t: tuple[int, int]) -> DataFram
     return materialise(ranked, "jaccard-matrix")
 
 
+def confirmed(pairs: DataFrame, texts: DataFrame, bits: DataFrame, k: int, t: tuple[int, int], salts: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the similarity t, compared as whole sets. texts: _id, _text; bits: their sketches."""
+    return _verify(pairs, texts, bits, k, t, salts)
+
+
 def _least_lack(la, ha, lb, hb, t: tuple[int, int]):
     """The least that sizes of two ranges ask for: as far apart as they may be; one less for rounding where they are ranges."""
 

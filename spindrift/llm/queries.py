@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt, chaining, exact_dedup, jaccard, media, mixing, packing, pii, toxicity, warc
+from . import bwt, chaining, exact_dedup, jaccard, media, minmax, mixing, packing, periodic, pii, spelling, toxicity, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,6 +73,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_components(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), change=spelling.thinned)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_periods(table(spark, sf_dir, "documents"))
+    found = periodic.periodic_runs(docs).withColumn("best", periodic.strongest(F.col("runs")))
+    best = [F.col("best")[c].alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("1000 * best.length div best.period").cast("long").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli, F.sha2(periodic.run_list(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw, sha1(encode(coalesce(html, ''))) AS h FROM pages),
@@ -99,6 +115,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT r.x AS doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(r.y) AS component_id FROM r LEFT JOIN c ON c.doc_id = r.x GROUP BY r.x""",
 }
 
+_SIMILAR = ORACLE_SQL["op10_jaccard_join"].replace("75 * (x.n", "85 * (x.n")
+ORACLE_SQL["op11_minmax"] = f"SELECT *, doc_id = component_id AS kept FROM ({_SIMILAR})"
+
 
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASHING = "kept size score length count copies piece start offset _id _id2 _sha _n _block _words _suspect _text _row _size _source _key _class _cell _z _copies _mix_n _mix_id _group _rest".split()
+CLASHING = "kept size score length count copies piece start offset _id _id2 _sha _n _block _words _suspect _text _row _size _source _key _class _cell _z _copies _mix_n _mix_id _group _rest _seed _pos _oid _at _page _payload _refers _spans _uid _token _rep _c _f _lo _hi runs collapsed word n form root component_id _bands _set _rows _w _side _i _a _p _g best".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
