@@ -212,12 +212,12 @@ def _folded(x: int, size: int) -> int:
     return out
 
 
-def _sifted(pairs: DataFrame, bits: DataFrame, t: tuple[int, int], salts: int) -> DataFrame:
+def _sifted(pairs: DataFrame, bits: DataFrame, t: tuple[int, int], salts: int, narrow: bool = True) -> DataFrame:
     """pairs (a, b) without those that their sketches rule out."""
     pairs = materialise(pairs.select("a", "b").distinct(), "jaccard-pairs")
     if not (n := pairs.count()):
         return pairs
-    bits = _only(bits, pairs, n)
+    bits = _only(bits, pairs, n) if narrow or n <= FEW_PAIRS else bits
     salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
     left = salted.join(bits.select(F.col("_id").alias("a"), F.col("_n").alias("_na"), F.col("_bits").alias("_ba")), "a")
     right = salted.select("b", "_salt").distinct().join(bits.select(F.col("_id").alias("b"), F.col("_n").alias("_nb"), F.col("_bits").alias("_bb")), "b")
@@ -232,12 +232,13 @@ def _sifted(pairs: DataFrame, bits: DataFrame, t: tuple[int, int], salts: int) -
     return materialise(both.mapInArrow(run, "a long, b long"), "jaccard-sifted")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, bits: DataFrame, k: int, t: tuple[int, int], salts: int) -> DataFrame:
-    """(a, b) of pairs that link. texts: _id, _text. b may be in many pairs: its text is sent once for each salt in use."""
-    sifted = _sifted(pairs, bits, t, salts)
+def _verify(pairs: DataFrame, texts: DataFrame, bits: DataFrame, k: int, t: tuple[int, int], salts: int, narrow: bool = True) -> DataFrame:
+    """(a, b) of pairs that link. texts: _id, _text. b may be in many pairs: its text is sent once for each salt in use. narrow: for where most
+    texts are in no pair, however many pairs there are."""
+    sifted = _sifted(pairs, bits, t, salts, narrow)
     if not (n := sifted.count()):
         return sifted
-    texts = _only(texts, sifted, n)
+    texts = _only(texts, sifted, n) if narrow or n <= FEW_PAIRS else texts
     salted = sifted.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
     left = salted.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a")
     right = salted.select("b", "_salt").distinct().join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_tb")), "b")
@@ -373,8 +374,9 @@ def _matrix(cells: DataFrame, labels: DataFrame, t: tuple[int, int]) -> DataFram
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, bits: DataFrame, k: int, t: tuple[int, int], salts: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have the similarity t, compared as whole sets. texts: _id, _text; bits: their sketches."""
-    return _verify(pairs, texts, bits, k, t, salts)
+    """The pairs (a, b) whose sets of shingles have the similarity t, compared as whole sets. texts: _id, _text; bits: their sketches; most of
+    both are in a pair, or pairs are few."""
+    return _verify(pairs, texts, bits, k, t, salts, narrow=False)
 
 
 def _least_lack(la, ha, lb, hb, t: tuple[int, int]):

@@ -5,10 +5,12 @@
    that is evaluated; as the two samples of one permutation hardly overlap, they vary less than those of two permutations.
 2. Signatures are banded: BANDS bands of ROWS values from different permutations, minima in the one half, maxima in the other. Documents of
    equal bands share a bucket. Sets that link (similarity 0.85) share none of 32 buckets with probability 7e-9.
-3. Documents with equal sets are represented by the smallest id. In each bucket the other documents meet one leader; pairs are confirmed on
-   full sets. Where a bucket's documents then lie in more than one component, those outside of its largest component meet all others of
-   the bucket, WIDTH at a time and four times as many in each later round, until none is left: no bucket is cut and none gives all
-   its pairs at once. Documents of one component are not compared any more.
+3. Documents with equal sets are represented by the smallest id. In each bucket the other documents meet one leader, the one that meets
+   most documents in all its buckets; pairs are confirmed on full sets.
+4. Where a bucket's documents then lie in more than one component, the shingles that a document shares with any other one in such buckets are
+   counted. They bound its overlap with each of them: rows that this parts from all sizes in their bucket are done. Of the rest those outside of the
+   bucket's largest component meet all others, WIDTH at a time and four times as many in each later round, but for pairs that the bound
+   parts, until none is left: no bucket is cut and none gives all its pairs at once. Documents of one component are not compared any more.
 
 A bucket's leader is found by aggregation, and buckets that hold more than a thousandth of all rows, fewer than a thousand for each band, are joined by
 broadcasts of one row a bucket.
@@ -115,34 +117,77 @@ def near_components(docs: DataFrame, k: int = 5, t: tuple[int, int] = (85, 100),
 def _links(docs: DataFrame, cells: DataFrame, k: int, t: tuple[int, int], total: int) -> DataFrame:
     """Links (a, b) that connect just what all links connect. cells: _bucket, _id, _n, one set for each row of a bucket."""
     salts = max(16, total // 20_000)
-    leaders = cells.groupBy("_bucket").agg(F.min(F.struct(F.xxhash64("_id").alias("_h"), "_id", "_n")).alias("_lead"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-    met = materialise(skew_join(cells, leaders, "_bucket", total, "_size"), "minmax-cells")
-    fits = _fits(F.col("_n"), F.col("_lead._n"), t)
-    pairs = _pairs(met.filter((F.col("_id") != F.col("_lead._id")) & fits), F.col("_id"), F.col("_lead._id"))
+    sizes = cells.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    met = materialise(skew_join(cells, sizes, "_bucket", total, "_size"), "minmax-cells")
+    # the leader of a bucket is the document that meets most others in all its buckets: the text that copies were made of, where it is there
+    weights = met.groupBy("_id").agg(F.sum("_size").alias("_weight"))
+    first = F.min(F.struct((-F.col("_weight")).alias("_less"), F.xxhash64("_id").alias("_h"), "_id", "_n"))
+    leaders = met.join(weights, "_id").groupBy("_bucket").agg(first.alias("_lead"), F.count(F.lit(1)).alias("_rows"))
+    led = skew_join(met, leaders, "_bucket", total, "_rows")
+    pairs = _pairs(led.filter((F.col("_id") != F.col("_lead._id")) & _fits(F.col("_n"), F.col("_lead._n"), t)), F.col("_id"), F.col("_lead._id"))
     named = met.select("_id").distinct()
     texts = RepeatFilter(named, "_id", total, least=1).mark(docs.filter("_id is not null"), "_id").filter("_suspect").select("_id", "_text")
     texts = materialise(texts, "minmax-texts")
     bits = sketches(texts, k)
     tried = materialise(pairs, "minmax-pairs")
     labels = components(confirmed(tried, texts, bits, k, t, salts))
-    cells, width = met.select("_bucket", "_id", "_n"), WIDTH
-    while True:
-        open_ = _open(cells, labels, total)
-        if open_.isEmpty():
-            return _stars(labels)
+    open_, width, shared = _open(met.drop("_size"), labels, total), WIDTH, None
+    while not open_.isEmpty():
+        if shared is None:
+            shared = materialise(_shared(open_, texts, k), "minmax-shared")
+            open_ = _possible(open_.drop("_component", "_largest", "_size").join(shared, "_id"), t, total)
+            open_ = _open(open_, labels, total)
+            continue
         # those outside of the largest component, the first of them by a hash: Spark cuts such a ranking before it shuffles
         order = Window.partitionBy("_bucket").orderBy(F.xxhash64("_id"), "_id")
-        leads = open_.filter("_component <> _largest").select("_bucket", "_id", "_n", "_component", F.row_number().over(order).alias("_r")).filter(F.col("_r") <= width)
-        leads = materialise(leads.drop("_r"), "minmax-leads")
-        lead = leads.groupBy("_bucket").agg(F.collect_list(F.struct("_id", "_n", "_component")).alias("_leads"))  # width of them at most
-        rows = skew_join(open_, lead.join(open_.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size")), "_bucket"), "_bucket", total, "_size")
-        rows = materialise(rows.drop("_size", "_largest"), "minmax-open")
-        both = rows.select("_id", "_n", "_component", F.explode("_leads").alias("_lead")).filter((F.col("_component") != F.col("_lead._component")) & _fits(F.col("_n"), F.col("_lead._n"), t))
+        leads = open_.filter("_component <> _largest").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= width)
+        lead = leads.groupBy("_bucket").agg(F.collect_list(F.struct("_id", "_n", "_component", "_shared")).alias("_leads"), F.first("_size").alias("_rows"))  # width of them at most
+        rows = materialise(skew_join(open_.drop("_size", "_largest"), lead, "_bucket", total, "_rows"), "minmax-open")
+        apart = (F.col("_component") != F.col("_lead._component")) & _fits(F.col("_n"), F.col("_lead._n"), t)
+        enough = _can(F.least("_shared", "_lead._shared"), F.col("_n"), F.col("_lead._n"), t)
+        both = rows.select("_id", "_n", "_component", "_shared", F.explode(F.filter("_leads", lambda x: (x["_component"] != F.col("_component")) & _fits(F.col("_n"), x["_n"], t) & _can(F.least(F.col("_shared"), x["_shared"]), F.col("_n"), x["_n"], t))).alias("_lead")).filter(apart & enough)
         fresh = materialise(_pairs(both, F.col("_id"), F.col("_lead._id")).join(tried, ["a", "b"], "left_anti"), "minmax-pairs")
         labels = components(_stars(labels).unionByName(confirmed(fresh, texts, bits, k, t, salts)))
         tried = materialise(tried.unionByName(fresh), "minmax-pairs")
-        cells = rows.filter(~F.exists("_leads", lambda x: x["_id"] == F.col("_id"))).select("_bucket", "_id", "_n")
-        width *= 4
+        left = rows.filter(~F.exists("_leads", lambda x: x["_id"] == F.col("_id"))).select("_bucket", "_id", "_n", "_shared")
+        open_, width = _open(left, labels, total), width * 4
+    return _stars(labels)
+
+
+def _can(common, n1, n2, t: tuple[int, int]):
+    """Whether sets of these sizes that share `common` at most can link."""
+    return common * (t[0] + t[1]) >= (n1 + n2) * t[0]
+
+
+def _shared(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """_id, _shared: how many of its shingles a document of rows has in common with any other document of rows."""
+
+    def run(batches):
+        shingler = Shingler(k)
+        for batch in batches:
+            for a, b in slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), SLICE_BYTES):
+                sets = shingler.shingles(batch.column(1).slice(a, b - a))
+                ids = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["_id", "_token"])
+
+    ids = rows.select("_id").distinct()
+    tokens = texts.join(ids, "_id", "left_semi").mapInArrow(run, "_id long, _token long")
+    # a token of one document alone is told by aggregation, without bringing a token's documents together
+    found = tokens.groupBy("_token").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last")).filter("_id = _last")
+    alone = found.groupBy("_id").agg(F.count(F.lit(1)).alias("_alone"))
+    sized = rows.groupBy("_id").agg(F.max("_n").alias("_n")).join(alone, "_id", "left")
+    # rows that repeat an id may hold several sets: for these the bound is what it would be without counting
+    several = texts.groupBy("_id").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1")
+    alone = F.when(F.col("_texts").isNull(), F.coalesce("_alone", F.lit(0))).otherwise(F.lit(0))
+    return sized.join(several, "_id", "left").select("_id", F.greatest(F.col("_n") - alone, F.lit(0)).alias("_shared"))
+
+
+def _possible(rows: DataFrame, t: tuple[int, int], total: int) -> DataFrame:
+    """Rows that can link with a set of a size that their bucket holds, by what they share with others."""
+    sizes = rows.groupBy("_bucket").agg(F.min("_n").alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    bound = skew_join(rows, sizes, "_bucket", total, "_rows")
+    # the smallest partner, which has what is shared at least
+    return bound.filter(_can(F.col("_shared"), F.col("_n"), F.greatest("_least", "_shared"), t)).drop("_least", "_rows")
 
 
 def _fits(n1, n2, t: tuple[int, int]):
@@ -158,12 +203,13 @@ def _stars(labels: DataFrame) -> DataFrame:
 
 
 def _open(cells: DataFrame, labels: DataFrame, total: int) -> DataFrame:
-    """The rows of buckets with documents of several components, with the row's component and the one that most rows of the bucket have."""
-    of = cells.join(labels.select(F.col("node").alias("_id"), "component"), "_id", "left").select("_bucket", "_id", "_n", F.coalesce("component", "_id").alias("_component"))
+    """The rows of buckets with documents of several components, with the row's component, the one that most rows of the bucket have, and the bucket's rows."""
+    names = [c for c in cells.columns if c != "_id"]
+    of = cells.join(labels.select(F.col("node").alias("_id"), "component"), "_id", "left").select("_id", *names, F.coalesce("component", "_id").alias("_component"))
     parts = of.groupBy("_bucket", "_component").agg(F.count(F.lit(1)).alias("_rows"))
     mixed = parts.groupBy("_bucket").agg(F.max(F.struct("_rows", "_component")).alias("_top"), F.count(F.lit(1)).alias("_parts"), F.sum("_rows").alias("_size")).filter("_parts > 1")
     mixed = mixed.select("_bucket", F.col("_top._component").alias("_largest"), "_size")
-    return materialise(skew_join(of, mixed, "_bucket", total, "_size").drop("_size"), "minmax-open")
+    return materialise(skew_join(of, mixed, "_bucket", total, "_size"), "minmax-open")
 
 
 def first_of_each(docs: DataFrame, k: int = 5, t: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
