@@ -140,13 +140,19 @@ def _links(docs: DataFrame, cells: DataFrame, k: int, t: tuple[int, int], total:
             continue
         # those outside of the largest component, the first of them by a hash: Spark cuts such a ranking before it shuffles
         order = Window.partitionBy("_bucket").orderBy(F.xxhash64("_id"), "_id")
+        own = open_.groupBy("_id").agg(F.collect_list("_bucket").alias("_in"))  # a bucket a band at most
+        open_ = open_.join(own, "_id")
         leads = open_.filter("_component <> _largest").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= width)
-        lead = leads.groupBy("_bucket").agg(F.collect_list(F.struct("_id", "_n", "_component", "_shared")).alias("_leads"), F.first("_size").alias("_rows"))  # width of them at most
+        lead = leads.groupBy("_bucket").agg(F.collect_list(F.struct("_id", "_n", "_component", "_shared", "_in")).alias("_leads"), F.first("_size").alias("_rows"))  # width of them at most
         rows = materialise(skew_join(open_.drop("_size", "_largest"), lead, "_bucket", total, "_rows"), "minmax-open")
-        apart = (F.col("_component") != F.col("_lead._component")) & _fits(F.col("_n"), F.col("_lead._n"), t)
-        enough = _can(F.least("_shared", "_lead._shared"), F.col("_n"), F.col("_lead._n"), t)
-        both = rows.select("_id", "_n", "_component", "_shared", F.explode(F.filter("_leads", lambda x: (x["_component"] != F.col("_component")) & _fits(F.col("_n"), x["_n"], t) & _can(F.least(F.col("_shared"), x["_shared"]), F.col("_n"), x["_n"], t))).alias("_lead")).filter(apart & enough)
-        fresh = materialise(_pairs(both, F.col("_id"), F.col("_lead._id")).join(tried, ["a", "b"], "left_anti"), "minmax-pairs")
+
+        def meets(x):
+            """A pair is made in the first bucket that it shares."""
+            fits = (x["_component"] != F.col("_component")) & _fits(F.col("_n"), x["_n"], t) & _can(F.least(F.col("_shared"), x["_shared"]), F.col("_n"), x["_n"], t)
+            return fits & (F.array_min(F.array_intersect(F.col("_in"), x["_in"])) == F.col("_bucket"))
+
+        both = rows.select("_id", F.explode(F.transform(F.filter("_leads", meets), lambda x: x["_id"])).alias("_lead"))
+        fresh = materialise(_pairs(both, F.col("_id"), F.col("_lead")).join(tried, ["a", "b"], "left_anti"), "minmax-pairs")
         labels = components(_stars(labels).unionByName(confirmed(fresh, texts, bits, k, t, salts)))
         tried = materialise(tried.unionByName(fresh), "minmax-pairs")
         left = rows.filter(~F.exists("_leads", lambda x: x["_id"] == F.col("_id"))).select("_bucket", "_id", "_n", "_shared")
