@@ -364,10 +364,21 @@ def find_on_selection(peaks: DataFrame, features: DataFrame, method: str, id_col
     return peaks.join(new, id_col, "left").withColumn(label, F.coalesce("_new", label)).drop("_new")
 
 
-def find_clusters(features: DataFrame, id_col: str, method: str, vec: str = "features", keys: list[str] | None = None, noise: DataFrame | None = None, first: int = 0, seed: int = 0, max_rows: int = MAX_SAMPLE, **options) -> DataFrame:
+def _whole(method: str) -> Callable[..., DataFrame]:
+    from . import density, hierarchy, linkage, modes
+
+    tables = {"dbscan": density.dbscan_table, "hdbscan": linkage.hdbscan_table, "dbscan_with_noise": linkage.hdbscan_table, "agglomerative": hierarchy.ward_table, "meanshift": modes.mean_shift_table}
+    if method not in tables:
+        raise ValueError(f"{method} works on samples only; on whole tables: {', '.join(tables)}")
+    return tables[method]
+
+
+def find_clusters(features: DataFrame, id_col: str, method: str, vec: str = "features", keys: list[str] | None = None, noise: DataFrame | None = None, first: int = 0, seed: int = 0, max_rows: int = MAX_SAMPLE, whole: bool = False, **options) -> DataFrame:
     """(id, cluster_label) by method name (K01). keys part the rows into independent samples; first is added to valid labels.
 
     Kernels compare all rows of a sample, so a sample of more than max_rows is refused: take one with relational.sample_total first.
+    whole: cluster all rows together on the cluster instead, with no bound on their number; for dbscan, hdbscan, dbscan_with_noise, agglomerative and
+    meanshift (modules density, linkage, hierarchy, modes), whose labels are those of the kernels, numbered by the smallest id.
 
     dbscan_with_noise (K08) clusters features and noise rows together by hdbscan, then leaves the noise rows out.
     """
@@ -377,6 +388,12 @@ def find_clusters(features: DataFrame, id_col: str, method: str, vec: str = "fea
         model = KMeans(k=k, seed=seed, featuresCol="_v", **options) if method == "kmeans" else GaussianMixture(k=k, seed=seed, featuresCol="_v", **options)
         out = model.fit(vectors).transform(vectors)
         return out.select(id_col, (F.col("prediction") + first).cast("long").alias("cluster_label"))
+    if method == "onecluster" and not keys:
+        return features.select(id_col, F.lit(first).cast("long").alias("cluster_label"))
+    if whole:
+        if keys:
+            raise ValueError("rows are clustered either by keys or as a whole")
+        return _whole(method)(features, id_col, vec, first=first, **options | ({"noise": noise} if method == "dbscan_with_noise" else {}))
     if method == "dbscan_with_noise":
         method, extra = "hdbscan", noise
     else:

@@ -58,10 +58,13 @@ def f08(spark, d):
     return features.transform(w, "vec_id", "wf", features.discriminants(w, "wf", "label", 3)).select("vec_id", F.transform("features", lambda x: F.round(x, 4)).alias("features"))
 
 
+WHOLE = ("agglomerative", "dbscan", "hdbscan", "meanshift")
+
+
 def _clustered(method: str, **options):
     def run(spark, d):
         f, _ = features.global_svd(v.waves(spark, d), "vec_id", "wf", 5)
-        return clustering.find_clusters(f, "vec_id", method, **options)
+        return clustering.find_clusters(f, "vec_id", method, whole=method in WHOLE, **options)
 
     return run
 
@@ -81,9 +84,76 @@ for _name, _method, _options in (
 
 @query("K08_hdbscan_with_noise")
 def k08(spark, d):
+    """Noise rows are what is left of each waveform without the mean of its label."""
     f, _ = features.global_svd(v.waves(spark, d), "vec_id", "wf", 3)
-    noise = f.filter("vec_id % 5 = 0").select(F.transform("features", lambda x: x * 0.1).alias("features"))
-    return clustering.find_clusters(f, "vec_id", "dbscan_with_noise", noise=noise, min_cluster_size=10)
+    own = v.waves(spark, d).select("vec_id", "label").join(f, "vec_id")
+    means = own.groupBy("label").agg(F.array(*[F.avg(F.col("features")[i]) for i in range(3)]).alias("mean"))
+    noise = own.join(means, "label").select(F.zip_with("features", "mean", lambda x, m: x - m).alias("features"))
+    return clustering.find_clusters(f, "vec_id", "dbscan_with_noise", noise=noise, whole=True, min_cluster_size=10)
+
+
+#: Points of the first three numbers of each vector.
+_PLACES = "p AS (SELECT vec_id AS i, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+
+
+def _places(spark, d):
+    return v.waves(spark, d).select("vec_id", F.slice("wf", 1, 3).alias("features"))
+
+
+@query(
+    "K06_dbscan_places",
+    f"""WITH RECURSIVE {_PLACES}, n AS (SELECT a.i, b.i AS j FROM p a, p b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.06),
+    c AS (SELECT i FROM n GROUP BY i HAVING count(*) >= 6), e AS (SELECT n.i, n.j FROM n JOIN c ON c.i = n.i JOIN c o ON o.i = n.j),
+    r(i, j) AS (SELECT i, i FROM c UNION SELECT r.i, e.j FROM r JOIN e ON e.i = r.j), k AS (SELECT i, min(j) AS g FROM r GROUP BY i),
+    l AS (SELECT * FROM k UNION ALL SELECT n.i, min(k.g) FROM n JOIN k ON k.i = n.j WHERE n.i NOT IN (SELECT i FROM c) GROUP BY n.i),
+    m AS (SELECT i, dense_rank() OVER (ORDER BY g) - 1 AS label FROM l) SELECT p.i AS vec_id, coalesce(m.label, -1) AS cluster_label FROM p LEFT JOIN m USING (i)""",
+)
+def k06_places(spark, d):
+    return clustering.find_clusters(_places(spark, d), "vec_id", "dbscan", whole=True, eps=0.06, min_samples=6)
+
+
+@query(
+    "K07_spanning_tree",
+    f"""WITH {_PLACES}, n AS (SELECT a.i, b.i AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM p a JOIN p b ON a.i <> b.i),
+    o AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS r FROM n), c AS (SELECT i, d AS core FROM o WHERE r = 4)
+    SELECT (SELECT count(*) - 1 FROM p) AS edges, (SELECT round(sum(core), 6) FROM c) AS cores, 1::BIGINT AS parts,
+        (SELECT count(*) FROM (SELECT n.i FROM n JOIN c ON c.i = n.i JOIN c e ON e.i = n.j GROUP BY n.i)) AS spanned,
+        (SELECT round(sum(w), 6) FROM (SELECT DISTINCT ON (i) i, greatest(d, c.core, e.core) AS w FROM n JOIN c USING (i) JOIN c e ON e.i = n.j ORDER BY i, w)) AS least""",
+)
+def k07_tree(spark, d):
+    """Of the spanning tree: edges, components that they make, points spanned; the sums of core distances and of each point's least edge, which lies in any such tree."""
+    from ..operators import density, graph, linkage, neighbours
+
+    points = graph.saved(density.points_of(_places(spark, d), "vec_id", "features"), "points")
+    heads = neighbours.Pivots(points)
+    cores, near = neighbours.k_nearest(points, 4, heads)
+    tree = linkage.spanning_tree(cores, near, heads)
+    ends = tree.select("_w", F.explode(F.array("_lo", "_hi")).alias("_id"))
+    of = graph.components(tree, "_lo", "_hi").agg(F.countDistinct("component").alias("parts"))
+    own = ends.groupBy("_id").agg(F.min("_w").alias("_w")).agg(F.count(F.lit(1)).alias("spanned"), F.round(F.sum("_w"), 6).alias("least"))
+    return tree.agg(F.count(F.lit(1)).alias("edges")).join(of).join(own).join(cores.agg(F.round(F.sum("_core"), 6).alias("cores")))
+
+
+@query(
+    "K10_modes_found",
+    "SELECT label::BIGINT AS label, 1::BIGINT AS modes, count(*) AS members FROM embeddings GROUP BY 1",
+)
+def k10_modes(spark, d):
+    """Waveforms pulled to places of their labels, far apart: one mode for each label, with all its members."""
+    w = v.waves(spark, d).select("vec_id", "label", F.slice("wf", 1, 2).alias("_p"))
+    pulled = w.select("vec_id", "label", F.array(F.col("_p")[0] + 10 * (F.col("label") % 3), F.col("_p")[1] + 10 * F.floor(F.col("label") / 3)).alias("features"))
+    found = clustering.find_clusters(pulled, "vec_id", "meanshift", whole=True, bandwidth=2.0).join(w.select("vec_id", "label"), "vec_id")
+    return found.groupBy(F.col("label").cast("long").alias("label")).agg(F.countDistinct("cluster_label").alias("modes"), F.count(F.lit(1)).alias("members"))
+
+
+@query("K05_ward_places", "SELECT label::BIGINT AS label, 1::BIGINT AS clusters, count(*) AS members FROM embeddings GROUP BY 1")
+def k05_places(spark, d):
+    """Ward's hierarchy of the same places, cut at the number of labels: a cluster for each label, with all its members."""
+    w = v.waves(spark, d).select("vec_id", "label", F.slice("wf", 1, 2).alias("_p"))
+    pulled = w.select("vec_id", "label", F.array(F.col("_p")[0] + 10 * (F.col("label") % 3), F.col("_p")[1] + 10 * F.floor(F.col("label") / 3)).alias("features"))
+    k = w.select("label").distinct().count()
+    found = clustering.find_clusters(pulled, "vec_id", "agglomerative", whole=True, n_clusters=k).join(w.select("vec_id", "label"), "vec_id")
+    return found.groupBy(F.col("label").cast("long").alias("label")).agg(F.countDistinct("cluster_label").alias("clusters"), F.count(F.lit(1)).alias("members"))
 
 
 def _one_sample(df: DataFrame, kernel, schema: str) -> DataFrame:
