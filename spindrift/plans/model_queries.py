@@ -163,14 +163,27 @@ def _one_sample(df: DataFrame, kernel, schema: str) -> DataFrame:
 
 @query("K12_saw_chain_cut")
 def k12(spark, d):
-    import pandas as pd
+    from ..operators import sawchain
 
-    def run(pdf):
-        pdf = pdf.sort_values("vec_id")
-        x = np.abs(np.stack(pdf["wf"].to_numpy()).reshape(len(pdf), v.WIDTH, v.CHANNELS)).max(1) * 10
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "cluster_label": clustering.saw_chain_cut(x, 2.0)})
+    w = v.waves(spark, d).select("vec_id", "wf")
+    top = F.array(*[F.array_max(F.transform(F.sequence(F.lit(0), F.lit(v.WIDTH - 1)), lambda i, c=c: F.abs(F.get("wf", i * v.CHANNELS + c)))) * 10 for c in range(v.CHANNELS)])
+    found = sawchain.saw_chain_table(w.select("vec_id", top.alias("amplitudes")), "vec_id", "amplitudes", 2.0)
+    return sawchain.merge_close(found, w, "vec_id", "wf", v.CHANNELS, 0.2)
 
-    return _one_sample(v.waves(spark, d).select("vec_id", "wf"), run, "vec_id long, cluster_label long")
+
+@query(
+    "K12_saw_chain_labels",
+    """WITH s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label::BIGINT AS label, CASE WHEN label = 0 OR n < 20 THEN 0 ELSE 1 END::BIGINT AS classes, n AS members FROM s""",
+)
+def k12_labels(spark, d):
+    """Amplitudes raised on one of three channels, by the label: each label but the first, which stays under the threshold, is a class."""
+    from ..operators import sawchain
+
+    w = v.waves(spark, d).select("vec_id", "label", F.slice("wf", 1, 3).alias("_p"))
+    amps = F.array(*[F.col("_p")[c] + F.when((F.col("label") > 0) & ((F.col("label") - 1) % 3 == c), 15 + 12 * F.floor((F.col("label") - 1) / 3)).otherwise(0) for c in range(3)])
+    found = sawchain.saw_chain_table(w.select("vec_id", amps.alias("amplitudes")), "vec_id", "amplitudes", 5.0)
+    both = found.join(w.select("vec_id", "label"), "vec_id").groupBy(F.col("label").cast("long").alias("label"))
+    return both.agg(F.count_distinct(F.when(F.col("cluster_label") >= 0, F.col("cluster_label"))).alias("classes"), F.count(F.lit(1)).alias("members"))
 
 
 @query("K13_pruning_shears")
