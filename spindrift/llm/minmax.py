@@ -9,8 +9,8 @@
    most documents in all its buckets; pairs are confirmed on full sets.
 4. Where a bucket's documents then lie in more than one component, the shingles that a document shares with any other one in such buckets are
    counted. They bound its overlap with each of them: rows that this parts from all sizes in their bucket are done. Of the rest those outside of the
-   bucket's largest component meet all others, WIDTH at a time and four times as many in each later round, but for pairs that the bound
-   parts, until none is left: no bucket is cut and none gives all its pairs at once. Documents of one component are not compared any more.
+   bucket's largest component meet all others, WIDTH at a time and eight times as many in each later round, but for pairs that the bound
+   parts, until none is left: no bucket is cut and none gives all its pairs at once, and a pair is made in the first bucket that it shares alone. Documents of one component are not compared any more.
 
 A bucket's leader is found by aggregation, and buckets that hold more than a thousandth of all rows, fewer than a thousand for each band, are joined by
 broadcasts of one row a bucket.
@@ -38,7 +38,7 @@ from .jaccard import SLICE_BYTES, Shingler, confirmed, sketches
 from .words import mix64
 
 PERMUTATIONS, BANDS, ROWS = 80, 32, 5
-WIDTH = 16
+WIDTH, PIECE = 64, 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,14 +108,14 @@ def near_components(docs: DataFrame, k: int = 5, t: tuple[int, int] = (85, 100),
     equal = skew_join(usable.select("_set", "_id"), groups.filter("_rows > 1").select("_set", "_rep", "_rows"), "_set", total, "_rows")
     stars = equal.filter("_id <> _rep").select(F.col("_id").alias("a"), F.col("_rep").alias("b")).distinct()
     cells = groups.select(F.explode("_bands").alias("_bucket"), F.col("_rep").alias("_id"), "_n")
-    labels = components(_links(docs, cells, k, t, total).unionByName(stars))
+    labels = components(_links(docs, cells, groups.select(F.col("_rep").alias("_id"), "_bands"), k, t, total).unionByName(stars))
     out = found.select("_id", "_n").join(labels.select(F.col("node").alias("_id"), "component"), "_id", "left")
     component = F.coalesce("component", "_id")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
-def _links(docs: DataFrame, cells: DataFrame, k: int, t: tuple[int, int], total: int) -> DataFrame:
-    """Links (a, b) that connect just what all links connect. cells: _bucket, _id, _n, one set for each row of a bucket."""
+def _links(docs: DataFrame, cells: DataFrame, sets: DataFrame, k: int, t: tuple[int, int], total: int) -> DataFrame:
+    """Links (a, b) that connect just what all links connect. cells: _bucket, _id, _n, one set for each row of a bucket; sets: _id, _bands."""
     salts = max(16, total // 20_000)
     sizes = cells.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     met = materialise(skew_join(cells, sizes, "_bucket", total, "_size"), "minmax-cells")
@@ -136,27 +136,17 @@ def _links(docs: DataFrame, cells: DataFrame, k: int, t: tuple[int, int], total:
         if shared is None:
             shared = materialise(_shared(open_, texts, k), "minmax-shared")
             open_ = _possible(open_.drop("_component", "_largest", "_size").join(shared, "_id"), t, total)
-            open_ = _open(open_, labels, total)
+            # the bands of a document tell the first bucket that two share
+            open_ = _open(open_, labels, total).join(sets, "_id")
             continue
         # those outside of the largest component, the first of them by a hash: Spark cuts such a ranking before it shuffles
         order = Window.partitionBy("_bucket").orderBy(F.xxhash64("_id"), "_id")
-        own = open_.groupBy("_id").agg(F.collect_list("_bucket").alias("_in"))  # a bucket a band at most
-        open_ = open_.join(own, "_id")
-        leads = open_.filter("_component <> _largest").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= width)
-        lead = leads.groupBy("_bucket").agg(F.collect_list(F.struct("_id", "_n", "_component", "_shared", "_in")).alias("_leads"), F.first("_size").alias("_rows"))  # width of them at most
-        rows = materialise(skew_join(open_.drop("_size", "_largest"), lead, "_bucket", total, "_rows"), "minmax-open")
-
-        def meets(x):
-            """A pair is made in the first bucket that it shares."""
-            fits = (x["_component"] != F.col("_component")) & _fits(F.col("_n"), x["_n"], t) & _can(F.least(F.col("_shared"), x["_shared"]), F.col("_n"), x["_n"], t)
-            return fits & (F.array_min(F.array_intersect(F.col("_in"), x["_in"])) == F.col("_bucket"))
-
-        both = rows.select("_id", F.explode(F.transform(F.filter("_leads", meets), lambda x: x["_id"])).alias("_lead"))
-        fresh = materialise(_pairs(both, F.col("_id"), F.col("_lead")).join(tried, ["a", "b"], "left_anti"), "minmax-pairs")
+        leads = open_.filter("_component <> _largest").select("_bucket", "_id", F.row_number().over(order).alias("_r")).filter(F.col("_r") <= width)
+        ranked = materialise(open_.join(leads, ["_bucket", "_id"], "left").withColumn("_leads", F.col("_r").isNotNull()).drop("_r", "_largest"), "minmax-open")
+        fresh = materialise(_met(ranked, t).join(tried, ["a", "b"], "left_anti"), "minmax-pairs")
         labels = components(_stars(labels).unionByName(confirmed(fresh, texts, bits, k, t, salts)))
         tried = materialise(tried.unionByName(fresh), "minmax-pairs")
-        left = rows.filter(~F.exists("_leads", lambda x: x["_id"] == F.col("_id"))).select("_bucket", "_id", "_n", "_shared")
-        open_, width = _open(left, labels, total), width * 4
+        open_, width = _open(ranked.filter("not _leads").drop("_leads", "_component", "_size"), labels, total), width * 8
     return _stars(labels)
 
 
@@ -165,6 +155,41 @@ def _can(common, n1, n2, t: tuple[int, int]):
     return common * (t[0] + t[1]) >= (n1 + n2) * t[0]
 
 
+def _met(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(a, b): each leading row of a bucket with the others that it can link with. A pair is made in the first band that both share alone.
+
+    Large buckets are cut into pieces by a hash of the id, to each of which all leading rows go.
+    """
+    pieces = F.ceil(F.col("_size") / PIECE)
+    others = rows.withColumn("_piece", F.pmod(F.xxhash64("_id"), pieces)).withColumn("_leads", F.lit(False))
+    leading = rows.filter("_leads").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    shards = max(1, rows.count() // PIECE)
+    units = others.unionByName(leading).withColumn("_unit", F.pmod(F.xxhash64("_bucket", "_piece"), F.lit(shards)))
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, piece, ids, n, common, component, leads = (table.column(c).to_numpy() for c in ("_bucket", "_piece", "_id", "_n", "_shared", "_component", "_leads"))
+        held = table.column("_bands").combine_chunks()
+        all_bands = held.flatten().to_numpy().reshape(len(held), -1) if len(held) else np.zeros((0, 1), np.int64)
+        order = np.lexsort((piece, bucket))
+        starts = np.flatnonzero(np.r_[True, (bucket[order][1:] != bucket[order][:-1]) | (piece[order][1:] != piece[order][:-1])])
+        found = [np.zeros((0, 2), np.int64)]
+        for own in np.split(order, starts[1:]):
+            x, y = own[leads[own]], own[~leads[own]]
+            for begin in range(0, len(x), 64):
+                i = x[begin : begin + 64]
+                fits = (n[i][:, None] * t[1] >= n[y][None] * t[0]) & (n[y][None] * t[1] >= n[i][:, None] * t[0])
+                enough = np.minimum(common[i][:, None], common[y][None]) * (t[0] + t[1]) >= (n[i][:, None] + n[y][None]) * t[0]
+                p, q = np.nonzero((component[i][:, None] != component[y][None]) & fits & enough)
+                first = (all_bands[i[p]] == all_bands[y[q]]).argmax(1)
+                keep = all_bands[i[p], first] == bucket[own[0]]
+                found.append(np.sort(np.stack([ids[i[p[keep]]], ids[y[q[keep]]]], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 1]), "b": pa.array(pairs[:, 0])})
+
+    names = ["_unit", "_bucket", "_piece", "_id", "_n", "_shared", "_component", "_leads", "_bands"]
+    return units.select(*names).groupBy("_unit").applyInArrow(run, "a long, b long").distinct()
+
+
 def _shared(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """_id, _shared: how many of its shingles a document of rows has in common with any other document of rows."""
 
