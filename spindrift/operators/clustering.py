@@ -365,9 +365,9 @@ def find_on_selection(peaks: DataFrame, features: DataFrame, method: str, id_col
 
 
 def _whole(method: str) -> Callable[..., DataFrame]:
-    from . import density, hierarchy, linkage, modes
+    from . import density, hierarchy, isosplit, linkage, modes
 
-    tables = {"dbscan": density.dbscan_table, "hdbscan": linkage.hdbscan_table, "dbscan_with_noise": linkage.hdbscan_table, "agglomerative": hierarchy.ward_table, "meanshift": modes.mean_shift_table}
+    tables = {"isosplit5": isosplit.iso_split_table, "dbscan": density.dbscan_table, "hdbscan": linkage.hdbscan_table, "dbscan_with_noise": linkage.hdbscan_table, "agglomerative": hierarchy.ward_table, "meanshift": modes.mean_shift_table}
     if method not in tables:
         raise ValueError(f"{method} works on samples only; on whole tables: {', '.join(tables)}")
     return tables[method]
@@ -378,7 +378,7 @@ def find_clusters(features: DataFrame, id_col: str, method: str, vec: str = "fea
 
     Kernels compare all rows of a sample, so a sample of more than max_rows is refused: take one with relational.sample_total first.
     whole: cluster all rows together on the cluster instead, with no bound on their number; for dbscan, hdbscan, dbscan_with_noise, agglomerative and
-    meanshift (modules density, linkage, hierarchy, modes), whose labels are those of the kernels, numbered by the smallest id.
+    meanshift (modules density, linkage, hierarchy, modes) and isosplit5 (which has no kernel), whose labels are those of the kernels, numbered by the smallest id.
 
     dbscan_with_noise (K08) clusters features and noise rows together by hdbscan, then leaves the noise rows out.
     """

@@ -134,26 +134,42 @@ def k07_tree(spark, d):
     return tree.agg(F.count(F.lit(1)).alias("edges")).join(of).join(own).join(cores.agg(F.round(F.sum("_core"), 6).alias("cores")))
 
 
+def _pulled(spark, d):
+    """Places of labels, far apart: the first two numbers of each vector around a point of its label."""
+    w = v.waves(spark, d).select("vec_id", "label", F.slice("wf", 1, 2).alias("_p"))
+    return w.select("vec_id", "label", F.array(F.col("_p")[0] + 10 * (F.col("label") % 3), F.col("_p")[1] + 10 * F.floor(F.col("label") / 3)).alias("features"))
+
+
+def _per_label(found, pulled, name: str):
+    """Of each label its clusters, and the rows of the largest cluster that any of its members is in."""
+    sizes = found.groupBy("cluster_label").agg(F.count(F.lit(1)).alias("_n"))
+    both = found.join(sizes, "cluster_label").join(pulled.select("vec_id", "label"), "vec_id").groupBy(F.col("label").cast("long").alias("label"))
+    return both.agg(F.countDistinct("cluster_label").alias(name), F.max("_n").alias("members"))
+
+
 @query(
     "K10_modes_found",
     "SELECT label::BIGINT AS label, 1::BIGINT AS modes, count(*) AS members FROM embeddings GROUP BY 1",
 )
 def k10_modes(spark, d):
     """Waveforms pulled to places of their labels, far apart: one mode for each label, with all its members."""
-    w = v.waves(spark, d).select("vec_id", "label", F.slice("wf", 1, 2).alias("_p"))
-    pulled = w.select("vec_id", "label", F.array(F.col("_p")[0] + 10 * (F.col("label") % 3), F.col("_p")[1] + 10 * F.floor(F.col("label") / 3)).alias("features"))
-    found = clustering.find_clusters(pulled, "vec_id", "meanshift", whole=True, bandwidth=2.0).join(w.select("vec_id", "label"), "vec_id")
-    return found.groupBy(F.col("label").cast("long").alias("label")).agg(F.countDistinct("cluster_label").alias("modes"), F.count(F.lit(1)).alias("members"))
+    pulled = _pulled(spark, d)
+    return _per_label(clustering.find_clusters(pulled, "vec_id", "meanshift", whole=True, bandwidth=2.0), pulled, "modes")
+
+
+@query("K11_isosplit_places", "SELECT label::BIGINT AS label, 1::BIGINT AS clusters, count(*) AS members FROM embeddings GROUP BY 1")
+def k11_places(spark, d):
+    """The same places, split until no line between two parcels shows two modes or one that both share: a cluster for each label."""
+    pulled = _pulled(spark, d)
+    return _per_label(clustering.find_clusters(pulled, "vec_id", "isosplit5", whole=True), pulled, "clusters")
 
 
 @query("K05_ward_places", "SELECT label::BIGINT AS label, 1::BIGINT AS clusters, count(*) AS members FROM embeddings GROUP BY 1")
 def k05_places(spark, d):
     """Ward's hierarchy of the same places, cut at the number of labels: a cluster for each label, with all its members."""
-    w = v.waves(spark, d).select("vec_id", "label", F.slice("wf", 1, 2).alias("_p"))
-    pulled = w.select("vec_id", "label", F.array(F.col("_p")[0] + 10 * (F.col("label") % 3), F.col("_p")[1] + 10 * F.floor(F.col("label") / 3)).alias("features"))
-    k = w.select("label").distinct().count()
-    found = clustering.find_clusters(pulled, "vec_id", "agglomerative", whole=True, n_clusters=k).join(w.select("vec_id", "label"), "vec_id")
-    return found.groupBy(F.col("label").cast("long").alias("label")).agg(F.countDistinct("cluster_label").alias("clusters"), F.count(F.lit(1)).alias("members"))
+    pulled = _pulled(spark, d)
+    k = pulled.select("label").distinct().count()
+    return _per_label(clustering.find_clusters(pulled, "vec_id", "agglomerative", whole=True, n_clusters=k), pulled, "clusters")
 
 
 def _one_sample(df: DataFrame, kernel, schema: str) -> DataFrame:
@@ -182,8 +198,9 @@ def k12_labels(spark, d):
     w = v.waves(spark, d).select("vec_id", "label", F.slice("wf", 1, 3).alias("_p"))
     amps = F.array(*[F.col("_p")[c] + F.when((F.col("label") > 0) & ((F.col("label") - 1) % 3 == c), 15 + 12 * F.floor((F.col("label") - 1) / 3)).otherwise(0) for c in range(3)])
     found = sawchain.saw_chain_table(w.select("vec_id", amps.alias("amplitudes")), "vec_id", "amplitudes", 5.0)
-    both = found.join(w.select("vec_id", "label"), "vec_id").groupBy(F.col("label").cast("long").alias("label"))
-    return both.agg(F.count_distinct(F.when(F.col("cluster_label") >= 0, F.col("cluster_label"))).alias("classes"), F.count(F.lit(1)).alias("members"))
+    sized = found.join(found.groupBy("cluster_label").agg(F.count(F.lit(1)).alias("_n")), "cluster_label")
+    both = sized.join(w.select("vec_id", "label"), "vec_id").groupBy(F.col("label").cast("long").alias("label"))
+    return both.agg(F.count_distinct(F.when(F.col("cluster_label") >= 0, F.col("cluster_label"))).alias("classes"), F.max("_n").alias("members"))
 
 
 @query("K13_pruning_shears")
@@ -282,8 +299,8 @@ def _templates(spark):
     return spark.range(96).select(F.floor(i / 32).alias("cluster_label"), (F.floor(i / 8) % 4 - 1).cast("int").alias("offset"), (i % 8).cast("int").alias("channel"), (i % 7 - 3).cast("double").alias("value"))
 
 
-def _spikes(spark, d, every: int = 1):
-    e = spark.read.parquet(f"{d}/events.parquet").filter(F.col("event_id") % every == 0)
+def _spikes(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
     return e.select(F.floor(F.col("event_id") / 4096).cast("int").alias("segment"), F.floor((F.col("event_id") % 4096) / 8).alias("index"), (F.col("user_id") % 5 - 1).alias("cluster_label"))
 
 

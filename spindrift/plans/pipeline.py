@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import robust, scalar
 from ..operators import catalogue as cat
 from ..operators import clustering, curation, detect, features, filters, peeling, relational, trains, waveforms
+from ..operators.graph import saved
 from ..sources.raw import to_long
 
 
@@ -56,7 +58,9 @@ def process(frames: DataFrame, p: Parameters, noise_seconds: float = 10.0) -> tu
     """Filtered, normalised frames and the (channel, median, mad) table they were normalised with."""
     block = p.block or max(1024, int(p.sample_rate))
     pad = scalar.halo_width(p.sample_rate, p.highpass)
-    raw = filters.preprocess_blocks(frames, filters.Preprocessing(p.sample_rate, p.highpass, p.lowpass), block, pad)
+    # the blocks that the noise is taken from, with their halo, are all that is filtered for it
+    head = F.col("sample") < math.ceil(noise_seconds * p.sample_rate / block) * block + pad
+    raw = filters.preprocess_blocks(frames.filter((F.col("segment") == 0) & head), filters.Preprocessing(p.sample_rate, p.highpass, p.lowpass), block, pad)
     noise = robust.median_mad(to_long(raw.filter((F.col("segment") == 0) & (F.col("sample") < noise_seconds * p.sample_rate))), ["channel"], "value")
     rows = {r["channel"]: r for r in noise.collect()}  # one row per channel
     order = sorted(rows)
@@ -149,7 +153,6 @@ def clean_clusters(labelled: DataFrame, waves: DataFrame, channels: int, n_left:
 
 def sort_recording(frames: DataFrame, probe: DataFrame, p: Parameters) -> tuple[cat.Catalogue, DataFrame]:
     """Catalogue and spikes of a recording."""
-    processed, _ = process(frames, p)
-    processed = processed.persist()
+    processed = saved(process(frames, p)[0], "processed")
     made, _ = build_catalogue(processed, probe, p)
     return made, peeling.peel_blocks(processed, made, p.block or 10 * int(p.sample_rate))
