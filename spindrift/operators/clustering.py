@@ -419,75 +419,115 @@ def find_clusters(features: DataFrame, id_col: str, method: str, vec: str = "fea
 # --- unimodality
 
 
-def dip(values: np.ndarray) -> float:
-    """Hartigan's dip: half the least largest distance between the empirical distribution and a unimodal one."""
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
-    if n < 4 or x[0] == x[-1]:
-        return 0.0
-    xs, counts = np.unique(x, return_counts=True)
-    upper = np.cumsum(counts) / n
-    lower = np.r_[0, upper[:-1]]
-    if len(xs) <= 4:
-        return 0.0
+HULL_BLOCK = 1 << 16
 
-    def hull(u: np.ndarray, y: np.ndarray) -> list[int]:
-        """Indices of the greatest convex minorant."""
-        keep: list[int] = []
-        for i in range(len(u)):
-            while len(keep) > 1 and (y[keep[-1]] - y[keep[-2]]) * (u[i] - u[keep[-1]]) >= (y[i] - y[keep[-1]]) * (u[keep[-1]] - u[keep[-2]]):
-                keep.pop()
-            keep.append(i)
+
+def _hull(u: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indices of the greatest convex minorant: points on or above the line of their neighbours go, block by block, then all together; what goes slowly is left to one scan."""
+
+    def thinned(keep: np.ndarray) -> np.ndarray:
+        while len(keep) > 2:
+            du, dy = np.diff(u[keep]), np.diff(y[keep])
+            above = dy[:-1] * du[1:] >= dy[1:] * du[:-1]
+            gone = int(above.sum())
+            if gone:
+                keep = keep[np.r_[True, ~above, True]]
+            if gone * 16 < len(above):
+                break
         return keep
 
+    keep = thinned(np.concatenate([thinned(np.arange(i, min(i + HULL_BLOCK, len(u)))) for i in range(0, len(u), HULL_BLOCK)]))
+    us, ys, out = u[keep].tolist(), y[keep].tolist(), []
+    for i in range(len(us)):
+        while len(out) > 1 and (ys[out[-1]] - ys[out[-2]]) * (us[i] - us[out[-1]]) >= (ys[i] - ys[out[-1]]) * (us[out[-1]] - us[out[-2]]):
+            out.pop()
+        out.append(i)
+    return keep[out]
+
+
+def dip(values: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """Hartigan's dip: half the least largest distance between the empirical distribution and a unimodal one. counts: how often each value occurs."""
+    xs = np.asarray(values, float)
+    if counts is None and len(xs) > 4:
+        xs = np.sort(xs)
+        if (xs[1:] == xs[:-1]).any():
+            xs, counts = np.unique(xs, return_counts=True)
+    elif counts is not None:
+        order = np.argsort(xs)
+        xs, counts = xs[order], np.asarray(counts)[order]
+    if len(xs) <= 4:
+        return 0.0
+    total = np.arange(1, len(xs) + 1) if counts is None else np.cumsum(counts)
+    n = int(total[-1])
+    upper = total / n
+    lower = np.r_[0, upper[:-1]]
     low, high, best = 0, len(xs) - 1, 1.0 / n
     while True:
-        u = xs[low : high + 1]
-        minor = hull(u, lower[low : high + 1])
-        major = hull(u, -upper[low : high + 1])
-        g = np.interp(u, u[minor], lower[low : high + 1][minor])
-        h = np.interp(u, u[major], upper[low : high + 1][major])
-        at = sorted({*minor, *major})
-        gap = h[at] - g[at]
+        u, below, over = (v[low : high + 1] for v in (xs, lower, upper))
+        minor, major = _hull(u, below), _hull(u, -over)
+        at = np.union1d(minor, major)
+        gap = np.interp(u[at], u[major], over[major]) - np.interp(u[at], u[minor], below[minor])
         d = float(gap.max())
         if d <= best:
             return best / 2
-        k = at[int(gap.argmax())]
-        left = max([m for m in minor if m <= k] or [0])
-        right = min([m for m in major if m >= k] or [len(u) - 1])
+        k = int(at[gap.argmax()])
+        left = int(minor[minor <= k].max(initial=0))
+        right = int(major[major >= k].min(initial=len(u) - 1))
         if k in minor and k not in major:
-            left, right = k, min([m for m in major if m >= k] or [len(u) - 1])
+            left = k
         elif k in major and k not in minor:
-            left, right = max([m for m in minor if m <= k] or [0]), k
-        outside = max(float((upper[low : low + left + 1] - g[: left + 1]).max(initial=0)), float((h[right:] - lower[low + right : high + 1]).max(initial=0)))
+            right = k
+        first, last = slice(0, left + 1), slice(right, len(u))
+        outside = max(float((over[first] - np.interp(u[first], u[minor], below[minor])).max(initial=0)), float((np.interp(u[last], u[major], over[major]) - below[last]).max(initial=0)))
         best = max(best, outside)
         if left == 0 and right == len(u) - 1:
             return max(best, d) / 2
         low, high = low + left, low + right
 
 
+def null_dip(n: int, draw: int, seed: int = 0) -> float:
+    """The dip of one of a row of uniform samples of n values; any of them can be drawn alone."""
+    r = np.random.default_rng(seed)
+    r.bit_generator.advance(draw * n)
+    return dip(r.uniform(size=n))
+
+
 def dip_test(values: np.ndarray, draws: int = 1000, seed: int = 0) -> tuple[float, float | None]:
     """The dip and its p-value against uniform samples of the same size."""
     own = dip(values)
     if len(np.unique(values)) <= 4:
         return 0.0, 1.0
-    r = np.random.default_rng(seed)
-    null = np.array([dip(r.uniform(size=len(values))) for _ in range(draws)])
+    null = np.array([null_dip(len(values), k, seed) for k in range(draws)])
     if not null.any():
         return own, None
     return own, float(((own < null).sum() + 1) / (draws + 1))
 
 
 def dip_by_group(df: DataFrame, keys: list[str], value: str, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """keys, dip, p: one test per group on all its values; a group comes to its task as distinct values with counts. Null values are left out."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    """keys, dip, p: one test per group on all its values; a group comes to its task as distinct values with counts. Null values are left out.
+
+    Uniform samples are drawn and measured in tasks of their own, once for all groups of one size.
+    """
+    from .graph import saved
+
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, p = dip_test(np.repeat(pdf[value].to_numpy(float), pdf["_n"].to_numpy()), draws, seed)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "dip": [d], "p": [p]})
+        d = dip(pdf["_v"].to_numpy(), pdf["_n"].to_numpy())
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "dip": [d], "_size": [pdf["_n"].sum() if len(pdf) > 4 else 0]})
+
+    def measured(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"_size": pdf["_size"], "_dip": [null_dip(n, k, seed) for n, k in zip(pdf["_size"].tolist(), pdf["_draw"].tolist(), strict=True)]})
 
     kinds = dict(df.dtypes)
-    return counted.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "dip double", "p double"]))
+    own = saved(counted.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "dip double", "_size long"])), "dips")
+    sizes = own.filter("_size > 0").select("_size").distinct()
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    drawn = sizes.withColumn("_draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long")))).repartition(tasks, "_size", "_draw")
+    null = drawn.mapInPandas(measured, "_size long, _dip double").groupBy("_size").agg(F.collect_list("_dip").alias("_null"))
+    over = F.size(F.filter("_null", lambda x: x > F.col("dip")))
+    return own.join(null, "_size", "left").select(*keys, "dip", F.when(F.col("_size") == 0, 1.0).otherwise((over + 1) / F.lit(draws + 1)).alias("p"))
 
 
 def auto_split(features: DataFrame, id_col: str, label: str = "cluster_label", vec: str = "features", p_value: float = 0.1, min_cluster_size: int = 20, seed: int = 0) -> DataFrame:
