@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalogue, clustering, features, filters, metrics, peeling, waveforms
+from ..operators import catalogue, clustering, features, filters, metrics, peeling, reachability, waveforms
 from ..sources.raw import to_frames, to_long
 from . import views as v
 from .registry import query
@@ -64,6 +64,8 @@ WHOLE = ("agglomerative", "dbscan", "hdbscan", "meanshift")
 def _clustered(method: str, **options):
     def run(spark, d):
         f, _ = features.global_svd(v.waves(spark, d), "vec_id", "wf", 5)
+        if method == "optics":
+            return reachability.optics_table(f, "vec_id", **options)
         return clustering.find_clusters(f, "vec_id", method, whole=method in WHOLE, **options)
 
     return run

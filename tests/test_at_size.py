@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from spindrift.operators import clustering
+from spindrift.operators import clustering, reachability
+
+from .test_whole_tables import blobs, labels, table
 
 
 def test_dip_of_counts_and_of_samples_drawn_alone(spark):
@@ -17,3 +19,10 @@ def test_dip_of_counts_and_of_samples_drawn_alone(spark):
     rows = spark.createDataFrame([(k, float(v)) for k, values in groups.items() for v in values], "k long, v double")
     found = {r["k"]: (r["dip"], r["p"]) for r in clustering.dip_by_group(rows, ["k"], "v", draws=50).collect()}
     assert found == {k: clustering.dip_test(values, 50) for k, values in groups.items()}
+
+
+def test_optics_of_a_table_equals_the_kernel(spark):
+    x = blobs(1500)
+    rows = table(spark, x)
+    for options in ({}, {"eps": 0.8}, {"max_eps": 1.5, "min_samples": 8}):
+        assert (labels(reachability.optics_table(rows, "id", piece=500, pivots=20, **options), 1500) == clustering.optics(x, **options)).all()
