@@ -305,14 +305,15 @@ def saw_chain_cut(amplitudes: np.ndarray, threshold: float, nb_min: int = 20, ba
     return label
 
 
-def pruning_shears(features: np.ndarray, channel_of: np.ndarray, peak_channel: np.ndarray, amplitude: np.ndarray, adjacent: np.ndarray, min_cluster_size: int = 20, nb_max: int = 1000, n_components: int = 3) -> np.ndarray:
+def pruning_shears(features: np.ndarray, channel_of: np.ndarray, peak_channel: np.ndarray, amplitude: np.ndarray, adjacent: np.ndarray, min_cluster_size: int = 20, nb_max: int = 1000, n_components: int = 3, tired: set | None = None) -> np.ndarray:
     """Clusters peeled off channel by channel.
 
     The next channel is that with the largest 90th percentile of amplitude among those with enough free peaks. Free peaks of adjacent channels
     are reduced by SVD on the features of these channels and clustered; the cluster of largest amplitude on the visited channel is kept.
+    tired: channels that gave none since the last cluster.
     """
     label = np.full(len(features), NOISE)
-    free, tired, current = np.ones(len(features), bool), set(), 0
+    free, tired, current = np.ones(len(features), bool), set(tired or ()), 0
     for _ in range(nb_max):
         best, at = -np.inf, -1
         for c in np.unique(peak_channel[free]).tolist():

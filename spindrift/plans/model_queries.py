@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalogue, clustering, features, filters, metrics, peeling, reachability, waveforms
+from ..operators import catalogue, clustering, features, filters, metrics, peeling, reachability, shears, waveforms
 from ..sources.raw import to_frames, to_long
 from . import views as v
 from .registry import query
@@ -174,11 +174,6 @@ def k05_places(spark, d):
     return _per_label(clustering.find_clusters(pulled, "vec_id", "agglomerative", whole=True, n_clusters=k), pulled, "clusters")
 
 
-def _one_sample(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """A kernel over one bounded sample."""
-    return df.groupBy().applyInPandas(kernel, schema)
-
-
 @query("K12_saw_chain_cut")
 def k12(spark, d):
     from ..operators import sawchain
@@ -207,19 +202,14 @@ def k12_labels(spark, d):
 
 @query("K13_pruning_shears")
 def k13(spark, d):
-    import pandas as pd
-
-    def run(pdf):
-        pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf["wf"].to_numpy()).reshape(len(pdf), v.WIDTH, v.CHANNELS)
-        peak = np.abs(x).max(1).argmax(1)
-        flat = x.transpose(0, 2, 1).reshape(len(x), -1)
-        channel_of = np.repeat(np.arange(v.CHANNELS), v.WIDTH)
-        near = np.abs(np.subtract.outer(np.arange(v.CHANNELS), np.arange(v.CHANNELS))) <= 1
-        labels = clustering.pruning_shears(flat, channel_of, peak, np.abs(x).max((1, 2)), near, 10)
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "cluster_label": labels})
-
-    return _one_sample(v.waves(spark, d).select("vec_id", "wf"), run, "vec_id long, cluster_label long")
+    w = v.waves(spark, d).select("vec_id", "wf")
+    # sample-major to channel-major
+    flat = F.array(*[F.col("wf")[i * v.CHANNELS + c] for c in range(v.CHANNELS) for i in range(v.WIDTH)])
+    tops = F.array(*[F.array_max(F.transform(F.slice("_x", c * v.WIDTH + 1, v.WIDTH), F.abs)) for c in range(v.CHANNELS)])
+    peaks = w.select("vec_id", flat.alias("_x")).withColumn("_tops", tops)
+    peaks = peaks.select("vec_id", "_x", (F.array_position("_tops", F.array_max("_tops")) - 1).alias("peak_channel"), F.array_max("_tops").alias("amplitude"))
+    near = np.abs(np.subtract.outer(np.arange(v.CHANNELS), np.arange(v.CHANNELS))) <= 1
+    return shears.pruning_shears_table(peaks, "vec_id", "_x", np.repeat(np.arange(v.CHANNELS), v.WIDTH), "peak_channel", "amplitude", near, 10)
 
 
 @query("K14_dip_test")

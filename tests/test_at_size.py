@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from spindrift.operators import clustering, reachability
+from spindrift.operators import clustering, reachability, shears
 
 from .test_whole_tables import blobs, labels, table
 
@@ -26,3 +26,16 @@ def test_optics_of_a_table_equals_the_kernel(spark):
     rows = table(spark, x)
     for options in ({}, {"eps": 0.8}, {"max_eps": 1.5, "min_samples": 8}):
         assert (labels(reachability.optics_table(rows, "id", piece=500, pivots=20, **options), 1500) == clustering.optics(x, **options)).all()
+
+
+def test_pruning_shears_of_a_table_equal_the_kernel(spark):
+    r = np.random.default_rng(4)
+    peak = r.integers(0, 3, 900)
+    x = r.normal(size=(900, 12)) * 0.3
+    for c in range(3):
+        x[peak == c, 4 * c : 4 * c + 4] += np.where(r.random((peak == c).sum()) < 0.5, 6.0 + c, 11.0 + c)[:, None]
+    channel_of, adjacent, top = np.repeat(np.arange(3), 4), np.eye(3, dtype=bool), np.abs(x).max(1)
+    rows = spark.createDataFrame([(i, v.tolist(), int(p), float(a)) for i, (v, p, a) in enumerate(zip(x, peak, top, strict=True))], "id long, x array<double>, peak int, amp double")
+    got = shears.pruning_shears_table(rows, "id", "x", channel_of, "peak", "amp", adjacent, 20, sample=600)
+    want = clustering.pruning_shears(x, channel_of, peak, top, adjacent, 20)
+    assert want.max() >= 4 and (labels(got, 900) == want).all()
