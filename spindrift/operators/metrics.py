@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,36 +52,84 @@ def pair_list(labels: DataFrame, label: str) -> DataFrame:
     return a.join(b, F.col("label_i") < F.col("label_j"))
 
 
-def silhouette(points: DataFrame, id_col: str, label: str, vec: str, block: int = 512, max_points: int = 200_000) -> DataFrame:
-    """Euclidean silhouette of each point (A11): (id, label, silhouette); empty where there are fewer than two labels.
+def label_sums(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of distances from rows of a to each label of b, and from rows of b to each label of a; labels begin at at_a and at_b.
 
-    Points meet in blocks: each partition holds its points and reads all others as bounded blocks, summing distances per label, so
-    no pair is ever a row. All points are compared, so more than max_points are refused: the metric is for what a sampler left.
+    Distances are matrix products, but where two rows are so close that these would lose digits.
     """
-    import numpy as np
-    import pandas as pd
+    mid = a.mean(0)
+    a, b = a - mid, b - mid
+    sa, sb = (a * a).sum(1), (b * b).sum(1)
+    small = 1e-9 * max(sa.max(), sb.max())
+    out, back = np.zeros((len(a), len(at_b))), np.zeros((len(at_a), len(b)))
+    for begin in range(0, len(a), tile):
+        rows = slice(begin, begin + tile)
+        d = a[rows] @ (-2 * b.T)
+        d += sa[rows, None]
+        d += sb
+        i, j = np.nonzero(d <= small)
+        for k in range(0, len(i), 1 << 16):
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            d[p, q] = ((a[begin + p] - b[q]) ** 2).sum(1)
+        np.sqrt(d, out=d)
+        out[rows] = np.add.reduceat(d, at_b, axis=1)
+        cuts = np.unique(np.r_[begin, at_a[(at_a > begin) & (at_a < begin + tile)]])
+        back[np.searchsorted(at_a, cuts, side="right") - 1] += np.add.reduceat(d, cuts - begin, axis=0)
+    return out, back.T
+
+
+def silhouette(points: DataFrame, id_col: str, label: str, vec: str, piece: int = 1 << 15, max_points: int | None = None) -> DataFrame:
+    """Euclidean silhouette of each point (A11): (id, label, silhouette); empty where there are fewer than two labels.
 
-    if (n := points.count()) > max_points:
-        raise ValueError(f"a silhouette of {n} points compares each with all, at most {max_points}: sample them first")
+    All points are compared, so the work grows with the square of their number. They come in groups of at most about `piece` rows: pieces of a
+    large label, or several small labels. Each two groups meet in one unit, which sums distances per label for both; no pair is ever a row.
+    max_points: refuse more points than that.
+    """
+    from .graph import saved
+    from .neighbours import matrix
 
     cols = points.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vec).alias("vec"))
-    pieces = cols.withColumn("_block", F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(max(1, (1 << 20) * block // max(1, n)))))
-    mine = pieces.groupBy("_block").agg(F.collect_list(F.struct("id", "label", "vec")).alias("_mine"))
-    other = pieces.groupBy("_block").agg(F.collect_list(F.struct("label", "vec")).alias("_other"))
-    met = mine.select(F.col("_block").alias("_b1"), "_mine").join(other.select(F.col("_block").alias("_b2"), "_other"), F.lit(True))
-
-    def run(batches):
-        for pdf in batches:
-            for own, rest in zip(pdf["_mine"], pdf["_other"], strict=True):
-                a, b = np.array([r["vec"] for r in own], float), np.array([r["vec"] for r in rest], float)
-                lb = np.array([r["label"] for r in rest])
-                d = np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1), 0))
-                for to in np.unique(lb):
-                    s = d[:, lb == to].sum(1)
-                    yield pd.DataFrame({"id": [r["id"] for r in own], "label": [r["label"] for r in own], "to": to, "total": s, "n": int((lb == to).sum())})
+    sizes = saved(cols.groupBy("label").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    if max_points is not None and total > max_points:
+        raise ValueError(f"a silhouette of {total} points compares each with all, at most {max_points}: sample them first")
+    piece = max(256, min(piece, total // 24))
+    few = 2 * F.col("_n") <= piece
+    rest = sizes.agg(F.sum(F.when(few, F.col("_n")))).first()[0] or 0
+    own = F.concat_ws(":", F.lit("l"), F.xxhash64("label"), F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("_n") / piece)))
+    shared = F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("label", F.lit(7)), F.lit(1 + rest // piece)))
+    placed = cols.join(sizes.withColumnRenamed("label", "_l"), F.col("label").eqNullSafe(F.col("_l"))).select("id", "label", "vec", F.when(few, shared).otherwise(own).alias("_g"))
+    placed = saved(placed, "placed")
+    names = saved(placed.select("_g").distinct(), "groups")
+    pairs = names.crossJoin(names.select(F.col("_g").alias("_h"))).filter("_g <= _h")
+    left = placed.join(pairs, "_g").select("id", "label", "vec", "_g", "_h", F.lit(True).alias("_left"))
+    right = placed.withColumnRenamed("_g", "_h").join(pairs.filter("_g < _h"), "_h").select("id", "label", "vec", "_g", "_h", F.lit(False).alias("_left"))
+    tasks = 8 * points.sparkSession.sparkContext.defaultParallelism
+
+    def run(table: pa.Table) -> pa.Table:
+        codes = pc.dictionary_encode(table.column("label").combine_chunks(), null_encoding="encode")
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        of, is_left, x = codes.indices.to_numpy(zero_copy_only=False), table.column("_left").to_numpy(zero_copy_only=False).astype(bool), matrix(table.column("vec"))
+        sides = []
+        for rows in (np.flatnonzero(is_left), np.flatnonzero(~is_left)):
+            rows = rows[np.argsort(of[rows], kind="stable")]
+            starts = np.flatnonzero(np.r_[True, of[rows][1:] != of[rows][:-1]]) if len(rows) else rows
+            sides.append((rows, x[rows].astype(float), starts))
+        if not len(sides[1][0]):  # a group with itself
+            sides = sides[:1]
+        sums = label_sums(sides[0][1], sides[-1][1], sides[0][2], sides[-1][2])
+        parts = []
+        for (rows, _, _), (other, _, starts), total in zip(sides, sides[::-1], sums, strict=False):
+            n = np.diff(np.r_[starts, len(other)])
+            for k, start in enumerate(starts.tolist()):
+                take = pa.array(rows)
+                to = table.column("label").take(pa.array(np.full(len(rows), other[start])))
+                parts.append(pa.table([table.column("id").take(take), table.column("label").take(take), to, pa.array(total[:, k]), pa.array(np.full(len(rows), n[k], np.int64))], ["id", "label", "to", "total", "n"]))
+        return pa.concat_tables(parts)
 
     kind = dict(cols.dtypes)
-    sums = met.mapInPandas(run, f"id {kind['id']}, label {kind['label']}, to {kind['label']}, total double, n long")
+    units = left.unionByName(right).repartition(tasks, "_g", "_h").groupBy("_g", "_h")
+    sums = units.applyInArrow(run, f"id {kind['id']}, label {kind['label']}, to {kind['label']}, total double, n long")
     sums = sums.groupBy("id", "label", "to").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     inner = F.max(F.when((F.col("label") == F.col("to")) & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)))
     outer = F.min(F.when(F.col("label") != F.col("to"), F.col("total") / F.col("n")))

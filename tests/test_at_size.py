@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from spindrift.operators import clustering, reachability, shears
+from pyspark.sql import functions as F
+
+from spindrift.operators import clustering, metrics, neighbours, reachability, shears
 
 from .test_whole_tables import blobs, labels, table
 
@@ -39,3 +41,20 @@ def test_pruning_shears_of_a_table_equal_the_kernel(spark):
     got = shears.pruning_shears_table(rows, "id", "x", channel_of, "peak", "amp", adjacent, 20, sample=600)
     want = clustering.pruning_shears(x, channel_of, peak, top, adjacent, 20)
     assert want.max() >= 4 and (labels(got, 900) == want).all()
+
+
+def test_silhouettes_in_units_equal_all_pairs(spark):
+    x = np.r_[blobs(900, 3), blobs(900, 3)[:40], np.zeros((30, 4)), np.zeros((30, 4))]
+    label = np.r_[np.random.default_rng(2).integers(0, 4, 930), np.full(5, 9), np.full(5, 8), np.full(30, 5), np.full(30, 6)]
+    d, want = neighbours.gaps(x, x), np.zeros(len(x))
+    mean = {k: d[:, label == k].sum(1) / (label == k).sum() for k in np.unique(label)}
+    for i, k in enumerate(label):
+        n = (label == k).sum()
+        a, b = mean[k][i] * n / (n - 1), min(m[i] for q, m in mean.items() if q != k)
+        want[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0
+    rows = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x, strict=True))], "id long, label int, x array<float>")
+    rows64 = rows.withColumn("x", F.col("x").cast("array<double>"))
+    for df, near in ((rows, 1e-5), (rows64, 1e-5)):
+        got = {r.id: r.silhouette for r in metrics.silhouette(df, "id", "label", "x").collect()}
+        assert inspect.signature(metrics.silhouette).parameters["max_points"].default is None
+        assert len(got) == len(x) and max(abs(got[i] - want[i]) for i in range(len(x))) < near
