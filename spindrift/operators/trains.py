@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import dense_bins, range_join
+from .relational import dense_bins
 
 
 def counts(events: DataFrame, *keys: str) -> DataFrame:
@@ -32,23 +35,90 @@ def interval_histogram(events: DataFrame, index: str, label: str, segment: str,
     return histogram(gaps, F.col("gap") / sample_rate * 1000.0, low, high, width, [label])
 
 
+def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of the labels of a column, a null being one of them, and these labels."""
+    coded = pc.dictionary_encode(pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type), null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def _counted(sums: np.ndarray, names: pa.Array) -> pa.Table:
+    """Rows of the counts above zero of sums (label, label, bin)."""
+    i, j, b = np.nonzero(sums)
+    return pa.table({"label_i": names.take(pa.array(i)), "label_j": names.take(pa.array(j)), "bin": pa.array(b, pa.int64()), "count": pa.array(sums[i, j, b], pa.int64())})
+
+
+def _lag_counts(rows: DataFrame, bin_width: int, half: int) -> DataFrame:
+    """label_i, label_j, bin, count of ordered pairs up to bin `half`, in parts to be summed. rows: _seg, _t, _l, _id.
+
+    Events of one (segment, index, label) are one row with their number, so a bucket has no more rows than indices times labels. A bucket's events look
+    into it and the next one. Pairs at the same index are counted apart, in the order of ids.
+    """
+    rows = rows.filter("_seg is not null and _t is not null")
+    width = (half + 1) * bin_width
+    spans = rows.groupBy("_seg").agg(F.count(F.lit(1)).alias("n"), (F.floor((F.max("_t") - F.min("_t")) / width) + 1).alias("b"))
+    n, buckets = spans.agg(F.sum("n"), F.sum("b")).first()
+    width *= max(1, 4096 * (buckets or 0) // max(1, n or 0))
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    kind = dict(rows.dtypes)["_l"]
+    schema = f"label_i {kind}, label_j {kind}, bin long, count long"
+    at = F.floor(F.col("_t") / width)
+    cells = rows.groupBy("_seg", "_t", "_l").agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_bucket", F.when(F.col("_own"), at).otherwise(at - 1))
+    borders = np.arange(half + 2) * bin_width
+
+    def lagged(table: pa.Table) -> pa.Table:
+        of, names = _coded(table.column("_l"))
+        seg, _ = _coded(table.column("_seg"))
+        bucket, t, n, own = (table.column(c).to_numpy() for c in ("_bucket", "_t", "_n", "_own"))
+        order = np.lexsort((t, of, bucket, seg))
+        of, seg, bucket, t, n, own = (v[order] for v in (of, seg, bucket, t, n, own.astype(bool)))
+        sums = np.zeros((len(names), len(names), half + 1), np.int64)
+        starts = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (bucket[1:] != bucket[:-1])])
+        for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(t)], strict=True):
+            mine = np.flatnonzero(own[begin:end]) + begin
+            if not len(mine):
+                continue
+            first = np.flatnonzero(np.r_[True, np.diff(of[mine]) > 0])
+            edges = t[mine][:, None] + borders
+            edges[:, 0] += 1
+            parts = np.flatnonzero(np.r_[True, np.diff(of[begin:end]) > 0]) + begin
+            for a, b in zip(parts.tolist(), [*parts[1:].tolist(), end], strict=True):
+                before = np.r_[0, np.cumsum(n[a:b])][np.searchsorted(t[a:b], edges)]
+                sums[of[mine[first]], of[a]] += np.add.reduceat(np.diff(before, axis=1) * n[mine][:, None], first, axis=0)
+        return _counted(sums, names)
+
+    def at_once(table: pa.Table) -> pa.Table:
+        of, names = _coded(table.column("_l"))
+        seg, _ = _coded(table.column("_seg"))
+        t, ids = table.column("_t").to_numpy(), table.column("_id").to_numpy()
+        order = np.lexsort((ids, t, seg))
+        of, seg, t, ids = (v[order] for v in (of, seg, t, ids))
+        fresh = np.r_[True, (seg[1:] != seg[:-1]) | (t[1:] != t[:-1])]
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(t)), 0))
+        smaller = np.maximum.accumulate(np.where(fresh | np.r_[True, ids[1:] != ids[:-1]], np.arange(len(t)), 0))
+        sums = np.zeros((len(names), len(names), 1), np.int64)
+        for i in range(len(names)):
+            before = np.r_[0, np.cumsum(of == i)]
+            sums[i, :, 0] = np.bincount(of, before[smaller] - before[begin], len(names)).astype(np.int64)
+        return _counted(sums, names)
+
+    apart = cells.withColumn("_part", F.pmod(F.xxhash64("_seg", "_bucket"), F.lit(tasks))).repartition(tasks, "_part").groupBy("_part").applyInArrow(lagged, schema)
+    ties = rows.filter("_id is not null").select("_seg", "_t", "_l", "_id", F.pmod(F.xxhash64("_seg", "_t"), F.lit(max(tasks, (n or 0) // 200_000))).alias("_part"))
+    return apart.unionByName(ties.groupBy("_part").applyInArrow(at_once, schema))
+
+
 def cross_correlograms(events: DataFrame, index: str, label: str, segment: str, id_col: str, sample_rate: float, window_size: float = 0.1, bin_size: float = 0.001, labels: DataFrame | None = None, symmetrize: bool = False, dense: bool = True) -> DataFrame:
     """(label_i, label_j, bin, count) of ordered pairs, i before j, of the same segment.
 
-    A bucketed range join on (segment, bucket); events at the same index are ordered by id. Bin 0 of a label with itself is empty.
+    Counts, not pairs: within (segment, bucket) each label's running count is looked up at the borders of bins. Events at the same index are ordered by id. Bin 0 of a label with itself is empty.
     With symmetrize, bins run from -half to half: the count at -b of (i, j) is that at b of (j, i), and bin 0 is the larger of the two.
     """
     bin_width = int(sample_rate * min(max(bin_size, 1e-5), 1e5))
     half = (2 * int(0.5 * min(max(window_size, 1e-5), 1e5) / min(max(bin_size, 1e-5), 1e5)) + 1) // 2
-    reach = (half + 1) * bin_width - 1
     rows = events.select(F.col(segment).alias("_seg"), F.col(index).alias("_t"), F.col(label).alias("_l"), F.col(id_col).alias("_id"))
     if labels is not None:
         rows = rows.join(F.broadcast(labels.select(F.col(label).alias("_l")).distinct()), "_l", "left_semi")
-    left = rows.select("_seg", F.col("_t").alias("_ti"), F.col("_l").alias("label_i"), F.col("_id").alias("_i"))
-    right = rows.select("_seg", F.col("_t").alias("_tj"), F.col("_l").alias("label_j"), F.col("_id").alias("_j"))
-    pairs = range_join(left, right, F.col("_ti"), F.col("_ti") + reach, F.col("_tj"), reach + 1, ["_seg"])
-    pairs = pairs.filter((F.col("_tj") > F.col("_ti")) | (F.col("_j") > F.col("_i")))
-    found = pairs.groupBy("label_i", "label_j", F.floor((F.col("_tj") - F.col("_ti")) / bin_width).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    found = _lag_counts(rows, bin_width, half).groupBy("label_i", "label_j", "bin").agg(F.sum("count").alias("count"))
     found = found.filter("bin <> 0 or label_i <> label_j")
     first = 0
     if symmetrize:

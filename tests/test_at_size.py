@@ -4,7 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import clustering, metrics, neighbours, reachability, shears
+from spindrift.operators import clustering, metrics, neighbours, reachability, shears, trains
 
 from .test_whole_tables import blobs, labels, table
 
@@ -58,3 +58,18 @@ def test_silhouettes_in_units_equal_all_pairs(spark):
         got = {r.id: r.silhouette for r in metrics.silhouette(df, "id", "label", "x").collect()}
         assert inspect.signature(metrics.silhouette).parameters["max_points"].default is None
         assert len(got) == len(x) and max(abs(got[i] - want[i]) for i in range(len(x))) < near
+
+
+def test_correlograms_count_without_pairs(spark):
+    r = np.random.default_rng(6)
+    rows = [(i // 2, int(r.integers(0, 2)), int(t), [None, 0, 1, 2][r.integers(0, 4)]) for i, t in enumerate(r.integers(0, 400, 1500))]
+    events = spark.createDataFrame(rows, "id long, seg int, t long, label long")
+    want: dict = {}
+    for i, s, t, a in rows:
+        for j, s2, t2, b in rows:
+            if s == s2 and 0 <= t2 - t <= 39 and (t2 > t or j > i) and ((t2 - t) // 10 or a != b):
+                want[a, b, (t2 - t) // 10] = want.get((a, b, (t2 - t) // 10), 0) + 1
+    want = {k: v for k, v in want.items() if None not in k}
+    found = trains.cross_correlograms(events, "t", "label", "seg", "id", 1.0, 60.0, 10.0, dense=False)
+    assert {(r.label_i, r.label_j, r.bin): r["count"] for r in found.collect() if None not in (r.label_i, r.label_j)} == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
