@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from .density import labelled, points_of
 from .graph import components, forest, saved
 from .neighbours import PIECE, PIVOTS, Pivots, gaps, grid, in_units, k_nearest, matrix
 
-BAND = 500_000
+BAND = 100_000
+TILE = 256
 _EDGE = "_own long, _w double, _lo long, _hi long, _c_lo long, _c_hi long"
 
 
@@ -41,6 +43,7 @@ def spanning_tree(cores: DataFrame, near: DataFrame, pivots: Pivots, piece: int
     state = cores.withColumn("_comp", F.col("_id"))
     rows, tree, edges = cores.count(), None, 0
     heads, ids = pivots.x, pivots.ids
+    by_id = np.argsort(ids)
     while edges < rows - 1:
         cells = pivots.measured(state, F.min("_comp").alias("least"), F.max("_comp").alias("most"), F.min("_core").alias("core"))
         order = np.array(sorted(cells))
@@ -53,8 +56,13 @@ def spanning_tree(cores: DataFrame, near: DataFrame, pivots: Pivots, piece: int
                 i, c, core = (batch.column(n).to_numpy() for n in ("_id", "_comp", "_core"))
                 w = np.maximum(np.maximum(gaps(matrix(batch.column("_x")), heads), core[:, None]), head_core[None])
                 w[c[:, None] == head_comp[None]] = np.inf
-                p, q = np.nonzero(np.isfinite(w))
-                sides = [_least(o, w[p, q], i[p], ids[q], c[p], head_comp[q]) for o in (c[p], head_comp[q])]
+                if not w.size:
+                    continue
+                # the least edge of each row and of each pivot: of equal weights the smallest other end
+                rows, pivot = np.arange(len(i)), np.arange(len(ids))
+                ends = ((rows, by_id[w[:, by_id].argmin(1)]), ((by_row := np.argsort(i))[w[by_row].argmin(0)], pivot))
+                ends = [(p[np.isfinite(w[p, q])], q[np.isfinite(w[p, q])]) for p, q in ends]
+                sides = [_least(own, w[p, q], i[p], ids[q], c[p], head_comp[q]) for (p, q), own in zip(ends, (c[ends[0][0]], head_comp[ends[1][1]]), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[n] for s in sides])) for n in sides[0]], list(sides[0]))
 
         comp = state.select("_id", F.col("_comp").alias("_cp"))
@@ -81,11 +89,17 @@ def spanning_tree(cores: DataFrame, near: DataFrame, pivots: Pivots, piece: int
 
         def nearest(left: pa.Table, right: pa.Table):
             (p, cp, kp, limit), (q, cq, kq) = ([t.column(n).to_numpy() for n in names] for t, names in ((left, ("_id", "_comp", "_core", "_limit")), (right, ("_id", "_comp", "_core"))))
-            w = np.maximum(np.maximum(gaps(matrix(left.column("_x")), matrix(right.column("_x"))), kp[:, None]), kq[None])
-            w[(cp[:, None] == cq[None]) | (w > limit[:, None])] = np.inf
-            low = w.min(axis=1, initial=np.inf)
-            i, j = np.nonzero((w == low[:, None]) & np.isfinite(w))
-            return _least(cp[i], w[i, j], p[i], q[j], cp[i], cq[j])
+            by = np.argsort(q)
+            x, y, q, cq, kq = matrix(left.column("_x")), matrix(right.column("_x"))[by], q[by], cq[by], kq[by]
+            low, at = np.full(len(p), np.inf), np.zeros(len(p), int)
+            for begin in range(0, len(p) if len(q) else 0, TILE):
+                rows = slice(begin, begin + TILE)
+                w = np.maximum(np.maximum(gaps(x[rows], y), kp[rows, None]), kq[None])
+                w[(cp[rows, None] == cq[None]) | (w > limit[rows, None])] = np.inf
+                at[rows] = w.argmin(1)  # of equal weights the smallest id
+                low[rows] = w.min(1)
+            i = np.flatnonzero(np.isfinite(low))
+            return _least(cp[i], low[i], p[i], q[at[i]], cp[i], cq[at[i]])
 
         searched = in_units(grid(left, right, "_cell", "_id", piece), "_cell", nearest, _EDGE)
         chosen = saved(_least_rows(bound.unionByName(searched)).drop("_own").distinct(), "chosen")
@@ -194,14 +208,18 @@ def condensed(tree: DataFrame, points: DataFrame, least: int, band: int = BAND)
     clusters = None
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        states = {r["_rep"]: (r["_rows"], r["_open"], r["_sum"], r["_left"], r["_below"]) for r in rows if r["_w"] is None}
-        after, closed, fell = merged([(r["_w"], r["_edge"], r["_a"], r["_b"]) for r in rows if r["_w"] is not None], states, least)
-        out = [{"_rep": r, "_new": new, **dict(zip(("_rows", "_open", "_sum", "_left", "_below"), s, strict=True)), "_fell": fell.get(r)} for r, (new, s) in after.items()]
-        out += [{"_cluster": c, "_parent": p, "_chosen": chosen} for c, p, chosen in closed]
-        names = [x.split()[0] for x in _STATE.split(", ")]
-        kinds = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64()}
-        return pa.table([pa.array([r.get(m) for r in out], kinds[x.split()[1]]) for m, x in zip(names, _STATE.split(", "), strict=True)], names)
+        edge = table.column("_w").is_valid()
+        ends, parts = table.filter(edge), table.filter(pc.invert(edge))
+        columns = [parts.column(n).to_pylist() for n in ("_rep", "_rows", "_open", "_sum", "_left", "_below")]
+        states = {r: s for r, *s in zip(*columns, strict=True)}
+        after, closed, fell = merged(list(zip(*(ends.column(n).to_pylist() for n in ("_w", "_edge", "_a", "_b")), strict=True)), states, least)
+        names, kinds = [x.split()[0] for x in _STATE.split(", ")], {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64()}
+        moved = {"_rep": list(after), "_new": [new for new, _ in after.values()], "_fell": [fell.get(r) for r in after]}
+        moved |= {n: [s[k] for _, s in after.values()] for k, n in enumerate(("_rows", "_open", "_sum", "_left", "_below"))}
+        ended = {n: [c[k] for c in closed] for k, n in enumerate(("_cluster", "_parent", "_chosen"))}
+        sizes = len(after), len(closed)
+        found = [moved.get(n, [None] * sizes[0]) + ended.get(n, [None] * sizes[1]) for n in names]
+        return pa.table([pa.array(v, kinds[x.split()[1]]) for v, x in zip(found, _STATE.split(", "), strict=True)], names)
 
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         own = edges if low is None else edges.filter(F.col("_w") > low)

@@ -14,6 +14,7 @@ from .relational import id_order
 
 PIECE = 2048
 PIVOTS = 256
+TILE = 256
 
 
 def matrix(column) -> np.ndarray:
@@ -117,8 +118,9 @@ def k_nearest(points: DataFrame, k: int, pivots: Pivots, piece: int = PIECE) ->
     heads = pivots.x[order]
 
     def reach(left: pa.Table, right: pa.Table):
-        d = gaps(matrix(left.column("_x")), matrix(left.column("_x")))
-        bound = np.partition(d, k, axis=1)[:, k] if d.shape[1] > k else np.full(len(d), np.inf)
+        x = matrix(left.column("_x"))
+        near = [np.partition(gaps(x[i : i + TILE], x), k, axis=1)[:, k] for i in range(0, len(x), TILE)] if len(x) > k else [np.full(len(x), np.inf)]
+        bound = np.concatenate(near)
         return {"_id": left.column("_id").to_numpy(), "_cell": left.column("_cell").to_numpy(), "_bound": bound}
 
     # one unit a piece: a piece is compared with itself only
@@ -144,13 +146,18 @@ def k_nearest(points: DataFrame, k: int, pivots: Pivots, piece: int = PIECE) ->
 
     def nearest(left: pa.Table, right: pa.Table):
         a, b = left.column("_id").to_numpy(), right.column("_id").to_numpy()
-        d = gaps(matrix(left.column("_x")), matrix(right.column("_x")))
-        d[a[:, None] == b[None]] = np.inf
-        d[d > left.column("_limit").to_numpy()[:, None]] = np.inf
-        best = np.lexsort((np.broadcast_to(b, d.shape), d), axis=1)[:, :k]
-        near = np.take_along_axis(d, best, axis=1)
-        i, j = np.nonzero(np.isfinite(near))
-        return {"_id": a[i], "_other": b[best[i, j]], "_d": near[i, j]}
+        by = np.argsort(b)
+        x, y, b, limit, parts = matrix(left.column("_x")), matrix(right.column("_x"))[by], b[by], left.column("_limit").to_numpy(), []
+        for begin in range(0, len(a) if len(b) else 0, TILE):
+            rows = slice(begin, begin + TILE)
+            d = gaps(x[rows], y)
+            d[a[rows, None] == b[None]] = np.inf
+            d[d > limit[rows, None]] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]  # of equal distances the smallest id
+            near = np.take_along_axis(d, best, axis=1)
+            i, j = np.nonzero(np.isfinite(near))
+            parts.append((a[rows][i], b[best[i, j]], near[i, j]))
+        return {n: np.concatenate(v) for n, v in zip(("_id", "_other", "_d"), zip(*parts, strict=True), strict=True)} if parts else None
 
     found = in_units(grid(left, right, "_cell", "_id", piece), "_cell", nearest, "_id long, _other long, _d double")
     # at most k rows of each block that a point has visited

@@ -4,7 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import clustering, metrics, neighbours, reachability, shears, trains
+from spindrift.operators import clustering, linkage, metrics, neighbours, reachability, shears, trains
 
 from .test_whole_tables import blobs, labels, table
 
@@ -73,3 +73,7 @@ def test_correlograms_count_without_pairs(spark):
     found = trains.cross_correlograms(events, "t", "label", "seg", "id", 1.0, 60.0, 10.0, dense=False)
     assert {(r.label_i, r.label_j, r.bin): r["count"] for r in found.collect() if None not in (r.label_i, r.label_j)} == want
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_of_the_tree_hold_a_bounded_part():
+    assert linkage.BAND <= 100_000 and linkage.TILE * neighbours.PIECE * 8 <= 8 << 20 and neighbours.TILE <= 512
