@@ -5,7 +5,9 @@ from __future__ import annotations
 import struct
 import zipfile
 from io import BytesIO
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +65,13 @@ def xlsx(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
     buffer = BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
         for i, (name, (header, rows)) in enumerate(sheets.items(), 1):
-            lines = [f'<row r="1">{"".join(f"<c r={chr(34)}{_letters(c)}1{chr(34)} t={chr(34)}inlineStr{chr(34)}><is><t>{h}</t></is></c>" for c, h in enumerate(header))}</row>']
-            lines += [f'<row r="{r}">{"".join(f"<c r={chr(34)}{_letters(c)}{r}{chr(34)}><v>{x}</v></c>" for c, x in enumerate(row))}</row>' for r, row in enumerate(rows, 2)]
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+            cells = "".join(f"<c r={chr(34)}{_letters(c)}1{chr(34)} t={chr(34)}inlineStr{chr(34)}><is><t>{h}</t></is></c>" for c, h in enumerate(header))
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as part:
+                part.write(f'<worksheet xmlns="{main}"><sheetData><row r="1">{cells}</row>'.encode())
+                numbered = enumerate(rows, 2)
+                while some := list(islice(numbered, 20_000)):
+                    part.write("".join(f'<row r="{r}">{"".join(f"<c r={chr(34)}{_letters(c)}{r}{chr(34)}><v>{x}</v></c>" for c, x in enumerate(row))}</row>' for r, row in some).encode())
+                part.write(b"</sheetData></worksheet>")
             book.append(f'<sheet name="{name[:31]}" sheetId="{i}" r:id="rId{i}"/>')
             links.append(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>')
             types.append(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>')
@@ -76,10 +82,15 @@ def xlsx(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
     return buffer.getvalue()
 
 
+#: Rows of a sheet, but for the header; spreadsheets open no more.
+SHEET_ROWS = (1 << 20) - 1
+
+
 def export_files(rows: DataFrame, kind: str) -> DataFrame:
     """A row per segment: segment, name and content of a .mat (S18) or .xlsx (S19) file, made where the segment's rows are.
 
-    These formats hold a whole segment in one file; a recording too large for that goes out as CSV.
+    These formats hold a whole segment in one file; a recording too large for that goes out as CSV. An .xlsx file is written as its rows go by,
+    a further sheet for each SHEET_ROWS of them; its task holds the segment's two columns and the compressed file.
     """
     import pandas as pd
 
@@ -89,13 +100,23 @@ def export_files(rows: DataFrame, kind: str) -> DataFrame:
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["index", "label"])
         seg = int(pdf["segment"].iloc[0])
-        if kind == "mat":
-            data = mat5({f"index_{seg}": pdf["index"].tolist(), f"label_{seg}": pdf["label"].tolist()})
-        else:
-            data = xlsx({f"segment_{seg}": (["index", "label"], list(pdf[["index", "label"]].itertuples(index=False, name=None)))})
+        data = mat5({f"index_{seg}": pdf["index"].tolist(), f"label_{seg}": pdf["label"].tolist()})
         return pd.DataFrame({"segment": [seg], "name": [f"spikes_{seg}.{kind}"], "content": [data]})
 
-    return rows.groupBy("segment").applyInPandas(make, "segment int, name string, content binary")
+    def pairs(table: pa.Table, begin: int):
+        for at in range(begin, min(begin + SHEET_ROWS, table.num_rows), 20_000):
+            part = table.slice(at, min(20_000, begin + SHEET_ROWS - at))
+            yield from zip(*(("" if x is None else x for x in part.column(c).to_pylist()) for c in ("index", "label")), strict=True)
+
+    def make_xlsx(table: pa.Table) -> pa.Table:
+        seg = int(table.column("segment")[0].as_py())
+        table = table.select(["index", "label"]).sort_by([("index", "ascending"), ("label", "ascending")])
+        starts = range(0, table.num_rows, SHEET_ROWS)
+        data = xlsx({f"segment_{seg}" + (f"_{i}" if i > 1 else ""): (["index", "label"], pairs(table, begin)) for i, begin in enumerate(starts, 1)})
+        return pa.table({"segment": pa.array([seg], pa.int32()), "name": [f"spikes_{seg}.xlsx"], "content": pa.array([data], pa.binary())})
+
+    schema = "segment int, name string, content binary"
+    return rows.groupBy("segment").applyInArrow(make_xlsx, schema) if kind == "xlsx" else rows.groupBy("segment").applyInPandas(make, schema)
 
 
 EXPORTERS = {"csv": write_csv, "mat": lambda rows, path: export_files(rows, "mat").write.parquet(path), "xlsx": lambda rows, path: export_files(rows, "xlsx").write.parquet(path)}

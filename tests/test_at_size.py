@@ -1,10 +1,15 @@
 """Whole jobs of growing tables: the same results in tasks of bounded size."""
 
-import numpy as np
+import inspect
+import io
+import tracemalloc
+import zipfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spindrift.operators import clustering, linkage, metrics, neighbours, reachability, shears, trains
+from spindrift.sources import export
 
 from .test_whole_tables import blobs, labels, table
 
@@ -77,3 +82,13 @@ def test_correlograms_count_without_pairs(spark):
 
 def test_tasks_of_the_tree_hold_a_bounded_part():
     assert linkage.BAND <= 100_000 and linkage.TILE * neighbours.PIECE * 8 <= 8 << 20 and neighbours.TILE <= 512
+
+
+def test_xlsx_is_written_as_its_rows_go_by():
+    tracemalloc.start()
+    data = export.xlsx({"spikes": (["index", "label"], ((i, i % 7) for i in range(200_000)))})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20, peak
+    sheet = zipfile.ZipFile(io.BytesIO(data)).read("xl/worksheets/sheet1.xml").decode()
+    assert sheet.count("<row ") == 200_001 and '<row r="200001"><c r="A200001"><v>199999</v></c><c r="B200001"><v>2</v></c></row></sheetData>' in sheet
