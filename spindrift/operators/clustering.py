@@ -531,10 +531,11 @@ def dip_by_group(df: DataFrame, keys: list[str], value: str, draws: int = 1000,
     return own.join(null, "_size", "left").select(*keys, "dip", F.when(F.col("_size") == 0, 1.0).otherwise((over + 1) / F.lit(draws + 1)).alias("p"))
 
 
-def auto_split(features: DataFrame, id_col: str, label: str = "cluster_label", vec: str = "features", p_value: float = 0.1, min_cluster_size: int = 20, seed: int = 0) -> DataFrame:
+def auto_split(features: DataFrame, id_col: str, label: str = "cluster_label", vec: str = "features", p_value: float = 0.1, min_cluster_size: int = 20, seed: int = 0, sample: int = 4096) -> DataFrame:
     """(id, label, part): clusters whose first component is not unimodal are split by hdbscan on two components.
 
-    part is 0 where a cluster stays whole, else 0, 1, ... for its pieces and -1 for what is trashed. Clusters run in parallel.
+    part is 0 where a cluster stays whole, else 0, 1, ... for its pieces and -1 for what is trashed. Clusters of at most `sample` rows run in parallel,
+    one in a task each; larger ones one after the other, each as a table: moments, dip test and clusters by Spark.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -552,7 +553,32 @@ def auto_split(features: DataFrame, id_col: str, label: str = "cluster_label", v
 
     kinds = dict(features.dtypes)
     rows = features.select(id_col, label, F.col(vec).cast("array<double>").alias("_x"))
-    return rows.groupBy(label).applyInPandas(run, f"`{id_col}` {kinds[id_col]}, `{label}` {kinds[label]}, part long")
+    large = [r[label] for r in rows.groupBy(label).count().filter(F.col("count") > sample).select(label).orderBy(label).collect()]  # as many as a catalogue has
+    small = rows.filter(~F.coalesce(F.col(label).isin(large), F.lit(False))) if large else rows
+    out = small.groupBy(label).applyInPandas(run, f"`{id_col}` {kinds[id_col]}, `{label}` {kinds[label]}, part long")
+    for k in large:
+        out = out.unionByName(_split_table(rows.filter(F.col(label).eqNullSafe(F.lit(k))), id_col, label, p_value, min_cluster_size, seed))
+    return out
+
+
+def _split_table(rows: DataFrame, id_col: str, label: str, p_value: float, min_cluster_size: int, seed: int) -> DataFrame:
+    """One cluster of auto_split as a table: id, label, _x."""
+    from .features import gram, singular_vectors, transform
+    from .graph import saved
+
+    size = rows.select(F.size("_x").alias("n")).first()["n"]
+    mean = rows.agg(*[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(size)]).first()
+    centred = rows.select(id_col, label, F.array(*[F.col("_x")[i] - F.lit(mean[i]) for i in range(size)]).alias("_x"))
+    _, v = singular_vectors(gram(centred, "_x")[()][1], 2)
+    flat = saved(transform(centred, id_col, "_x", v), "split")
+    (test,) = dip_by_group(flat.select(F.lit(0).alias("_all"), F.col("features")[0].alias("_p")), ["_all"], "_p", 100, seed).collect()
+    whole = rows.select(id_col, label, F.lit(0).cast("long").alias("part"))
+    if test["p"] >= p_value:
+        return whole
+    found = find_clusters(flat, id_col, "hdbscan", whole=True, min_cluster_size=min_cluster_size)
+    if (found.agg(F.max("cluster_label")).first()[0] or 0) <= 0:
+        return whole
+    return found.select(id_col, F.col("cluster_label").alias("part")).join(rows.select(id_col, label), id_col).select(id_col, label, "part")
 
 
 def close_templates(a: np.ndarray, b: np.ndarray, limit: float = 2.3, share: float = 0.3, shift: int = 2) -> bool:

@@ -92,3 +92,12 @@ def test_xlsx_is_written_as_its_rows_go_by():
     assert peak < 20 << 20, peak
     sheet = zipfile.ZipFile(io.BytesIO(data)).read("xl/worksheets/sheet1.xml").decode()
     assert sheet.count("<row ") == 200_001 and '<row r="200001"><c r="A200001"><v>199999</v></c><c r="B200001"><v>2</v></c></row></sheetData>' in sheet
+
+
+def test_large_clusters_are_split_as_tables(spark):
+    r = np.random.default_rng(8)
+    x = {0: np.r_[r.normal(size=(150, 3)), r.normal(9, 1, (150, 3))], 1: r.normal(size=(250, 3)), 2: np.r_[r.normal(size=(40, 3)), r.normal(9, 1, (40, 3))]}
+    rows = [(1000 * k + i, k, v.tolist()) for k, m in x.items() for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "id long, cluster_label int, features array<double>")
+    whole, tables = ({(q.id, q.cluster_label): q.part for q in clustering.auto_split(df, "id", sample=n).collect()} for n in (4096, 100))
+    assert whole == tables and len(whole) == 630 and {whole[i, 0] for i in range(300)} >= {0, 1} and {whole[1000 + i, 1] for i in range(250)} == {0}
