@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, materialise, skew_join, unit_hash
 
 SLOTS = 4096
+CUTS = ("_cut_d1", "_cut_d2", "_cut_d3")
 RANGE = 100.0  # of the logarithm of odds, which doubles keep below 75
 
 
@@ -85,9 +86,9 @@ def _allocation(sized: DataFrame, weights: tuple[float, ...], budget: float, max
     return each.withColumn("_rest", F.greatest(F.col("target") - sure, F.lit(0.0))).select("_key", "_cell", "_rows", "_source_rows", "source_size", "target", "_certain", "_p", "_rest")
 
 
-def _ranked(sized: DataFrame, cells: DataFrame, rows: int, seed: int) -> DataFrame:
-    """sized with its allocation and _z, the log of the document's random odds divided by its inclusion odds, mapped to 0 to 1; null where _p is 0."""
-    joined = skew_join(sized, cells.select("_cell", "_rows", "_source_rows", "source_size", "target", "_certain", "_p"), "_cell", rows, "_rows").drop("_rows", "_cell", "_class", "_source")
+def _ranked(sized: DataFrame, cells: DataFrame, rows: int, seed: int, *more: str) -> DataFrame:
+    """sized with its allocation, more columns of cells and _z, the log of the document's random odds divided by its inclusion odds, mapped to 0 to 1; null where _p is 0."""
+    joined = skew_join(sized, cells.select("_cell", "_rows", "_source_rows", "source_size", "target", "_certain", "_p", *more), "_cell", rows, "_rows").drop("_rows", "_cell", "_class", "_source")
     u = unit_hash(F.col("_id").cast("string"), seed=seed)
     odds = F.log(u) - F.log(1 - u) - (F.log("_p") - F.log(1 - F.col("_p")))
     z = F.when(F.col("_p") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1 - 2.0**-40), (odds + RANGE) / (2 * RANGE))))
@@ -95,8 +96,8 @@ def _ranked(sized: DataFrame, cells: DataFrame, rows: int, seed: int) -> DataFra
     return joined.withColumns({f"_d{i}": F.floor(F.col("_z") * SLOTS**i) % SLOTS for i in (1, 2, 3)})
 
 
-def _planned(sized: DataFrame, weights, budget, max_repeat, seed) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """The allocation of each cell, the cut of each source, and what is taken of the documents that lie on a cut."""
+def _planned(sized: DataFrame, weights, budget, max_repeat, seed) -> tuple[DataFrame, DataFrame, int]:
+    """The allocation of each cell with the cut of its source, and what is taken of the documents that lie on a cut."""
     rows = sized.count()
     cells = materialise(_allocation(sized, weights, budget, max_repeat), "mix-plan")
     ranked = _ranked(sized, cells, rows, seed).filter("_z is not null").select("_key", "_source_rows", "_id", "_size", "_z", "_d1", "_d2", "_d3")
@@ -114,19 +115,19 @@ def _planned(sized: DataFrame, weights, budget, max_repeat, seed) -> tuple[DataF
     edge = edge.withColumn("_sum", F.coalesce(F.sum(F.col("_size") * F.col("_many")).over(order), F.lit(0)))
     take = F.greatest(F.lit(0), F.least(F.col("_many"), F.floor((F.col("_rest") - F.col("_sum")) / F.col("_size") + 0.5)))
     edge = materialise(edge.select("_key", "_id", "_size", "_many", take.cast("long").alias("_take")), "mix-edge")
-    return cells, cuts.select("_key", "_source_rows", "_cut_d1", "_cut_d2", "_cut_d3"), edge, rows
+    return materialise(cells.join(cuts.select("_key", *CUTS), "_key"), "mix-plan"), edge, rows
 
 
-def _decided(sized: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame, int], seed: int) -> tuple[DataFrame, DataFrame]:
+def _decided(sized: DataFrame, plan: tuple[DataFrame, DataFrame, int], seed: int) -> tuple[DataFrame, DataFrame]:
     """sized with _copies, but for the documents on a cut; and those, undecided. Rows of large sources stay where they are."""
-    cells, cuts, _, rows = plan
-    placed = skew_join(_ranked(sized, cells, rows, seed).drop("_source_rows"), cuts, "_key", rows, "_source_rows")
+    cells, _, rows = plan
+    placed = _ranked(sized, cells, rows, seed, *CUTS)
     at, below = F.lit(True), F.lit(False)
     for slot in ("_d1", "_d2", "_d3"):
         below = below | (at & F.coalesce(F.col(slot) < F.col(f"_cut{slot}"), F.lit(False)))
         at = at & F.coalesce(F.col(slot) == F.col(f"_cut{slot}"), F.lit(False))
     placed = placed.withColumn("_on_cut", at & F.col("_z").isNotNull()).withColumn("_copies", F.col("_certain") + F.when(below & F.col("_z").isNotNull(), 1).otherwise(0))
-    placed = placed.drop("_z", "_d1", "_d2", "_d3", "_cut_d1", "_cut_d2", "_cut_d3", "_source_rows", "_p")
+    placed = placed.drop("_z", "_d1", "_d2", "_d3", *CUTS, "_source_rows", "_p")
     return placed.filter(~F.col("_on_cut")), placed.filter("_on_cut")
 
 
@@ -137,7 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     clear, on_cut = _decided(sized, plan, seed)
     on_cut = on_cut.groupBy("_key", "_id", "_size", "source_size", "target", "_certain").agg(F.count(F.lit(1)).alias("_same"))
     same = F.col("a._key").eqNullSafe(F.col("b._key")) & F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._size") == F.col("b._size"))
-    on_cut = on_cut.alias("a").join(plan[2].alias("b"), same).select("a.*", "b._take").withColumn("_nth", F.explode(F.expr("sequence(1L, _same)")))
+    on_cut = on_cut.alias("a").join(plan[1].alias("b"), same).select("a.*", "b._take").withColumn("_nth", F.explode(F.expr("sequence(1L, _same)")))
     on_cut = on_cut.withColumn("_copies", F.col("_certain") + F.when(F.col("_nth") <= F.col("_take"), 1).otherwise(0))
     columns = F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", F.col("_copies").cast("long").alias("copies")
     return clear.select(*columns).unionByName(on_cut.select(*columns))
@@ -159,7 +160,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     plan = _planned(sized, weights, budget, max_repeat, seed)
     clear, on_cut = _decided(_sized(docs, id_col, text_col, source_col, F.struct("*").alias("_row")), plan, seed)
     same = F.col("a._key").eqNullSafe(F.col("b._key")) & F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._size") == F.col("b._size"))
-    on_cut = on_cut.alias("a").join(plan[2].alias("b"), same).select("a.*", "b._take", "b._many")
+    # written first, as the plan of both parts at once fills the driver
+    on_cut = materialise(on_cut.alias("a").join(plan[1].alias("b"), same).select("a.*", "b._take", "b._many"), "mix-on-cut")
     # of rows that repeat an id and a size, on the cut of a source, the first in order are taken
     nth = F.row_number().over(Window.partitionBy("_key", "_id", "_size").orderBy(F.xxhash64("_row")))
     taken = F.when(F.col("_take") == F.col("_many"), 1).when(F.col("_take") == 0, 0)

@@ -80,3 +80,9 @@ def test_mixed_agrees_with_mix_on_odd_rows(odd):
     for r in out.collect():
         got[r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))] += 1
     assert out.columns == odd.columns and dict(got) == {k: int(n) for k, n in want.items() if n}
+
+
+def test_the_plan_of_the_last_step_stays_small(spark, documents):
+    """Driver memory of the pipeline: documents are joined with one small table, not with two, and the rows on a cut are read from a table."""
+    plan = mixed(documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 8, plan.count("Join ")
