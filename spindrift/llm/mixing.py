@@ -6,9 +6,9 @@ its size (document_weight), so that the words expected are the target and no doc
 is certain copies; the rest is its inclusion probability p, a different one for each source and size class. Documents are ranked by random
 odds divided by inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken in that order until the source's remaining words are reached.
 
-The cut of each source is found without sorting it: words are summed over 4096 slots of the logarithm of the rank variable, then
-over 4096 slots of the slot in which the cut falls, and once more; as random odds have a smooth distribution on that scale, whatever p,
-what remains to be sorted is less than a billionth of a source, and rows that share an id.
+The cut of each source is found without sorting it: words are summed over 16384 slots of the logarithm of the rank variable, then
+over 16384 slots of the slot in which the cut falls; as random odds have a smooth distribution on that scale, whatever p,
+what remains to be sorted is less than a millionth of a source, and rows that share an id.
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; a source without
 words has target 0; documents of size 0 are never taken; null ids and repeated ids share their u, and of equal (id, size) on the cut any rows
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, materialise, skew_join, unit_hash
 
-SLOTS = 4096
-CUTS = ("_cut_d1", "_cut_d2", "_cut_d3")
+SLOTS = 1 << 14
+DIGITS = ("_d1", "_d2")
+CUTS = ("_cut_d1", "_cut_d2")
+FEW_CELLS = 1000  # what skew_join broadcasts at most
 RANGE = 100.0  # of the logarithm of odds, which doubles keep below 75
 
 
@@ -86,48 +88,55 @@ def _allocation(sized: DataFrame, weights: tuple[float, ...], budget: float, max
     return each.withColumn("_rest", F.greatest(F.col("target") - sure, F.lit(0.0))).select("_key", "_cell", "_rows", "_source_rows", "source_size", "target", "_certain", "_p", "_rest")
 
 
-def _ranked(sized: DataFrame, cells: DataFrame, rows: int, seed: int, *more: str) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, key: str, rows: int, size_col: str, few: bool) -> DataFrame:
+    """Inner join of left with right, a row per cell or source. few: there are FEW_CELLS cells at most, so all of right is broadcast: one join instead of three, which the driver plans and holds."""
+    return left.join(F.broadcast(right), key) if few else skew_join(left, right, key, rows, size_col)
+
+
+def _ranked(sized: DataFrame, cells: DataFrame, rows: int, few: bool, seed: int, *more: str) -> DataFrame:
     """sized with its allocation, more columns of cells and _z, the log of the document's random odds divided by its inclusion odds, mapped to 0 to 1; null where _p is 0."""
-    joined = skew_join(sized, cells.select("_cell", "_rows", "_source_rows", "source_size", "target", "_certain", "_p", *more), "_cell", rows, "_rows").drop("_rows", "_cell", "_class", "_source")
+    cells = cells.select("_cell", "_rows", "_source_rows", "source_size", "target", "_certain", "_p", *more)
+    joined = _met(sized, cells, "_cell", rows, "_rows", few).drop("_rows", "_cell", "_class", "_source")
     u = unit_hash(F.col("_id").cast("string"), seed=seed)
     odds = F.log(u) - F.log(1 - u) - (F.log("_p") - F.log(1 - F.col("_p")))
     z = F.when(F.col("_p") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1 - 2.0**-40), (odds + RANGE) / (2 * RANGE))))
     joined = joined.withColumn("_z", z)
-    return joined.withColumns({f"_d{i}": F.floor(F.col("_z") * SLOTS**i) % SLOTS for i in (1, 2, 3)})
+    return joined.withColumns({d: F.floor(F.col("_z") * SLOTS**i) % SLOTS for i, d in enumerate(DIGITS, 1)})
 
 
-def _planned(sized: DataFrame, weights, budget, max_repeat, seed) -> tuple[DataFrame, DataFrame, int]:
-    """The allocation of each cell with the cut of its source, and what is taken of the documents that lie on a cut."""
+def _planned(sized: DataFrame, weights, budget, max_repeat, seed) -> tuple[DataFrame, DataFrame, int, bool]:
+    """The allocation of each cell with the cut of its source, and what is taken of the documents that lie on a cut; the rows, and whether cells are few."""
     rows = sized.count()
     cells = materialise(_allocation(sized, weights, budget, max_repeat), "mix-plan")
-    ranked = _ranked(sized, cells, rows, seed).filter("_z is not null").select("_key", "_source_rows", "_id", "_size", "_z", "_d1", "_d2", "_d3")
+    few = cells.count() <= FEW_CELLS
+    ranked = _ranked(sized, cells, rows, few, seed).filter("_z is not null").select("_key", "_source_rows", "_id", "_size", "_z", *DIGITS)
     ranked = materialise(ranked, "mix-ranked")
     sources = cells.select("_key", "_rest", "_source_rows").distinct()
     cuts, inside = sources, ranked
-    for slot in ("_d1", "_d2", "_d3"):
+    for slot in DIGITS:
         cut = _cut(inside, slot, cuts.select("_key", "_rest"))
         cuts = materialise(cuts.drop("_rest").join(cut, "_key", "left").withColumnRenamed("_slot", f"_cut{slot}").withColumnRenamed("_left", "_rest"), "mix-cuts")
         close = cuts.filter(F.col("_rest").isNotNull()).select("_key", F.col(f"_cut{slot}").alias("_at"), "_source_rows")
-        inside = skew_join(inside.drop("_source_rows"), close, "_key", rows, "_source_rows").filter(F.col(slot) == F.col("_at")).drop("_at")
+        inside = _met(inside.drop("_source_rows"), close, "_key", rows, "_source_rows", few).filter(F.col(slot) == F.col("_at")).drop("_at")
     # rows of one id and size share their rank, so they are counted first; within the cut, in order, as many are taken as bring the sum nearest
     edge = inside.join(cuts.select("_key", "_rest"), "_key").groupBy("_key", "_rest", "_z", "_id", "_size").agg(F.count(F.lit(1)).alias("_many"))
     order = Window.partitionBy("_key").orderBy("_z", F.col("_id").cast("string"), "_size").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("_sum", F.coalesce(F.sum(F.col("_size") * F.col("_many")).over(order), F.lit(0)))
     take = F.greatest(F.lit(0), F.least(F.col("_many"), F.floor((F.col("_rest") - F.col("_sum")) / F.col("_size") + 0.5)))
     edge = materialise(edge.select("_key", "_id", "_size", "_many", take.cast("long").alias("_take")), "mix-edge")
-    return materialise(cells.join(cuts.select("_key", *CUTS), "_key"), "mix-plan"), edge, rows
+    return materialise(cells.join(cuts.select("_key", *CUTS), "_key"), "mix-plan"), edge, rows, few
 
 
-def _decided(sized: DataFrame, plan: tuple[DataFrame, DataFrame, int], seed: int) -> tuple[DataFrame, DataFrame]:
+def _decided(sized: DataFrame, plan: tuple[DataFrame, DataFrame, int, bool], seed: int) -> tuple[DataFrame, DataFrame]:
     """sized with _copies, but for the documents on a cut; and those, undecided. Rows of large sources stay where they are."""
-    cells, _, rows = plan
-    placed = _ranked(sized, cells, rows, seed, *CUTS)
+    cells, _, rows, few = plan
+    placed = _ranked(sized, cells, rows, few, seed, *CUTS)
     at, below = F.lit(True), F.lit(False)
-    for slot in ("_d1", "_d2", "_d3"):
+    for slot in DIGITS:
         below = below | (at & F.coalesce(F.col(slot) < F.col(f"_cut{slot}"), F.lit(False)))
         at = at & F.coalesce(F.col(slot) == F.col(f"_cut{slot}"), F.lit(False))
     placed = placed.withColumn("_on_cut", at & F.col("_z").isNotNull()).withColumn("_copies", F.col("_certain") + F.when(below & F.col("_z").isNotNull(), 1).otherwise(0))
-    placed = placed.drop("_z", "_d1", "_d2", "_d3", *CUTS, "_source_rows", "_p")
+    placed = placed.drop("_z", *DIGITS, *CUTS, "_source_rows", "_p")
     return placed.filter(~F.col("_on_cut")), placed.filter("_on_cut")
 
 

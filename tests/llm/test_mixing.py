@@ -86,3 +86,13 @@ def test_the_plan_of_the_last_step_stays_small(spark, documents):
     """Driver memory of the pipeline: documents are joined with one small table, not with two, and the rows on a cut are read from a table."""
     plan = mixed(documents)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 8, plan.count("Join ")
+
+
+def test_few_cells_meet_documents_in_one_join_and_many_give_the_same_rows(documents, monkeypatch):
+    """Driver memory of the pipeline: while cells are few, a step joins documents with them once, not three times."""
+    out = mixed(documents)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2
+    few = sorted(mix(documents).collect())
+    monkeypatch.setattr("spindrift.llm.mixing.FEW_CELLS", 0)
+    assert sorted(mix(documents).collect()) == few
+    assert sorted(r.doc_id for r in mixed(documents).collect()) == sorted(r.doc_id for r in out.collect())
