@@ -38,7 +38,8 @@ def dbscan_table(features: DataFrame, id_col: str, vec: str = "features", eps: f
        points and one node, with no pair compared.
     2. Other points count their neighbours: points are keyed by cells of side eps on the first three dimensions, with copies for the
        neighbouring cells within eps; (cell, piece, block) units compare them.
-    3. Core points within eps link their nodes; each unit sends a forest of nodes, and the components of these are the clusters.
+    3. Core points within eps link their nodes: first the outermost few of each node, whose components are parts; then, only in cells that
+       hold several parts, points of different parts. Each unit sends a forest, and the components of parts are the clusters.
     4. A border point goes to the cluster of the smallest core id among those within eps.
 
     Rows without a vector, or with a null or NaN in it, are noise. Rows that repeat an id are one point with several places. An empty table
@@ -92,9 +93,28 @@ def dbscan_table(features: DataFrame, id_col: str, vec: str = "features", eps: f
         return {"a": x, "b": y}
 
     core = judged.filter("_core").drop("_core")
-    links = in_units(grid(home(core), copies(core), "_cell", "_id", piece), "_cell", linked, "a long, b long")
-    joined = components(links)
-    named = core.join(joined.select(F.col("node").alias("_node"), "component"), "_node", "left").select("_id", "_x", "_at", F.coalesce("component", "_node").alias("_cluster"))
+    point = F.struct("_id", "_x", "_at")
+    ends = F.array(*[f(point, F.col("_x")[i]) for i in range(g) for f in (F.min_by, F.max_by)])
+    outer = saved(core.groupBy("_node").agg(F.array_distinct(ends).alias("_ends")).select("_node", F.explode("_ends").alias("_p")).select("_p.*", "_node"), "outer")
+    parts = components(in_units(grid(home(outer), copies(outer), "_cell", "_id", piece), "_cell", linked, "a long, b long"))
+    placed = core.join(parts.select(F.col("node").alias("_node"), "component"), "_node", "left")
+    placed = saved(placed.select("_id", "_x", "_at", F.coalesce("component", "_node").alias("_part")), "parts")
+
+    def crossed(left: pa.Table, right: pa.Table):
+        a, b, found = left.column("_part").to_numpy(), right.column("_part").to_numpy(), [np.zeros((0, 2), np.int64)]
+        own = np.unique(b)
+        for p in np.array_split(own, min(len(own), 16)):  # pairs of one part are not compared, unless there are very many parts
+            rows = np.flatnonzero(np.isin(b, p))
+            others = np.flatnonzero(a != p[0]) if len(p) == 1 else np.arange(len(a))
+            i, j = np.nonzero(near(left.take(others), right.take(rows))) if len(others) else ([], [])
+            found.append(np.unique(np.c_[a[others[i]], b[rows[j]]], axis=0) if len(i) else found[0])
+        x, y = forest(*np.concatenate(found).T)
+        return {"a": x, "b": y}
+
+    mixed = copies(placed).groupBy("_cell").agg(F.min("_part").alias("_low"), F.max("_part").alias("_high")).filter("_low < _high")
+    mixed = saved(mixed.select("_cell"), "mixed")
+    second = components(in_units(grid(home(placed).join(mixed, "_cell"), copies(placed).join(mixed, "_cell"), "_cell", "_id", piece), "_cell", crossed, "a long, b long"))
+    named = placed.join(second.select(F.col("node").alias("_part"), "component"), "_part", "left").select("_id", "_x", "_at", F.coalesce("component", "_part").alias("_cluster"))
     named = saved(named, "cores")
 
     def bordering(left: pa.Table, right: pa.Table):

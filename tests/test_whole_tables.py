@@ -31,6 +31,24 @@ def test_dbscan_equals_the_kernel(spark):
     assert (labels(density.dbscan_table(table(spark, x), "id", eps=1.0, min_samples=6, piece=700), 5000) == clustering.dbscan(x, 1.0, 6)).all()
 
 
+def test_dbscan_compares_points_of_different_parts_only(spark, monkeypatch):
+    """Points of one dense cluster met in all pairs before; where outermost points do not link parts that belong together, others do."""
+    met = {}
+
+    def counted(units, key, kernel, schema, run=density.in_units):
+        met[kernel.__name__] = units.count()
+        return run(units, key, kernel, schema)
+
+    monkeypatch.setattr(density, "in_units", counted)
+    dense = np.random.default_rng(5).uniform(0, 0.9, (3000, 3))
+    assert (labels(density.dbscan_table(table(spark, dense), "id", eps=1.0), 3000) == 0).all()
+    assert met["linked"] < 1000 and met["crossed"] == 0, met
+    sparse = np.random.default_rng(6).uniform(0, 30, (2000, 2))
+    for eps in (0.7, 0.9, 1.2):
+        want = clustering.dbscan(sparse, eps, 4)
+        assert (labels(density.dbscan_table(table(spark, sparse), "id", eps=eps, min_samples=4, piece=300), 2000) == want).all()
+
+
 def plain_hdbscan(x, least):
     """Top down: all edges of the largest weight go at once, parts of at least `least` rows are clusters when there are two or more of them."""
     d = neighbours.gaps(x, x)
