@@ -175,3 +175,19 @@ def test_components_and_numbers(spark):
     values = spark.range(0, 5000, 7).select((F.col("id") * 3).alias("v"))
     got = graph.numbered(values, "v", "n", bucket=100).collect()
     assert sorted((r.v, r.n) for r in got) == [(3 * v, i) for i, v in enumerate(range(0, 5000, 7))]
+
+
+def test_ward_in_cells_equals_the_kernel_in_few_rounds(spark, monkeypatch):
+    x = blobs(2000)
+    x[50:80] = x[7]  # equal points
+    rounds, each = [], hierarchy.contracted
+
+    def counted(clusters, n, *more):
+        rounds.append(n)
+        return each(clusters, n, *more)
+
+    monkeypatch.setattr(hierarchy, "contracted", counted)
+    monkeypatch.setattr(hierarchy, "nearest_clusters", None)  # no round over all pairs is needed
+    got = hierarchy.ward_table(table(spark, x), "id", n_clusters=7, last=500, piece=300, cell=400)
+    assert (labels(got, 2000) == clustering.agglomerative(x, 7)).all()
+    assert 1 < len(rounds) <= 5
