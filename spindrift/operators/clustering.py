@@ -305,15 +305,16 @@ def saw_chain_cut(amplitudes: np.ndarray, threshold: float, nb_min: int = 20, ba
     return label
 
 
-def pruning_shears(features: np.ndarray, channel_of: np.ndarray, peak_channel: np.ndarray, amplitude: np.ndarray, adjacent: np.ndarray, min_cluster_size: int = 20, nb_max: int = 1000, n_components: int = 3, tired: set | None = None) -> np.ndarray:
+def pruning_shears(features: np.ndarray, channel_of: np.ndarray, peak_channel: np.ndarray, amplitude: np.ndarray, adjacent: np.ndarray, min_cluster_size: int = 20, nb_max: int = 1000, n_components: int = 3, tired: set | None = None, cluster: Callable[[np.ndarray, int], np.ndarray] = hdbscan) -> np.ndarray:
     """Clusters peeled off channel by channel.
 
     The next channel is that with the largest 90th percentile of amplitude among those with enough free peaks. Free peaks of adjacent channels
     are reduced by SVD on the features of these channels and clustered; the cluster of largest amplitude on the visited channel is kept.
-    tired: channels that gave none since the last cluster.
+    tired: channels that gave none since the last cluster. One whose adjacent peaks are still those of that visit is not clustered again.
     """
     label = np.full(len(features), NOISE)
     free, tired, current = np.ones(len(features), bool), set(tired or ()), 0
+    gave_none: dict[int, int] = {}
     for _ in range(nb_max):
         best, at = -np.inf, -1
         for c in np.unique(peak_channel[free]).tolist():
@@ -323,9 +324,12 @@ def pruning_shears(features: np.ndarray, channel_of: np.ndarray, peak_channel: n
         if at < 0:
             break
         near = np.flatnonzero(free & adjacent[at][peak_channel])
+        if gave_none.get(at) == len(near):  # free peaks only become fewer
+            tired.add(at)
+            continue
         x = features[near][:, adjacent[at][channel_of]]
         _, _, v = np.linalg.svd(x, full_matrices=False)
-        found = hdbscan(x @ v[:n_components].T, min_cluster_size)
+        found = cluster(x @ v[:n_components].T, min_cluster_size)
         sizes = {k: near[found == k] for k in range(found.max() + 1)}
         good = {k: m for k, m in sizes.items() if len(m) >= min_cluster_size and (peak_channel[m] == at).mean() > 0.5}
         if not good:
@@ -334,6 +338,7 @@ def pruning_shears(features: np.ndarray, channel_of: np.ndarray, peak_channel: n
                 good = {0: own}
             else:
                 tired.add(at)
+                gave_none[at] = len(near)
                 continue
         kept = max(good.values(), key=lambda m: float(np.median(amplitude[m])))
         label[kept] = current

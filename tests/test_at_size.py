@@ -8,7 +8,7 @@ import zipfile
 import numpy as np
 from pyspark.sql import functions as F
 
-from spindrift.operators import clustering, linkage, metrics, neighbours, reachability, shears, trains
+from spindrift.operators import clustering, leaves, linkage, metrics, neighbours, reachability, shears, trains
 from spindrift.sources import export
 
 from .test_whole_tables import blobs, labels, table
@@ -48,6 +48,63 @@ def test_pruning_shears_of_a_table_equal_the_kernel(spark):
     assert want.max() >= 4 and (labels(got, 900) == want).all()
 
 
+def test_hdbscan_on_leaves_equals_the_merged_edges_of_a_matrix():
+    r = np.random.default_rng(0)
+    for turn in range(24):
+        n, least = int(r.integers(30, 700)), int(r.integers(2, 15))
+        x = np.r_[r.normal(size=(n, 3)), r.normal(size=(n // 2, 3)) * 0.3 + 4, np.repeat(r.normal(size=(3, 3)), n // 9, 0)]
+        x = x.round(1) if turn % 3 == 0 else x  # many equal weights
+        d = neighbours.gaps(x, x)
+        core = np.partition(d, least - 1, axis=1)[:, least - 1]
+        edges = clustering.spanning_tree(np.maximum(np.maximum(core[:, None], core[None]), d))
+        _, closed, fell = linkage.merged([(w, i, a, b) for i, (a, b, w) in enumerate(edges)], {i: (1, None, 0.0, 0, None) for i in range(len(x))}, least)
+        up = {c: (parent, chosen) for c, parent, chosen in closed}
+
+        def top(c, up=up):
+            best = -1
+            while c in up:
+                best, c = c if up[c][1] else best, up[c][0]
+            return best
+
+        want = clustering._numbered(np.array([top(fell.get(i)) for i in range(len(x))]))
+        assert (leaves.hdbscan(x, least) == want).all()
+
+
+def test_ten_thousand_peaks_are_clustered_without_a_matrix():
+    x = np.random.default_rng(1).normal(size=(10_000, 3))
+    x[:4000] = x[:4000] * 0.2 + 5
+    x[9000:] = x[9000]  # one vector of a thousand rows
+    tracemalloc.start()
+    found = leaves.hdbscan(x, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and found[9000:].max() == found[9000:].min() >= 0  # a matrix of 800 MB before
+
+
+def test_visits_of_shears_in_one_task_and_by_spark_keep_the_labels(spark):
+    r = np.random.default_rng(4)
+    peak = r.integers(0, 3, 900)
+    x = r.normal(size=(900, 12)) * 0.3
+    for c in range(3):
+        x[peak == c, 4 * c : 4 * c + 4] += np.where(r.random((peak == c).sum()) < 0.5, 6.0 + c, 11.0 + c)[:, None]
+    channel_of, adjacent, top = np.repeat(np.arange(3), 4), np.abs(np.subtract.outer(np.arange(3), np.arange(3))) <= 1, np.abs(x).max(1)
+    rows = spark.createDataFrame([(i, v.tolist(), int(p), float(a)) for i, (v, p, a) in enumerate(zip(x, peak, top, strict=True))], "id long, x array<double>, peak int, amp double")
+    want = clustering.pruning_shears(x, channel_of, peak, top, adjacent, 20, cluster=leaves.hdbscan)
+    assert want.max() >= 4
+    for options in ({"sample": 60}, {"sample": 60, "peaks_at_once": 800}, {"sample": 60, "peaks_at_once": 850, "reduced_at_once": 60}):
+        got = shears.pruning_shears_table(rows, "id", "x", channel_of, "peak", "amp", adjacent, 20, **options)
+        assert (labels(got, 900) == want).all(), options
+    # what was tired and has no fewer peaks is not clustered again
+    seen = []
+
+    def cluster(v, least):
+        seen.append(v.tobytes())
+        return leaves.hdbscan(v, least)
+
+    clustering.pruning_shears(x, channel_of, peak, top, adjacent, 20, cluster=cluster)
+    assert len(seen) == len(set(seen))
+
+
 def test_silhouettes_in_units_equal_all_pairs(spark):
     x = np.r_[blobs(900, 3), blobs(900, 3)[:40], np.zeros((30, 4)), np.zeros((30, 4))]
     label = np.r_[np.random.default_rng(2).integers(0, 4, 930), np.full(5, 9), np.full(5, 8), np.full(30, 5), np.full(30, 6)]
